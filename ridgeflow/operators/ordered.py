@@ -35,10 +35,13 @@ def target_rows_of(df: DataFrame) -> int:
     return int(setting) if setting else DEFAULT_TARGET_ROWS
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, without running it."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+def estimated_bytes(df: DataFrame) -> float:
+    """Catalyst's size estimate of a plan, without running it (infinite if unknown)."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return float(str(stats.sizeInBytes()))
+    except AttributeError:  # a Connect session has no JVM handle
+        return float("inf")
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
@@ -105,9 +108,17 @@ def _orders(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def scan_window(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]):
+def scan_window(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    reverse: bool = False,
+):
     parts = [*keys, CHUNK] if is_chunked(df) else list(keys)
-    return Window.partitionBy(*parts).orderBy(*_orders(order))
+    columns = _orders(order)
+    return Window.partitionBy(*parts).orderBy(
+        *([c.desc() for c in columns] if reverse else columns)
+    )
 
 
 _REDUCE: dict[str, Callable[[Column], Column]] = {
@@ -137,12 +148,13 @@ def running(
     outputs: Mapping[str, tuple[str, Column]],
     *,
     inclusive: bool = True,
+    reverse: bool = False,
 ) -> DataFrame:
     """Running ``sum``/``count``/``max``/``min``/``last`` (non-null) columns per key.
 
-    ``inclusive=False`` stops at the previous row."""
+    ``inclusive=False`` stops at the previous row; ``reverse`` scans from the end."""
     end = 0 if inclusive else -1
-    window = scan_window(df, keys, order)
+    window = scan_window(df, keys, order, reverse)
     frame = window.rowsBetween(Window.unboundedPreceding, end)
 
     def local(kind: str, expr: Column) -> Column:
@@ -156,7 +168,8 @@ def running(
 
     def total(kind: str, expr: Column) -> Column:
         if kind == "last":
-            return F.max_by(expr, F.when(expr.isNotNull(), position))
+            pick = F.min_by if reverse else F.max_by
+            return pick(expr, F.when(expr.isNotNull(), position))
         return _REDUCE[kind](expr)
 
     totals = (
@@ -166,7 +179,7 @@ def running(
     )
     before = (
         Window.partitionBy(*keys)
-        .orderBy(CHUNK)
+        .orderBy(F.desc(CHUNK) if reverse else F.asc(CHUNK))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
 
@@ -211,16 +224,16 @@ def shift(
     edges = (
         df.filter(F.col(_WIDTH).isNotNull())
         .groupBy(*keys, CHUNK)
-        .agg(pick(packed, position).alias("_edge"))
+        .agg(pick(packed, position).alias("__edge"))
     )
     neighbour = Window.partitionBy(*keys).orderBy(CHUNK)
-    edges = edges.select(*keys, CHUNK, move("_edge").over(neighbour).alias("_edge"))
-    scanned = df.select("*", move(packed).over(window).alias("_near"))
+    edges = edges.select(*keys, CHUNK, move("__edge").over(neighbour).alias("__edge"))
+    scanned = df.select("*", move(packed).over(window).alias("__near"))
     merged = scanned.join(edges, [*keys, CHUNK], "left")
-    near = F.when(F.col("_near").isNull(), F.col("_edge")).otherwise(F.col("_near"))
-    return merged.withColumn("_near", near).select(
+    near = F.when(F.col("__near").isNull(), F.col("__edge")).otherwise(F.col("__near"))
+    return merged.withColumn("__near", near).select(
         *(F.col(c) for c in df.columns),
-        *(F.col(f"_near.{n}").alias(n) for n in outputs),
+        *(F.col(f"__near.{n}").alias(n) for n in outputs),
     )
 
 
@@ -228,8 +241,8 @@ def framed(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    before: float,
-    after: float,
+    before: int,
+    after: int,
     outputs: Mapping[str, Callable[[Window], Column]],
 ) -> DataFrame:
     """Columns over the rows within ``[t + before ; t + after]`` of a numeric order.
