@@ -98,7 +98,7 @@ def calibrate(
         strict=True,
     )
     zero = {c: F.coalesce(F.col(f"_s_{c}"), F.lit(0)) for c in counted}
-    out = known.select(*performances.columns, *(z.alias(c) for c, z in zero.items()))
+    out = known.select(*ordered.without_chunks(performances).columns, *(z.alias(c) for c, z in zero.items()))
     status = F.when(F.col("population") == 0, NOT_CALIBRATED).when(
         F.col("invalid") > 0, MODEL_ERROR
     )

@@ -341,7 +341,7 @@ def clocks_at(
     )
     inside = F.least(F.col(at), F.col("k_end_s")) - F.col("k_time_s")
     return found.select(
-        *probes.columns,
+        *ordered.without_chunks(probes).columns,
         F.col(at).alias(f"elapsed{suffix}"),
         *((F.col(f"k_c_{n}") + F.col(f"k_r_{n}") * inside).alias(n + suffix) for n in names),
     )
@@ -352,7 +352,7 @@ def span_clocks(
 ) -> DataFrame:
     """Spans with ``times``: their durations under the eleven clocks, in order."""
     cumulated = cumulate_clocks(partition, keys)
-    base = spans.columns
+    base = ordered.without_chunks(spans).columns
     both = clocks_at(
         clocks_at(spans, cumulated, keys, start, "_a"), cumulated, keys, end, "_b"
     )

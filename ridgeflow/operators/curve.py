@@ -93,7 +93,7 @@ def activity_intervals(
     if rules.max_elapsed_s is not None:
         spans = _cut_at_ceiling(spans, slim, keys, rules.max_elapsed_s)
     cumulated = clocks.cumulate_clocks(partition, keys)
-    base = spans.columns
+    base = ordered.without_chunks(spans).columns
     both = clocks.clocks_at(
         clocks.clocks_at(spans, cumulated, keys, "start_s", "_a"),
         cumulated,

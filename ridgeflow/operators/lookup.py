@@ -28,6 +28,7 @@ def asof(
     ``forward`` looks for the first point at or after (after). The two sides are
     stacked and scanned once in time order: one shuffle, no pair is ever built. Among
     points of one instant the last in ``tie`` order wins."""
+    probes = ordered.without_chunks(probes)
     sign = -1 if forward else 1
     probe_side = 0 if strict else 1
     point_side = 1 - probe_side
@@ -127,7 +128,7 @@ def interpolated_at(
     ratio = F.when(span > 0, (F.col(probe_at) - F.col(axis)) / span).otherwise(F.lit(0.0))
     out = found.withColumn("_r", F.coalesce(ratio, F.lit(0.0)))
     return out.select(
-        *probes.columns,
+        *ordered.without_chunks(probes).columns,
         *(
             (
                 F.col(c)

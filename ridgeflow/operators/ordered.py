@@ -11,7 +11,8 @@ the other slices:
 
 Keys below the target keep the plain window plan. The carry tables have one row per
 slice of a hot key, hence at most ``rows / target_rows`` times a small factor; their
-joins use the (key, slice) partitioning the window already has.
+joins use the (key, slice) partitioning the window already has. A split scan reads its
+input twice, so it checkpoints it first: a chain of scans stays linear.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeflow.session import cut_lineage
+
 CHUNK = "chunk"
 _LO, _WIDTH = "chunk_lo", "chunk_width"
 _HELPERS = (CHUNK, _LO, _WIDTH)
@@ -71,7 +74,7 @@ def assign_chunks(
     # An input whose bytes cannot hold a hot key needs no statistics job.
     if estimated_bytes(df) < target * 16:
         return df
-    slim = df.select(*keys, F.col(order).cast("double").alias("_t"))
+    slim = df.select(*keys, _axis(df, order).alias("_t"))
     stats = slim.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_t").alias(_LO), F.max("_t").alias("_hi")
     )
@@ -84,17 +87,28 @@ def assign_chunks(
         F.floor((F.col("_t") - F.col(_LO)) / span * _FINE_BINS), F.lit(_FINE_BINS - 1)
     )
     hot = broadcast_if_small(hot, hot_count)
+    matched = slim.join(hot, list(keys)) if keys else slim.crossJoin(hot)
     densest = (
-        slim.join(hot, list(keys))
-        .groupBy(*keys, _LO, "_hi", fine.alias("_fine"))
+        matched.groupBy(*keys, _LO, "_hi", fine.alias("_fine"))
         .agg(F.count(F.lit(1)).alias("_m"))
         .groupBy(*keys, _LO, "_hi")
         .agg(F.max("_m").alias("_m"))
     )
     pieces = F.ceil(F.col("_m") * _FINE_BINS / F.lit(target))
     widths = densest.select(*keys, _LO, (span / pieces).alias(_WIDTH))
-    tagged = df.join(broadcast_if_small(widths, hot_count), list(keys), "left")
-    return tagged.withColumn(CHUNK, chunk_of(F.col(order)))
+    widths = broadcast_if_small(widths, hot_count)
+    tagged = df.join(widths, list(keys), "left") if keys else df.crossJoin(widths)
+    return tagged.withColumn(CHUNK, chunk_of(_axis(df, order)))
+
+
+def _axis(df: DataFrame, order: str) -> Column:
+    """The order column as a number."""
+    kind = dict(df.dtypes)[order]
+    if kind == "date":
+        return F.unix_date(order).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    return F.col(order).cast("double")
 
 
 def chunk_of(at: Column) -> Column:
@@ -108,6 +122,13 @@ def _orders(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def _sliced(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
+) -> DataFrame:
+    first = order[0]
+    return assign_chunks(df, keys, first) if isinstance(first, str) else df
+
+
 def scan_window(
     df: DataFrame,
     keys: Sequence[str],
@@ -152,7 +173,9 @@ def running(
 ) -> DataFrame:
     """Running ``sum``/``count``/``max``/``min``/``last`` (non-null) columns per key.
 
-    ``inclusive=False`` stops at the previous row; ``reverse`` scans from the end."""
+    ``inclusive=False`` stops at the previous row; ``reverse`` scans from the end. An
+    input not yet sliced is checked for keys above the target first."""
+    df = _sliced(df, keys, order)
     end = 0 if inclusive else -1
     window = scan_window(df, keys, order, reverse)
     frame = window.rowsBetween(Window.unboundedPreceding, end)
@@ -164,6 +187,7 @@ def running(
 
     if not is_chunked(df):
         return df.select("*", *(local(k, e).alias(n) for n, (k, e) in outputs.items()))
+    df = cut_lineage(df)
     position = F.struct(*_orders(order))
 
     def total(kind: str, expr: Column) -> Column:
@@ -214,10 +238,12 @@ def shift(
     forward: bool = False,
 ) -> DataFrame:
     """Values of the previous row (``forward``: next row) of the key."""
+    df = _sliced(df, keys, order)
     window = scan_window(df, keys, order)
     move = F.lead if forward else F.lag
     if not is_chunked(df):
         return df.select("*", *(move(e).over(window).alias(n) for n, e in outputs.items()))
+    df = cut_lineage(df)
     position = F.struct(*_orders(order))
     packed = F.struct(*(e.alias(n) for n, e in outputs.items()))
     pick = F.min_by if forward else F.max_by
@@ -249,6 +275,7 @@ def framed(
 
     Each output is a function of the window. In a split key a row is copied to every
     slice whose frames reach it, and only the owning slice reports it."""
+    df = _sliced(df, keys, [order])
     if not is_chunked(df):
         window = Window.partitionBy(*keys).orderBy(order).rangeBetween(before, after)
         return df.select("*", *(make(window).alias(n) for n, make in outputs.items()))

@@ -159,7 +159,7 @@ def time_at(
     )
     inside = F.col("_from_s") + (F.col(at) - F.col("_from_m")) * F.col("_pace")
     value = F.when(F.col(at) >= F.col("_end_m"), F.col("_to_s")).otherwise(inside)
-    return found.select(*probes.columns, value.alias(name))
+    return found.select(*ordered.without_chunks(probes).columns, value.alias(name))
 
 
 def projection_summary(lines: DataFrame, keys: Sequence[str]) -> DataFrame:

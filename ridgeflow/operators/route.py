@@ -256,7 +256,7 @@ def frames_at(probes: DataFrame, line: DataFrame, keys: Sequence[str], at: str)
     (``tx``, ``ty``), null where the 50 m chord is too short to have a direction.
 
     ``length_m`` must be on the probes."""
-    base = probes.columns
+    base = ordered.without_chunks(probes).columns
     chord = probes.withColumn(
         "_a", F.greatest(F.lit(0.0), F.col(at) - HALF_CHORD_M)
     ).withColumn("_b", F.least(F.col("length_m"), F.col(at) + HALF_CHORD_M))
