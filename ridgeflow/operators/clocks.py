@@ -353,13 +353,18 @@ def span_clocks(
     """Spans with ``times``: their durations under the eleven clocks, in order."""
     cumulated = cumulate_clocks(partition, keys)
     base = ordered.without_chunks(spans).columns
-    both = clocks_at(
-        clocks_at(spans, cumulated, keys, start, "_a"), cumulated, keys, end, "_b"
+    bounds = F.array(
+        F.struct(F.lit(0).alias("_side"), F.col(start).alias("_at")),
+        F.struct(F.lit(1).alias("_side"), F.col(end).alias("_at")),
     )
-    names = [n for n, _, _ in clock_columns()]
-    return both.select(
-        *base, F.array(*(F.col(f"{n}_b") - F.col(f"{n}_a") for n in names)).alias("times")
+    # One look-up reads both bounds.
+    read = clocks_at(
+        ordered.without_chunks(spans).select("*", F.inline(bounds)), cumulated, keys, "_at", "_c"
     )
+    names = [n for n, _, _ in clock_columns()]
+    signed = F.when(F.col("_side") == 1, 1.0).otherwise(-1.0)
+    sums = read.groupBy(*base).agg(*(F.sum(signed * F.col(f"{n}_c")).alias(f"_{n}") for n in names))
+    return sums.select(*base, F.array(*(F.col(f"_{n}") for n in names)).alias("times"))
 
 
 def islands_of_state(

@@ -77,43 +77,48 @@ def activity_intervals(
         .when(F.col("grade").isNull(), F.col("_last_s"))
         .otherwise(F.col("time_s_at")),
     )
-    led = ordered.shift(timed, keys, ["i"], {"_b": F.col("at_s")}, forward=True)
-    spans = led.filter(F.col("grade").isNotNull()).select(
+    for helper in ("_stop", "_stop_m", "time_s_end"):
+        timed = timed.withColumn(helper, F.lit(None).cast("double"))
+    if rules.max_elapsed_s is not None:
+        timed = _with_ceiling(timed, bounds, slim, keys, rules.max_elapsed_s)
+    # Each grid point is read once; an interval is the difference to its successor.
+    timed = timed.withColumn("at_s", F.least("at_s", F.coalesce("_stop", "at_s")))
+    read = clocks.clocks_at(
+        timed, clocks.cumulate_clocks(partition, keys), keys, "at_s", "_a"
+    )
+    c = clocks.CENTRAL
+    following = {
+        "end_s": F.col("at_s"),
+        "_m": F.col(f"m_{c}_a"),
+        "_mu": F.col(f"mu_{c}_a"),
+    }
+    led = ordered.shift(read, keys, ["i"], following, forward=True)
+    spans = led.filter(F.col("grade").isNotNull())
+    stop = F.col("_stop")
+    across = F.coalesce((F.col("end_s") == stop) & (F.col("time_s_end") > stop), F.lit(False))
+    length = F.when(across, F.col("_stop_m") - F.col("distance_m")).otherwise(
+        F.col("end_m") - F.col("distance_m")
+    )
+    moving = F.col("_m") - F.col(f"m_{c}_a")
+    known = F.col("_mu") - F.col(f"mu_{c}_a")
+    elapsed = F.col("end_s") - F.col("at_s")
+    out = spans.filter(stop.isNull() | (F.col("at_s") < stop)).select(
         *keys,
         "i",
         "grade",
-        "distance_m",
-        (F.col("end_m") - F.col("distance_m")).alias("length_m"),
+        length.alias("length_m"),
         F.col("at_s").alias("start_s"),
-        F.col("_b").alias("end_s"),
-        "_first_s",
-        (F.col("_last_s") - F.col("_first_s")).alias("activity_s"),
-    )
-    spans = spans.withColumn("truncated", F.lit(False))
-    if rules.max_elapsed_s is not None:
-        spans = _cut_at_ceiling(spans, slim, keys, rules.max_elapsed_s)
-    cumulated = clocks.cumulate_clocks(partition, keys)
-    base = ordered.without_chunks(spans).columns
-    both = clocks.clocks_at(
-        clocks.clocks_at(spans, cumulated, keys, "start_s", "_a"),
-        cumulated,
-        keys,
         "end_s",
-        "_b",
-    )
-    c = clocks.CENTRAL
-    moving = F.col(f"m_{c}_b") - F.col(f"m_{c}_a")
-    known = F.col(f"mu_{c}_b") - F.col(f"mu_{c}_a")
-    elapsed = F.col("end_s") - F.col("start_s")
-    out = both.select(
-        *base,
+        (F.col("_last_s") - F.col("_first_s")).alias("activity_s"),
+        across.alias("truncated"),
         elapsed.alias("elapsed_s"),
         moving.alias("moving_s"),
         (elapsed - known).alias("stopped_s"),
         (known - moving).alias("undetermined_s"),
     )
+    out = out.filter(F.col("length_m") > 0)
     if heart_rate is None:
-        return out.withColumn("hr_bpm", F.lit(None).cast("double")).drop("_first_s")
+        return out.withColumn("hr_bpm", F.lit(None).cast("double"))
     lagged = out.withColumn("_ha", F.col("start_s") + rules.hr_lag_s).withColumn(
         "_hb", F.col("end_s") + rules.hr_lag_s
     )
@@ -121,31 +126,22 @@ def activity_intervals(
         lagged, heart_rate, keys, "_ha", "_hb", coverage=rules.hr_min_coverage
     )
     return read.withColumnRenamed("hr_mean", "hr_bpm").drop(
-        "_ha", "_hb", "hr_area", "hr_covered_s", "_first_s"
+        "_ha", "_hb", "hr_area", "hr_covered_s"
     )
 
 
-def _cut_at_ceiling(
-    spans: DataFrame, slim: DataFrame, keys: Sequence[str], ceiling_s: float
+def _with_ceiling(
+    timed: DataFrame, bounds: DataFrame, slim: DataFrame, keys: Sequence[str], ceiling_s: float
 ) -> DataFrame:
-    """Drops intervals that start at the ceiling or later and cuts the one across it."""
-    stops = spans.select(*keys, (F.col("_first_s") + ceiling_s).alias("_stop")).distinct()
+    """Grid points with the ceiling instant and the distance reached there; the interval
+    across the ceiling is cut, later ones are dropped by the caller."""
+    stops = bounds.select(*keys, (F.col("_first_s") + ceiling_s).alias("_stop"))
     reached = lookup.interpolated_at(
         stops, slim, keys, "_stop", "time_s", ["time_s"], ["realized_m"]
-    )
-    joined = spans.join(reached, list(keys)).filter(F.col("start_s") < F.col("_stop"))
-    across = F.col("end_s") > F.col("_stop")
-    cut = (
-        joined.withColumn("truncated", across)
-        .withColumn(
-            "length_m",
-            F.when(across, F.col("realized_m_at") - F.col("distance_m")).otherwise(
-                F.col("length_m")
-            ),
-        )
-        .withColumn("end_s", F.least("end_s", "_stop"))
-    )
-    return cut.filter(F.col("length_m") > 0).drop("_stop", "realized_m_at")
+    ).withColumnRenamed("realized_m_at", "_stop_m")
+    bare = timed.drop("_stop", "_stop_m", "time_s_end")
+    full = ordered.shift(bare, keys, ["i"], {"time_s_end": F.col("at_s")}, forward=True)
+    return full.join(reached, list(keys))
 
 
 def interval_exclusion(rules: CurveRules) -> Column:

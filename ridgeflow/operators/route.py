@@ -257,15 +257,22 @@ def frames_at(probes: DataFrame, line: DataFrame, keys: Sequence[str], at: str)
 
     ``length_m`` must be on the probes."""
     base = ordered.without_chunks(probes).columns
-    chord = probes.withColumn(
-        "_a", F.greatest(F.lit(0.0), F.col(at) - HALF_CHORD_M)
-    ).withColumn("_b", F.least(F.col("length_m"), F.col(at) + HALF_CHORD_M))
-    for spot, tag in ((at, "q"), ("_a", "u"), ("_b", "v")):
-        chord = (
-            position_at(chord, line, keys, spot)
-            .withColumnRenamed("lat_at", f"{tag}_lat")
-            .withColumnRenamed("lon_at", f"{tag}_lon")
+    spots = F.array(
+        F.struct(F.lit("q").alias("_tag"), F.col(at).alias("_m")),
+        F.struct(F.lit("u").alias("_tag"), F.greatest(F.lit(0.0), F.col(at) - HALF_CHORD_M).alias("_m")),
+        F.struct(F.lit("v").alias("_tag"), F.least(F.col("length_m"), F.col(at) + HALF_CHORD_M).alias("_m")),
+    )
+    # One look-up reads the anchor and both chord ends of every probe.
+    read = position_at(
+        ordered.without_chunks(probes).select("*", F.inline(spots)), line, keys, "_m"
+    )
+    chord = read.groupBy(*base).agg(
+        *(
+            F.max(F.when(F.col("_tag") == tag, F.col(f"{axis}_at"))).alias(f"{tag}_{axis}")
+            for tag in ("q", "u", "v")
+            for axis in ("lat", "lon")
         )
+    )
     q_lat, q_lon = F.col("q_lat"), F.col("q_lon")
     dx = geo.local_x(q_lat, q_lon, F.col("v_lon")) - geo.local_x(
         q_lat, q_lon, F.col("u_lon")
