@@ -191,15 +191,14 @@ def prefix_ranks(
             state = state.withColumn("_size", size).withColumn(
                 "_left", F.floor((size * a + b - 1) / b)
             )
-        digit_found = F.size(F.filter("_counts", lambda c: c < F.col("_left")))
-        below = F.when(digit_found == 0, F.lit(0)).otherwise(
-            F.get("_counts", digit_found - 1)
-        )
+        found = F.size(F.filter("_counts", lambda c: c < F.col("_left")))
+        below = F.coalesce(F.get("_counts", F.col("_found") - 1), F.lit(0))
         state = (
             state.filter(F.col("_counts").isNotNull())
+            .withColumn("_found", found)
             .withColumn("_left", F.col("_left") - below)
-            .withColumn("_node", F.col("_node") * _RADIX + digit_found)
-            .drop("_counts")
+            .withColumn("_node", F.col("_node") * _RADIX + F.col("_found"))
+            .drop("_counts", "_found")
         )
     values = ranked.select(*keys, F.col("_rank").cast("long").alias("_node"), "_v")
     read = state.join(values, [*keys, "_node"])
