@@ -96,6 +96,7 @@ def _normals(spark: SparkSession, sf: str, log_scale: bool) -> DataFrame:
         "admitted_days",
         "absence",
         "segment",
+        digits=10,
     )
 
 
@@ -116,8 +117,8 @@ f AS (SELECT d.user_id, d.day, coalesce(k, 0) AS k, CASE WHEN k >= 5 THEN m END
       LEFT JOIN a ON a.user_id = d.user_id AND a.day = d.day),
 g AS (SELECT *, CASE WHEN m IS NOT NULL THEN greatest(1.4826 * mad, {floor}) END AS s,
              CASE WHEN k = 0 THEN 'no_admitted_day' WHEN k < 5 THEN 'too_few_admitted_days' END AS absence FROM f)
-SELECT user_id, day, round({center}, 6) AS normal, round(s, 6) AS dispersion, round({low}, 6) AS range_low,
-       round({high}, 6) AS range_high, k AS admitted_days, absence,
+SELECT user_id, day, round({center}, 10) AS normal, round(s, 10) AS dispersion, round({low}, 10) AS range_low,
+       round({high}, 10) AS range_high, k AS admitted_days, absence,
        CAST(coalesce(sum(CASE WHEN absence IS NOT NULL THEN 1 ELSE 0 END)
          OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment
 FROM g
@@ -126,20 +127,20 @@ FROM g
 
 def ruptures_segments(spark: SparkSession, sf: str) -> DataFrame:
     out = days.ruptures(_daily(spark, sf), USER, window_days=7)
-    return out.select(
-        "user_id", "day", "rank_rupture", "version_rupture", "uncertain", "straddles"
+    return compact(
+        out, "user_id", "day", "rank_rupture", "version_rupture", "uncertain", "straddles"
     )
 
 
 RUPTURE_SQL = DAILY_SQL + """,
 k AS (SELECT *, coalesce(len(ranks), 0) AS c FROM d),
-b AS (SELECT *, last_value(CASE WHEN c > 0 THEN ranks END IGNORE NULLS) OVER w AS br,
+bb AS (SELECT *, last_value(CASE WHEN c > 0 THEN ranks END IGNORE NULLS) OVER w AS br,
              last_value(version IGNORE NULLS) OVER w AS bv
       FROM k WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-r AS (SELECT *, c > 0 AND br IS NOT NULL AND NOT list_has_all(br, coalesce(ranks, [])) AS rr,
-             coalesce(version <> bv, false) AS vr FROM b),
+rt AS (SELECT *, c > 0 AND br IS NOT NULL AND NOT list_has_all(br, coalesce(ranks, [])) AS rr,
+             coalesce(version <> bv, false) AS vr FROM bb),
 u AS (SELECT *, c >= 2 OR (c = 0 AND coalesce(first_value(CASE WHEN c > 0 THEN rr END IGNORE NULLS) OVER w, false)) AS unc
-      FROM r WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+      FROM rt WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
 SELECT user_id, day, coalesce(rr, false) AS rank_rupture, vr AS version_rupture, unc AS uncertain,
        coalesce(bool_or(coalesce(rr, false) OR vr) OVER (PARTITION BY user_id ORDER BY n RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING), false)
        OR coalesce(bool_or(unc) OVER (PARTITION BY user_id ORDER BY n RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), false) AS straddles
@@ -155,10 +156,10 @@ def watch_normals(spark: SparkSession, sf: str) -> DataFrame:
 
 WATCH_SQL = DAILY_SQL + """,
 k AS (SELECT *, coalesce(len(ranks), 0) AS c FROM d),
-b AS (SELECT *, last_value(CASE WHEN c > 0 THEN ranks END IGNORE NULLS) OVER w AS br
+bb AS (SELECT *, last_value(CASE WHEN c > 0 THEN ranks END IGNORE NULLS) OVER w AS br
       FROM k WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-r AS (SELECT *, coalesce(c > 0 AND br IS NOT NULL AND NOT list_has_all(br, coalesce(ranks, [])), false) AS rr FROM b),
-e AS (SELECT *, sum(CASE WHEN rr THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY day) AS era FROM r)
+rt AS (SELECT *, coalesce(c > 0 AND br IS NOT NULL AND NOT list_has_all(br, coalesce(ranks, [])), false) AS rr FROM bb),
+e AS (SELECT *, sum(CASE WHEN rr THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY day) AS era FROM rt)
 SELECT e.user_id, e.day, round(CASE WHEN count(f.v) >= 2 THEN median(f.v) END, 6) AS watch_normal
 FROM e LEFT JOIN e f ON f.user_id = e.user_id AND f.era = e.era AND f.n BETWEEN e.n - 10 AND e.n - 1 AND f.admitted
 GROUP BY e.user_id, e.day
@@ -169,8 +170,10 @@ def series_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of consecutive days with the same admission, and the last ten days kept."""
     runs = days.series_runs(_daily(spark, sf), USER, ["admitted"])
     kept = days.last_days(runs, USER, 10)
-    return kept.groupBy("user_id", "run", "admitted").agg(
-        F.min("day").alias("first_day"), F.count(F.lit(1)).alias("days")
+    return compact(
+        kept.groupBy("user_id", "run", "admitted").agg(
+            F.min("day").alias("first_day"), F.count(F.lit(1)).alias("days")
+        )
     )
 
 
@@ -558,7 +561,7 @@ def journal_days(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderstatus").alias("type"),
     )
     out = days.journal_by_day(rows, ["o_custkey"])
-    return out.withColumn("types", F.array_join("types", ","))
+    return compact(out.withColumn("types", F.array_join("types", ",")))
 
 
 JOURNAL_SQL = """
@@ -599,23 +602,28 @@ FROM orders GROUP BY 1
 """
 
 
+def _text(sql: str, column: str = "day") -> str:
+    """The check with a date column as text."""
+    return f"SELECT * REPLACE (CAST({column} AS VARCHAR) AS {column}) FROM ({sql})"
+
+
 CHECKS = {
-    "calendar_spine": Check(calendar_spine, SPINE_SQL),
-    "rolling_robust_normal": Check(lambda s, d: _normals(s, d, False), _normal_sql(False)),
-    "rolling_log_normal": Check(lambda s, d: _normals(s, d, True), _normal_sql(True)),
-    "ruptures_segments": Check(ruptures_segments, RUPTURE_SQL),
-    "watch_normals": Check(watch_normals, WATCH_SQL),
-    "series_runs": Check(series_runs, RUNS_SQL),
+    "calendar_spine": Check(calendar_spine, _text(SPINE_SQL)),
+    "rolling_robust_normal": Check(lambda s, d: _normals(s, d, False), _text(_normal_sql(False))),
+    "rolling_log_normal": Check(lambda s, d: _normals(s, d, True), _text(_normal_sql(True))),
+    "ruptures_segments": Check(ruptures_segments, _text(RUPTURE_SQL)),
+    "watch_normals": Check(watch_normals, _text(WATCH_SQL)),
+    "series_runs": Check(series_runs, _text(RUNS_SQL, "first_day")),
     "lowest_window": Check(lowest_window, LOWEST_SQL),
     "first_wins_dedup": Check(first_wins_dedup, FIRST_SQL),
-    "export_merge": Check(export_merge, MERGE_SQL),
+    "export_merge": Check(export_merge, _text(MERGE_SQL)),
     "export_differences": Check(export_differences, DIFF_SQL),
     "decisive_exports": Check(decisive_exports, DECISIVE_SQL),
-    "night_assessment": Check(nights, NIGHT_SQL),
-    "nights_after": Check(nights_after, AFTER_SQL),
+    "night_assessment": Check(nights, _text(NIGHT_SQL)),
+    "nights_after": Check(nights_after, _text(AFTER_SQL)),
     "body_battery_asof": Check(battery, BATTERY_SQL),
     "sleep_within": Check(sleep_within, SLEEP_SQL),
     "series_coverage": Check(series_coverage, COVERAGE_SQL),
-    "journal_days": Check(journal_days, JOURNAL_SQL),
+    "journal_days": Check(journal_days, _text(JOURNAL_SQL)),
     "admission_refusals": Check(admissions, ADMISSION_SQL),
 }

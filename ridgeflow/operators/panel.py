@@ -186,8 +186,11 @@ def route_links(climbs: DataFrame, keys: Sequence[str], radius_m: float, ratio:
         F.col("_pid").alias("a"), F.col("climb_id").alias("b")
     )
     rows = ordered.without_chunks(seen)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    wide = F.sequence(F.lit(-2), F.lit(2))  # a radius spans at most two bands
+
+    def around(column: str, reach: int) -> Column:
+        """A bin and its neighbours; a radius spans at most two bands."""
+        return F.sequence(F.col(column) - reach, F.col(column) + reach)
+
     # Gains within the ratio fall in the same or the next bin of their logarithm.
     level = F.floor(F.log("gain_m") / math.log(ratio)).cast("long")
     left = rows.select(
@@ -196,9 +199,9 @@ def route_links(climbs: DataFrame, keys: Sequence[str], radius_m: float, ratio:
         "_sy", "_ey", F.col("_sx").alias("_ax"), F.col("_ex").alias("_aex"), level.alias("_lv"),
     )
     left = (
-        left.withColumn("_sy", F.col("_sy") + F.explode(wide))
-        .withColumn("_ey", F.col("_ey") + F.explode(wide))
-        .withColumn("_lv", F.col("_lv") + F.explode(around))
+        left.withColumn("_sy", F.explode(around("_sy", 2)))
+        .withColumn("_ey", F.explode(around("_ey", 2)))
+        .withColumn("_lv", F.explode(around("_lv", 1)))
     )
     right = rows.select(
         *keys, F.col("climb_id").alias("b"), F.col("gain_m").alias("_gb"),

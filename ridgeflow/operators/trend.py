@@ -425,7 +425,7 @@ def lag_autocorrelation(
     joined = series.join(center, keys) if keys else series.crossJoin(F.broadcast(center))
     daily = joined.groupBy(*keys, day).agg(
         F.sum(F.col(residual) - F.col("_mean")).alias("_e"),
-        F.sum(F.pow(F.col(residual) - F.col("_mean"), 2)).alias("_e2"),
+        F.sum(F.pow(F.col(residual) - F.col("_mean"), 2)).alias("_sq"),
         F.count(F.lit(1)).alias("_n"),
     )
     axis = Window.partitionBy(*keys).orderBy(day)
@@ -443,7 +443,7 @@ def lag_autocorrelation(
             outputs.append(inside.alias(f"_{tag}{c}"))
     framed = daily.select("*", *outputs)
     sums = framed.groupBy(*keys).agg(
-        F.sum("_e2").alias("_v"),
+        F.sum("_sq").alias("_v"),
         F.sum("_n").alias("_all"),
         *(F.sum(F.col("_e") * F.col(f"_e{c}")).alias(f"p{c}") for c in range(len(classes))),
         *(F.sum(F.col("_n") * F.col(f"_n{c}")).alias(f"k{c}") for c in range(len(classes))),

@@ -29,12 +29,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compact(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Selected columns, doubles rounded for comparison with the SQL check."""
+    """Selected columns, doubles rounded and dates as text for the SQL check."""
     types = dict(df.dtypes)
     shown = columns or tuple(df.columns)
-    return df.select(
-        *(
-            F.round(F.col(c), digits).alias(c) if types[c] in ("double", "float") else F.col(c)
-            for c in shown
-        )
-    )
+
+    def shown_as(column: str) -> Column:
+        if types[column] in ("double", "float"):
+            return F.round(F.col(column), digits).alias(column)
+        if types[column] == "date":
+            return F.col(column).cast("string").alias(column)
+        return F.col(column)
+
+    return df.select(*(shown_as(c) for c in shown))
