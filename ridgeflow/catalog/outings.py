@@ -162,7 +162,7 @@ def figure_points(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_linestatus").alias("stratum"),
         five(F.when(F.col("l_linenumber") == 7, 0.0).otherwise(t), 0.01).alias("moving_s"),
         five(t, -0.02).alias("undetermined_s"),
-        five(q - 10, 0.005).alias("moving_gain_m"),
+        five(q - 10.3, 0.005).alias("moving_gain_m"),
         five(q, -0.01).alias("undetermined_gain_m"),
     )
     out = climbs.figure_points(rows, ["panel", "stratum", "activity_ref"], ["panel", "stratum"])
@@ -172,7 +172,7 @@ def figure_points(spark: SparkSession, sf: str) -> DataFrame:
 FIGURE_SQL = """
 WITH r AS (SELECT l_orderkey AS a, l_returnflag AS p, l_linestatus AS s, count(*) AS n,
                   sum(CASE WHEN l_linenumber = 7 THEN 0.0 ELSE l_extendedprice / 1000 + 1 END) AS t,
-                  sum(l_extendedprice / 1000 + 1) AS u, sum(l_quantity - 10) AS g, sum(l_quantity) AS h
+                  sum(l_extendedprice / 1000 + 1) AS u, sum(l_quantity - 10.3) AS g, sum(l_quantity) AS h
            FROM lineitem GROUP BY 1, 2, 3),
 k AS (SELECT unnest(range(0, 5)) AS k),
 v AS (SELECT a, p, s, CASE WHEN t > 0 THEN g * (1 + 0.005 * k) / (t * (1 + 0.01 * k)) END AS x,
