@@ -441,7 +441,7 @@ def max_t_band(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def two_way_converged(spark: SparkSession, sf: str) -> DataFrame:
-    """Converged two-way effects of users and event types (checkpointed rounds)."""
+    """Converged two-way effects of users and event types (rounds as written tables)."""
     cells = events(spark, sf).groupBy("user_id", "event_type").agg(
         F.log(F.avg("value") + 1).alias("y")
     )

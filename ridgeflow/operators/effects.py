@@ -78,7 +78,7 @@ def two_way_fit(
     """Fit of every component at once: (day levels, segment levels, rounds, certified).
 
     Rounds run as DataFrame jobs; every ``check_every`` rounds the (small) level table is
-    checkpointed and the largest move of a level decides whether to stop."""
+    written and the largest move of a level decides whether to stop."""
     levels = cut_lineage(cells.select(*keys, day).distinct().withColumn("c", F.lit(0.0)))
     done = 0
     while done < max_iterations:
@@ -104,7 +104,7 @@ def components(
     """Connected components: ``node``, ``component`` (smallest node of each).
 
     Large-star / small-star rounds: each round links every node to the smallest node it
-    sees, so depth falls geometrically; star tables are checkpointed. A hub's messages
+    sees, so depth falls geometrically; star tables are written. A hub's messages
     are minima by node, combined on the map side."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = both.select(F.explode(F.array("u", "v")).alias("u")).distinct()

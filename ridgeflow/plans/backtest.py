@@ -55,7 +55,7 @@ def match_outings(
 ) -> Matched:
     """Routes and traces of all outings at once to score points, segments, passages.
 
-    Tables that several steps read are written once (checkpointed) on the way."""
+    Tables that several steps read are written once on the way."""
     keys = list(keys)
     line = cut_lineage(ordered.without_chunks(route.polyline(route_points, keys)))
     profile = projection.profiles(route_points, keys)

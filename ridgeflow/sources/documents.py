@@ -36,7 +36,7 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
     tagged = (
         rows.withColumn("start", instant)
-        .withColumn("local_start", F.to_timestamp_ntz(F.substring("start_time", 1, 19)))
+        .withColumn("local_start", F.substring("start_time", 1, 19).try_cast("timestamp_ntz"))
         .withColumn("reason", reason)
     )
     return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(
