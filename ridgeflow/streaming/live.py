@@ -35,7 +35,7 @@ def live_stops(records: DataFrame, min_stop_s: float) -> DataFrame:
 
     ``records``: ``activity_ref``, ``time_s``, ``immobile``. The state of an activity is
     one open run (three numbers); a run is emitted when a mobile record or a hole closes
-    it, or when the activity falls silent."""
+    it, and an open one stays in the state."""
 
     def fold(
         key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
@@ -47,28 +47,22 @@ def live_stops(records: DataFrame, min_stop_s: float) -> DataFrame:
             if start is not None and end - start >= min_stop_s:
                 found.append((key[0], start, end, "stopped"))
 
-        if state.hasTimedOut:
-            if still:
+        rows = pd.concat(list(batches)).sort_values("time_s")
+        for t, immobile in zip(rows["time_s"], rows["immobile"], strict=True):
+            if last is not None and t - last > MAX_STEP_S and still:
                 close(last)
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("time_s")
-            for t, immobile in zip(rows["time_s"], rows["immobile"], strict=True):
-                if last is not None and t - last > MAX_STEP_S and still:
-                    close(last)
-                    start, still = None, False
-                if immobile and not still:
-                    start, still = float(t), True
-                elif not immobile and still:
-                    close(float(t))
-                    start, still = None, False
-                last = float(t)
-            state.update((start, last, still))
-            state.setTimeoutDuration(60_000)
+                start, still = None, False
+            if immobile and not still:
+                start, still = float(t), True
+            elif not immobile and still:
+                close(float(t))
+                start, still = None, False
+            last = float(t)
+        state.update((start, last, still))
         yield pd.DataFrame(found, columns=["activity_ref", "start_s", "end_s", "state"])
 
     return records.groupBy("activity_ref").applyInPandasWithState(
-        fold, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        fold, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
