@@ -380,14 +380,14 @@ def common_set_means(spark: SparkSession, sf: str) -> DataFrame:
         "user_id", F.floor(day_number("ts") / 10).alias("block"), "event_type"
     ).agg(F.avg("value").alias("value"))
     out = scoring.common_set_mean(rows, ["user_id"], "block", "event_type", 5)
-    return compact(out, "user_id", "event_type", "mean", "n")
+    return compact(out, "user_id", "event_type", "mean", "n", digits=9)
 
 
 COMMON_SQL = """
 WITH v AS (SELECT user_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 10 AS block, event_type,
                   avg(value) AS v FROM events GROUP BY 1, 2, 3),
 c AS (SELECT user_id, block FROM v GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 5)
-SELECT v.user_id, event_type, round(avg(v.v), 6) AS mean, count(*) AS n
+SELECT v.user_id, event_type, round(avg(v.v), 9) AS mean, count(*) AS n
 FROM v JOIN c ON c.user_id = v.user_id AND c.block = v.block GROUP BY 1, 2
 """
 
