@@ -79,7 +79,7 @@ def support_scores(
     usable = centers.filter(F.col("vector_motif").isNull()).select(
         *keys, klass, "class_level", "log_ratio"
     )
-    r = F.log(F.col(p) / F.col(t))
+    r = F.log(F.col(p) / F.nullif(F.col(t), F.lit(0.0)))
     near, far = F.abs(r - F.col("class_level")), F.abs(r - F.col("log_ratio"))
     lift = F.abs(F.col("class_level") - F.col("log_ratio"))
     deviations = (
