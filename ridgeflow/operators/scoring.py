@@ -31,7 +31,7 @@ class SupportScores:
 
 def log_ratio(p: Column, t: Column) -> Column:
     """ln(p / t) of two positive numbers, null otherwise."""
-    return F.when((p > 0) & (t > 0), F.log(p / t))
+    return F.when((p > 0) & (t > 0), F.log(p / F.nullif(t, F.lit(0.0))))
 
 
 def support_scores(
@@ -99,16 +99,16 @@ def support_scores(
         F.col("n_c").alias("n"),
         is_thin(F.col("n_c")).alias("thin"),
         "class_level",
-        (F.col("_d") / F.col("t_c")).alias("class_dispersion"),
+        (F.col("_d") / F.nullif(F.col("t_c"), F.lit(0.0))).alias("class_dispersion"),
         (F.col("class_level") - F.col("log_ratio")).alias("class_offset"),
         F.col("vector_motif").alias("motif"),
     )
-    weight = F.col("t_c") / F.col("t_all")
+    weight = F.col("t_c") / F.nullif(F.col("t_all"), F.lit(0.0))
     sums = full.groupBy(*keys).agg(
-        (F.sum("_a") / F.max("t_all")).alias("dispersion"),
-        F.sum(weight * F.col("_d") / F.col("t_c")).alias("within"),
+        (F.sum("_a") / F.nullif(F.max("t_all"), F.lit(0.0))).alias("dispersion"),
+        F.sum(weight * F.col("_d") / F.nullif(F.col("t_c"), F.lit(0.0))).alias("within"),
         F.sum(weight * lift).alias("between"),
-        (F.sum("_c") / F.max("t_all")).alias("compensation"),
+        (F.sum("_c") / F.nullif(F.max("t_all"), F.lit(0.0))).alias("compensation"),
     )
     overall = totals.join(sums, keys).select(
         *keys,
