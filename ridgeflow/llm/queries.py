@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ridgeflow.llm.exact_dedup import exact_groups
 from ridgeflow.llm.mixing import mix_sources
+from ridgeflow.llm.packing import pack_documents
+from ridgeflow.llm.token_shards import write_shards
 from ridgeflow.llm.topk import top_k
 from ridgeflow.llm.url_filter import judge_urls
 
@@ -21,6 +23,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_shards(_table(spark, sf_dir, "documents"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -34,11 +40,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_token_shards": op3_token_shards,
     "op4_top_k": op4_top_k,
     "op6_source_mix": op6_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
