@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeflow.llm.exact_dedup import exact_groups
+from ridgeflow.llm.language_id import identify_languages
 from ridgeflow.llm.mixing import mix_sources
 from ridgeflow.llm.packing import pack_documents
 from ridgeflow.llm.token_shards import write_shards
 from ridgeflow.llm.topk import top_k
+from ridgeflow.llm.toxicity import judge_toxicity
 from ridgeflow.llm.url_filter import judge_urls
 
 
@@ -31,6 +33,10 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,13 +50,19 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_shards": op3_token_shards,
     "op4_top_k": op4_top_k,
+    "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
