@@ -12,6 +12,7 @@ from ridgeflow.llm.jaccard_join import near_duplicates
 from ridgeflow.llm.language_id import identify_languages
 from ridgeflow.llm.mixing import mix_sources
 from ridgeflow.llm.packing import pack_documents
+from ridgeflow.llm.suffix_repeats import repeated_strings
 from ridgeflow.llm.token_shards import write_shards
 from ridgeflow.llm.topk import top_k
 from ridgeflow.llm.toxicity import judge_toxicity
@@ -47,6 +48,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
+    "op7_suffix_repeats": op7_suffix_repeats,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
