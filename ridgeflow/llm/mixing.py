@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ SHARE, LIMIT = 1.5, 2.0
 BLOCK_WORDS = 16
 SHARDS = 16
 SEED = 20_17
+_WORD = re.compile("[^\\x20\\x09-\\x0d]+")
 
 
 def word_count(text: str):
@@ -192,3 +194,45 @@ def _taken(batch: pd.DataFrame) -> np.ndarray:
     out = np.zeros(len(batch), np.int64)
     np.add.at(out, spans["row"].to_numpy(), words)
     return out
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix itself: rows like those of ``docs`` with the words that are taken.
+
+    A document whose words are all taken in a pass stays as it is in that pass; of one that is
+    taken in part, the taken runs of words are joined by blanks. Documents taken twice are two
+    rows. ``n_chars``, if there, follows the text. Documents without words are not taken."""
+    mix = mix_sources(docs, text=text, **options)
+    spans = ["start", "size", "source_size", "blocks", "quota", "block_words", "key"]
+    picked = mix.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), *(F.col(c).alias(f"_{c}") for c in spans))
+    # Repeated ids meet their own rows by source and size; one row of each such is enough.
+    picked = picked.dropDuplicates(["_id", "_source", "_size"])
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(text) == F.col("_size"))
+    joined = docs.join(picked, on)
+    names, has_chars = docs.columns, "n_chars" in docs.columns
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            named = batch.rename(columns={f"_{c}": c for c in spans})[spans] if len(batch) else None
+            if named is None:
+                continue
+            blocks = block_spans(named)
+            for turn in (1, 2):
+                taken = blocks[blocks["times"] >= turn]
+                words = (taken["high"] - taken["low"]).groupby(taken["row"]).sum()
+                rows = words.index.to_numpy()
+                out = batch.iloc[rows][names].copy()
+                part = np.flatnonzero(words.to_numpy() < batch["_size"].to_numpy()[rows])
+                if len(part):
+                    texts = out[text].tolist()
+                    by_row = dict(tuple(taken.groupby("row")))
+                    for i in part:
+                        own = by_row[rows[i]]
+                        found = _WORD.findall(texts[i])
+                        texts[i] = " ".join(w for a, b in zip(own["low"], own["high"], strict=True) for w in found[a:b])
+                    out[text] = texts
+                    if has_chars:
+                        out["n_chars"] = [len(t) for t in texts]
+                yield out
+
+    return joined.mapInPandas(cut, docs.schema)

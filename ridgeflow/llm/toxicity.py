@@ -14,16 +14,15 @@ from pyspark.sql import functions as F
 
 from ridgeflow.llm.language_id import fold
 
-#: Labelled documents that are fitted on, of each class at most: for the dictionaries and
-#: for the calibration.
-FIT_TOXIC, FIT_ORDINARY = (1000, 500), (2500, 1500)
+#: Labelled documents that are fitted on, of each class at most.
+FIT_TOXIC, FIT_ORDINARY = 1200, 3000
 #: Words of a window, and bytes at most (a longer run of bytes is cut).
 WINDOW_WORDS, WINDOW_BYTES = 8, 1024
 #: Bytes of the two dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 8192
 #: A letter 5-gram is toxic if it is so many times as frequent, by documents, as in ordinary
 #: text, and in so many toxic documents at least; a segment needs two such.
-CONTRAST, LEAST_DOCUMENTS, GRAM = 40.0, 5, 5
+CONTRAST, LEAST_DOCUMENTS, GRAM = 40.0, 3, 5
 SEED = 5
 _BATCH_BYTES = 1 << 20
 
@@ -100,7 +99,7 @@ def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     for text in ordinary:
         common.update({g for w in set(_letters(text)) for g in _grams(w)} & seen.keys())
     rate = CONTRAST * max(len(toxic), 1) / max(len(ordinary), 1)
-    marked = {g for g, n in seen.items() if n >= LEAST_DOCUMENTS and n >= rate * (common[g] + 1)}
+    marked = {g for g, n in seen.items() if n >= LEAST_DOCUMENTS and n >= rate * (common[g] + 0.5)}
     out = []
     for words in per_text:
         own = [w for w, grams in words if sum(g in marked for g in grams) > 1]
@@ -165,52 +164,52 @@ class ToxicityModel:
         return Lengths(self.ordinary), Lengths(self.toxic + self.ordinary)
 
 
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    """The two dictionaries, without a calibration."""
+    data, spans, _ = window_segments(ordinary)
+    windows = [data[int(a) : int(a + b)] for a, b in spans[:: max(1, len(spans) // 200_000)]]
+    return ToxicityModel(trained(windows, ORDINARY_BYTES), trained(toxic_samples(toxic, ordinary), TOXIC_BYTES), None)
+
+
 def fit_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    fit_toxic: tuple[int, int] = FIT_TOXIC,
-    fit_ordinary: tuple[int, int] = FIT_ORDINARY,
+    docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_ordinary: int = FIT_ORDINARY
 ) -> ToxicityModel:
     """Dictionaries and calibration from labelled documents (``doc_id``, ``toxic``).
 
     A bounded number of documents of each class is read, those with the smallest hashes of
-    their ids, so that the fit costs the same on any corpus. The first part trains the
-    dictionaries; the second, which they have not seen, fits a logistic regression on the
-    window differences and then the threshold: the score is one half where F1 is best. A
-    document labelled twice is toxic if either label says so; null labels and ids teach
-    nothing. Without labels of both classes nothing is toxic: every score is 0."""
+    their ids, so that the fit costs the same on any corpus. Each half of them trains
+    dictionaries that measure the other half; on these differences a logistic regression is
+    fitted and then the threshold: the score is one half where F1 is best. The dictionaries
+    that stay are trained on all of them. A document labelled twice is toxic if either label
+    says so; null labels and ids teach nothing. Without two labels of each class nothing is
+    toxic: every score is 0."""
     spark = docs.sparkSession
     said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     place = F.xxhash64("doc_id", F.lit(SEED))
     picked = []
-    for toxic, wanted in ((1, sum(fit_toxic)), (0, sum(fit_ordinary))):
+    for toxic, wanted in ((1, fit_toxic), (0, fit_ordinary)):
         rows = said.where(F.col("toxic") == toxic).orderBy(place, "doc_id").limit(wanted)
         picked += [(r["doc_id"], toxic, n) for n, r in enumerate(rows.collect())]  # ``wanted`` rows
-    if len({t for _, t, _ in picked}) < 2:
+    if not picked:
         return ToxicityModel(b"", b"", None)
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int, place int"))  # bounded above
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic", "place").collect()
-    texts.sort(key=lambda r: (r["toxic"], r["place"], r["text"] or ""))
-    cut = {1: fit_toxic, 0: fit_ordinary}
-    share = {t: cut[t][0] / sum(cut[t]) for t in cut}
-    counts = Counter(r["toxic"] for r in texts)
-    first, second, n = {0: [], 1: []}, [], Counter()
-    for r in texts:
-        t = r["toxic"]
-        n[t] += 1
-        if n[t] <= share[t] * counts[t]:
-            first[t].append(r["text"] or "")
-        else:
-            second.append((r["text"], t))
-    data, spans, _ = window_segments(first[0])
-    windows = [data[int(a) : int(a + b)] for a, b in spans[:: max(1, len(spans) // 200_000)]]
-    model = ToxicityModel(trained(windows, ORDINARY_BYTES), trained(toxic_samples(first[1], first[0]), TOXIC_BYTES), None)
-    y = np.array([t for _, t in second], float)
-    if not len(y) or y.min() == y.max():
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "place").collect()
+    rows.sort(key=lambda r: (r["toxic"], r["place"], r["text"] or ""))
+    texts = {t: [r["text"] or "" for r in rows if r["toxic"] == t] for t in (0, 1)}
+    if min(map(len, texts.values())) < 2:
         return ToxicityModel(b"", b"", None)
-    x = model.features([t for t, _ in second], model.lengths())
+    x, y = [], []
+    for half in (0, 1):
+        model = train_dictionaries(texts[1][half::2], texts[0][half::2])
+        lengths = model.lengths()
+        for t in (0, 1):
+            other = texts[t][1 - half :: 2]
+            x.append(model.features(other, lengths))
+            y += [float(t)] * len(other)
+    x, y = np.concatenate(x), np.array(y)
     weights = logistic_fit(x, y)
     weights[-1] -= best_threshold(x @ weights[:-1] + weights[-1], y)
+    model = train_dictionaries(texts[1], texts[0])
     return ToxicityModel(model.ordinary, model.toxic, weights)
 
 
@@ -243,6 +242,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
     return given.mapInArrow(score, "doc_id long, score double, predicted int")
 
 
+def clean_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """Rows, with all their columns, whose text the model does not judge toxic."""
+    names = docs.columns
+    at = names.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = model.lengths() if model.weights is not None else None
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(batch.column(at).to_pylist(), lengths) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def judge_toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> DataFrame:
     """Toxicity of every document, learnt from labels outside the held-out fold."""
     model = fit_toxicity(docs, labels.where(fold("doc_id", folds) != held_out))
