@@ -9,22 +9,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeflow.llm.exact_dedup import exact_groups
+from ridgeflow.llm.jaccard_join import near_duplicates
+from ridgeflow.llm.mixing import mixed_documents
+from ridgeflow.llm.packing import pack_documents
+from ridgeflow.llm.toxicity import clean_documents, fit_toxicity
 from ridgeflow.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents with one of the given ids; a null id is an id like any other."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents judged toxic go; the labels of the corpus train the judge.
+
+    Rows are judged by their own text, so repeated ids do not matter."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return clean_documents(docs, model)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group of equal texts stays; a repeated id stays as one or all."""
+    return _staying(docs, exact_groups(docs).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one with the smallest id."""
+    return _staying(docs, near_duplicates(docs).where("doc_id <=> class_id"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a row per document and pass, with the words that it takes."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all token pieces in sequences."""
+    return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("near duplicates", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
-#: Several stages (trained classifier, near duplicates, packing by tokens) have no SQL form.
+#: Stages that learn, sample paths, or pack by tokens have no SQL form: tests compare.
 ORACLE_SQL: str | None = None
 
 
