@@ -72,7 +72,7 @@ def sainte_lague(targets: list[float], blocks: int, most: list[int]) -> list[int
         return [0] * len(t)
 
     def above(cut: float) -> np.ndarray:
-        return np.minimum(np.floor(t / (2 * cut) + 0.5).astype(np.int64), most)
+        return np.minimum(np.floor(t / (2 * cut) + 0.5), most).astype(np.int64)
 
     low, high = 0.0, float(t.max()) * 2 + 1
     for _ in range(200):
@@ -204,25 +204,31 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     rows. ``n_chars``, if there, follows the text. Documents without words are not taken."""
     mix = mix_sources(docs, text=text, **options)
     spans = ["start", "size", "source_size", "blocks", "quota", "block_words", "key"]
-    picked = mix.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), *(F.col(c).alias(f"_{c}") for c in spans))
+    picked = mix.where("taken > 0").select(
+        F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), *(F.col(c).alias(f"__mix_{c}") for c in spans)
+    )
     # Repeated ids meet their own rows by source and size; one row of each such is enough.
-    picked = picked.dropDuplicates(["_id", "_source", "_size"])
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(text) == F.col("_size"))
-    joined = docs.join(picked, on)
+    picked = picked.dropDuplicates(["__mix_id", "__mix_source", "__mix_size"])
+    joined = docs.join(
+        picked,
+        F.col("doc_id").eqNullSafe(F.col("__mix_id"))
+        & F.col("source").eqNullSafe(F.col("__mix_source"))
+        & (word_count(text) == F.col("__mix_size")),
+    )
     names, has_chars = docs.columns, "n_chars" in docs.columns
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            named = batch.rename(columns={f"_{c}": c for c in spans})[spans] if len(batch) else None
-            if named is None:
+            if not len(batch):
                 continue
+            named = pd.DataFrame({c: batch[f"__mix_{c}"] for c in spans})
             blocks = block_spans(named)
             for turn in (1, 2):
                 taken = blocks[blocks["times"] >= turn]
                 words = (taken["high"] - taken["low"]).groupby(taken["row"]).sum()
                 rows = words.index.to_numpy()
                 out = batch.iloc[rows][names].copy()
-                part = np.flatnonzero(words.to_numpy() < batch["_size"].to_numpy()[rows])
+                part = np.flatnonzero(words.to_numpy() < batch["__mix_size"].to_numpy()[rows])
                 if len(part):
                     texts = out[text].tolist()
                     by_row = dict(tuple(taken.groupby("row")))
