@@ -22,16 +22,13 @@ ASCENT, FLAT, DESCENT, MIXED = "ascent", "flat", "descent", "mixed"
 def bin_index(grade: Column) -> Column:
     """Number of the half-open bin ``[lo ; hi[`` of a grade, null outside the domain.
 
-    Each zone of equal bins is one arithmetic step, so there is no join."""
-    g = grade * 1000
-    starts = [(-1000, -400, 100, 0), (-400, -150, 50, 6), (-150, 350, 25, 11)]
-    starts += [(350, 400, 50, 31), (400, 1000, 100, 32)]
-    out = None
-    for low, high, width, first in starts:
-        inside = (g >= low) & (g < high)
-        number = (F.floor((g - low) / width) + first).cast("int")
-        out = F.when(inside, number) if out is None else out.when(inside, number)
-    return out
+    The number of inner edges at or below the grade: a sum of comparisons with the edges
+    themselves, so a grade just under an edge stays below it. No join, no look-up."""
+    edges = [e / 1000 for e in BIN_EDGES_PERMILLE]
+    passed = F.lit(0)
+    for edge in edges[1:-1]:
+        passed = passed + (grade >= edge).cast("int")
+    return F.when((grade >= edges[0]) & (grade < edges[-1]), passed)
 
 
 def bin_edges(index: Column) -> tuple[Column, Column]:

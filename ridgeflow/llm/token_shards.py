@@ -11,10 +11,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeflow.llm.feistel import permuted
+from ridgeflow.llm.prefix import running_before, spread
 from ridgeflow.llm.tokens import public_path, word_tokens
 from ridgeflow.session import cut_lineage, shared_folder
 
@@ -24,28 +25,44 @@ END_ID, PAD_ID = 49407, 49407
 SEQUENCE, SHARD = 512, 8192
 KEY = 0x5EED
 
-_CUT = "doc_id long, part int, tokens int, ids binary, ids_crc32 long"
+#: Documents whose first slot may be broadcast, 32 bytes each.
+BROADCAST_DOCUMENTS = 1_000_000
+
+_CUT = "doc_id long, part int, tokens int, ids binary, ids_crc32 long, index long"
 _PLACED = "doc_id long, part int, tokens int, slot long, shard long, place int, ids_crc32 long"
 
 
-def _cut_sequences(docs: DataFrame, doc_id: str, text: str, tokenizer: str, sequence: int) -> DataFrame:
+def _token_counts(given: DataFrame, tokenizer: str) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_tokens(public_path(tokenizer))
+        for batch in batches:
+            _, ends = words(batch.column(2))
+            sizes = pa.array(np.diff(ends) + 1, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], ["k1", "k2", "tokens"])
+
+    return given.select("k1", "k2", "text").mapInArrow(count, "k1 long, k2 long, tokens long")
+
+
+def _cut_sequences(placed: DataFrame, tokenizer: str, sequence: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(public_path(tokenizer))
         for batch in batches:
             ids, ends = words(batch.column(1))
-            keys = batch.column(0).cast(pa.int64()).to_pylist()
+            keys, firsts, copies = (batch.column(c).to_pylist() for c in (0, 2, 3))
             rows: list[tuple] = []
-            for key, a, b in zip(keys, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for key, first, times, a, b in zip(keys, firsts, copies, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u2")
-                for n, at in enumerate(range(0, len(own), sequence)):
-                    raw = own[at : at + sequence].tobytes()
-                    rows.append((key, n, len(raw) // 2, raw, zlib.crc32(raw)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-            names = ["doc_id", "part", "tokens", "ids", "ids_crc32"]
+                for copy in range(times):
+                    for n, at in enumerate(range(0, len(own), sequence)):
+                        raw = own[at : at + sequence].tobytes()
+                        rows.append((key, n, len(raw) // 2, raw, zlib.crc32(raw), first))
+                        first += 1
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            names = ["doc_id", "part", "tokens", "ids", "ids_crc32", "index"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, _CUT)
+    return placed.select("doc_id", "text", "first", "copies").mapInArrow(cut, _CUT)
 
 
 def _opened(folder: str) -> tuple[fs.FileSystem, str]:
@@ -69,8 +86,8 @@ def write_shards(
     """Writes all texts as token ids in training order; returns where every sequence went.
 
     Each text, tokenised and closed by the end id, is cut into sequences of ``sequence`` ids,
-    the last one padded. Sequences are numbered 0..N-1 in the order of the table of cut
-    sequences; a keyed Feistel permutation of [0, N), walked along its cycles, gives each its
+    the last one padded. Sequences are numbered 0..N-1 in the order of a hash of their
+    documents; a keyed Feistel permutation of [0, N), walked along its cycles, gives each its
     global slot. A range of ``shard`` slots is one file: little-endian 16-bit ids, every
     sequence ``2 * sequence`` bytes, so that slot s lies at a known byte of a known file and a
     reader can resume anywhere. ``manifest.json`` holds the sizes and the key.
@@ -78,21 +95,28 @@ def write_shards(
     Returns ``doc_id``, ``part``, ``tokens`` (without padding), ``slot``, ``shard``, ``place``
     (in the shard) and ``ids_crc32`` of the ids. A file is written under another name and
     moved when whole: a task that runs twice, or a job started again into the same folder
-    for the same table, leaves the same bytes. The folder defaults to a new one in the shared
+    for the same rows, however partitioned, leaves the same bytes. The folder defaults to a new one in the shared
     folder of the cluster.
 
     Null and empty texts are one sequence with the end id alone. Repeated rows are written as
     often as they stand there; null ids stay null; an empty table writes a manifest only."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    cut = cut_lineage(
-        _cut_sequences(docs, doc_id, text, tokenizer, sequence).withColumn("_row", F.monotonically_increasing_id())
-    )
-    # Sequences before each part of the table: one row per task that wrote it.
-    parts = cut.groupBy(F.shiftrightunsigned("_row", 33).alias("_part")).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = cut_lineage(parts.select("_part", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")))
-    total = parts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    given = given.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(key))})
+    # A first pass counts: the permutation needs the number of all sequences.
+    counted = _token_counts(given, tokenizer).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.max("tokens").alias("tokens"))
+    parts = F.ceil(F.col("tokens") / F.lit(sequence)).cast("long")
+    counted = cut_lineage(counted.withColumn("slots", parts * F.col("copies")))
+    sums = counted.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0)), F.max("copies")).first()
+    total = sums[1]
+    firsts = running_before(counted.withColumn("all", F.lit(0)), ["all"], "k1", ["k2"], "slots", "first", spread(sums[0]))
+    firsts = cut_lineage(firsts.select("k1", "k2", "first", "copies"))
+    few = F.broadcast if sums[0] <= BROADCAST_DOCUMENTS else (lambda rows: rows)
+    placed = given.join(few(firsts.where("copies = 1")), ["k1", "k2"])
+    if (sums[2] or 1) > 1:  # rows that repeat: one of them writes all their copies
+        again = firsts.where("copies > 1")
+        placed = placed.unionByName(given.join(few(again), ["k1", "k2"]).dropDuplicates(["k1", "k2"]))
     files, base = _opened(folder)
     files.create_dir(base, recursive=True)
     with files.open_output_stream(f"{base}/manifest.json") as out:
@@ -102,12 +126,11 @@ def write_shards(
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(np.int64), max(total, 1), key))
 
-    placed = (
-        cut.withColumn("_part", F.shiftrightunsigned("_row", 33))
-        .join(parts, "_part")
-        .withColumn("slot", slot_of(F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))))
+    slotted = (
+        _cut_sequences(placed, tokenizer, sequence)
+        .withColumn("slot", slot_of(F.col("index")))
         .withColumn("shard", F.floor(F.col("slot") / F.lit(shard)).cast("long"))
-        .drop("_part", "_row", "_rows", "_before")
+        .drop("index")
     )
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +150,7 @@ def write_shards(
             files.move(part, name)
         return rows[["doc_id", "part", "tokens", "slot", "shard", "place", "ids_crc32"]]
 
-    return placed.groupBy("shard").applyInPandas(write, _PLACED)
+    return slotted.groupBy("shard").applyInPandas(write, _PLACED)
 
 
 def read_slots(folder: str, first: int = 0, count: int | None = None) -> Iterator[np.ndarray]:

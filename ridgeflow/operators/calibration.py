@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeflow.functions.grades import is_invalid_output
@@ -19,6 +19,7 @@ from ridgeflow.operators.scoring import (
     NOT_CALIBRATED,
     ZERO_TIME,
 )
+from ridgeflow.session import cut_lineage
 
 # Bounds of the effort, and the interval score penalty (2 / alpha).
 EFFORT_BOUNDS = (0.5, 1.5)
@@ -126,7 +127,6 @@ def calibrated(p: Column, effort: Column | None, factor: Column) -> Column:
 
 
 _RADIX = 16
-_LEVELS = 4
 
 
 def prefix_ranks(
@@ -142,16 +142,18 @@ def prefix_ranks(
 
     Values get their rank inside the key; the wanted rank among the known ones is then
     found one base-16 digit at a time, from running counts per digit read as of the
-    probe. Four digits cover 65,536 points per key (one per civil day). Exact, with no
-    pair of probe and point."""
+    probe. The largest rank gives the number of digits. Exact for any number of points,
+    with no pair of probe and point; a large key is ranked in slices."""
     keys = list(keys)
-    seq = Window.partitionBy(*keys).orderBy(value, point_at)
-    ranked = points.filter(F.col(value).isNotNull()).select(
-        *keys,
-        F.col(point_at).cast("double").alias("_at"),
-        F.col(value).alias("_v"),
-        (F.row_number().over(seq) - 1).alias("_rank"),
+    known = points.filter(F.col(value).isNotNull()).select(
+        *keys, F.col(point_at).cast("double").alias("_at"), F.col(value).alias("_v")
+    )
+    counted = ordered.running(known, keys, ["_v", "_at"], {"_n": ("count", F.lit(1))})
+    ranked = cut_lineage(
+        ordered.without_chunks(counted).withColumn("_rank", F.col("_n") - 1).drop("_n")
     )
+    top = ranked.agg(F.max("_rank")).first()[0] or 0
+    levels = max(1, -(-int(top).bit_length() // 4))
     numbered = probes.withColumn("_id", F.col(probe_at).cast("double"))
     wanted = numbered.select(*keys, "_id").distinct()
     order_table = F.array(
@@ -161,8 +163,8 @@ def prefix_ranks(
         )
     )
     state = wanted.select("*", F.inline(order_table)).withColumn("_node", F.lit(0).cast("long"))
-    for level in range(_LEVELS):
-        shift = 4 * (_LEVELS - 1 - level)
+    for level in range(levels):
+        shift = 4 * (levels - 1 - level)
         node = F.shiftright(F.col("_rank"), shift + 4).cast("long")
         digit = F.shiftright(F.col("_rank"), shift).bitwiseAND(F.lit(_RADIX - 1))
         placed = ranked.select(*keys, "_at", node.alias("_node"), digit.alias("_digit"))

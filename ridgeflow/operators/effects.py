@@ -98,18 +98,18 @@ def two_way_fit(
     return levels, segment_levels(cells, keys, day, segment, y, levels), done, False
 
 
-def components(
-    edges: DataFrame, a: str, b: str, *, max_rounds: int = 64
-) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components: ``node``, ``component`` (smallest node of each).
 
     Large-star / small-star rounds: each round links every node to the smallest node it
     sees, so depth falls geometrically; star tables are written. A hub's messages
-    are minima by node, combined on the map side."""
+    are minima by node, combined on the map side. Ends at the fixed point, which the count
+    and a checksum of the links show."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = both.select(F.explode(F.array("u", "v")).alias("u")).distinct()
     links = cut_lineage(both.filter(F.col("u") != F.col("v")).distinct())
-    for _ in range(max_rounds):
+    seen = None
+    while True:
         mirrored = links.unionByName(
             links.select(F.col("v").alias("u"), F.col("u").alias("v"))
         )
@@ -130,13 +130,12 @@ def components(
             .filter(F.col("u") != F.col("v"))
             .distinct()
         )
-        following = cut_lineage(following)
-        changed = following.exceptAll(links).limit(1).count() + links.exceptAll(
-            following
-        ).limit(1).count()
-        links = following
-        if changed == 0:
+        links = cut_lineage(following)
+        mark = F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
+        now = links.agg(F.count(F.lit(1)), mark).first()
+        if now == seen:
             break
+        seen = now
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, "u", "left").select(
         F.col("u").alias("node"), F.coalesce("component", "u").alias("component")

@@ -415,7 +415,7 @@ def _ordered_search(state: DataFrame, rules: MatchRules) -> Column:
         # An event starts at the first hit kept and at every hit not joined to its
         # predecessor.
         events = F.when(F.size(open_) == 0, 0).otherwise(
-            1 + F.size(F.filter(F.slice(open_, 2, 1_000_000), lambda c: ~c["joined"]))
+            1 + F.size(F.filter(F.slice(open_, 2, F.greatest(F.size(open_) - 1, F.lit(0))), lambda c: ~c["joined"]))
         )
         chosen = F.when(p["last"], F.get(open_, F.lit(0))).otherwise(
             F.try_element_at(open_, F.lit(-1))

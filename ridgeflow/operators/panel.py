@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ridgeflow.functions import geo
 from ridgeflow.operators import days as day_rules
 from ridgeflow.operators import effects, ordered, trend
+from ridgeflow.session import cut_lineage
 
 # Radius (m) and gain ratio of climbs of one route.
 ROUTE_RADIUS_M = 100.0
@@ -152,7 +153,8 @@ def route_links(climbs: DataFrame, keys: Sequence[str], radius_m: float, ratio:
 
     Positions are binned so finely that climbs sharing both bins are within the radius:
     inside a bin only the next larger gain is linked, so a bin of any size costs a sort.
-    Between neighbouring bins, only chains of such links meet."""
+    Between neighbouring bins, pieces of such chains meet by their first climbs; only where
+    these are not linked are the climbs of two pieces compared, and one link is kept."""
     keys = list(keys)
     cell = radius_m / math.sqrt(2.0) * 0.99 / geo.EARTH_RADIUS_M * 57.29577951308232
 
@@ -179,48 +181,79 @@ def route_links(climbs: DataFrame, keys: Sequence[str], radius_m: float, ratio:
         column("end_lat", "end_lon").alias("_ex"),
     )
     bins = [*keys, "_sy", "_sx", "_ey", "_ex"]
-    seen = ordered.shift(
-        binned, bins, ["gain_m", "climb_id"], {"_pg": F.col("gain_m"), "_pid": F.col("climb_id")}
-    )
-    inside = seen.filter(F.col("gain_m") / F.col("_pg") <= ratio).select(
-        F.col("_pid").alias("a"), F.col("climb_id").alias("b")
-    )
-    rows = ordered.without_chunks(seen)
-
-    def around(column: str, reach: int) -> Column:
-        """A bin and its neighbours; a radius spans at most two bands."""
-        return F.sequence(F.col(column) - reach, F.col(column) + reach)
-
-    # Gains within the ratio fall in the same or the next bin of their logarithm.
+    order = ["gain_m", "climb_id"]
+    seen = ordered.shift(binned, bins, order, {"_pg": F.col("gain_m"), "_pid": F.col("climb_id")})
+    joined = F.coalesce(F.col("gain_m") / F.col("_pg") <= ratio, F.lit(False))
+    chained = ordered.running(seen, bins, order, {"_chain": ("sum", F.when(joined, 0).otherwise(1))})
+    rows = cut_lineage(ordered.without_chunks(chained).withColumn("_in", joined))
+    inside = rows.filter("_in").select(F.col("_pid").alias("a"), F.col("climb_id").alias("b"))
+
+    # A piece: the climbs of one chain and one level of gain, all linked to each other. One
+    # link between two pieces is as good as all, and first climbs often have it.
     level = F.floor(F.log("gain_m") / math.log(ratio)).cast("long")
-    left = rows.select(
-        *keys, F.col("climb_id").alias("a"), F.col("gain_m").alias("_ga"),
-        *(F.col(c).alias(f"_a_{c}") for c in ("start_lat", "start_lon", "end_lat", "end_lon")),
-        "_sy", "_ey", F.col("_sx").alias("_ax"), F.col("_ex").alias("_aex"), level.alias("_lv"),
-    )
-    left = (
-        left.withColumn("_sy", F.explode(around("_sy", 2)))
-        .withColumn("_ey", F.explode(around("_ey", 2)))
-        .withColumn("_lv", F.explode(around("_lv", 1)))
+    rows = rows.withColumn("_piece", F.struct(*bins, "_chain", level.alias("_lv")))
+    ends = ("start_lat", "start_lon", "end_lat", "end_lon")
+    heads = rows.groupBy(*keys, "_piece").agg(
+        F.min_by(F.struct("climb_id", "gain_m", *ends), F.struct("gain_m", "climb_id")).alias("_h")
+    )
+    heads = heads.select(*keys, "_piece", "_h.*")
+
+    def side(table: DataFrame, mark: str) -> DataFrame:
+        named = [F.col(c).alias(f"{mark}_{c}") for c in ("_piece", "climb_id", "gain_m", *ends)]
+        return table.select(*keys, *named)
+
+    def apart(end: str) -> Column:
+        at = (F.col(f"a_{end}_lat"), F.col(f"a_{end}_lon"), F.col(f"b_{end}_lat"), F.col(f"b_{end}_lon"))
+        return geo.haversine_m(*at)
+
+    gains = F.greatest("a_gain_m", "b_gain_m") / F.least("a_gain_m", "b_gain_m") <= ratio
+    close = (apart("start") < radius_m) & (apart("end") < radius_m) & gains
+
+    # First climbs near enough for their pieces to hold a link: cells of the doubled reach,
+    # and every cell that the reach around a climb touches.
+    reach = 3.0 * radius_m / geo.EARTH_RADIUS_M * 57.29577951308232
+    wide = 2.0 * reach
+
+    def zone_scale(zone: Column) -> Column:
+        low, high = F.abs(zone * wide), F.abs((zone + 1) * wide)
+        return F.greatest(F.cos(F.radians(F.greatest(low, high))), F.lit(0.02))
+
+    def touched(table: DataFrame, end: str) -> DataFrame:
+        lat, lon = F.col(f"a_{end}_lat"), F.col(f"a_{end}_lon")
+        zones = F.sequence(F.floor((lat - reach) / wide), F.floor((lat + reach) / wide))
+        table = table.withColumn(f"_z_{end}", F.explode(zones))
+        # East to west, a degree is shortest on the side of the zone towards the pole.
+        scale = zone_scale(F.col(f"_z_{end}"))
+        cells = F.sequence(F.floor((lon * scale - 1.1 * reach) / wide), F.floor((lon * scale + 1.1 * reach) / wide))
+        return table.withColumn(f"_c_{end}", F.explode(cells))
+
+    def own(table: DataFrame, end: str) -> DataFrame:
+        zone = F.floor(F.col(f"b_{end}_lat") / wide)
+        cell_of = F.floor(F.col(f"b_{end}_lon") * zone_scale(zone) / wide)
+        return table.withColumn(f"_z_{end}", zone).withColumn(f"_c_{end}", cell_of)
+
+    a_level, b_level = F.col("a__piece._lv"), F.col("b__piece._lv")
+    left = touched(touched(side(heads, "a"), "start"), "end").withColumn(
+        "_l", F.explode(F.sequence(a_level - 1, a_level + 1))
     )
-    right = rows.select(
-        *keys, F.col("climb_id").alias("b"), F.col("gain_m").alias("_gb"),
-        "start_lat", "start_lon", "end_lat", "end_lon", "_sy", "_ey",
-        F.col("_sx").alias("_bx"), F.col("_ex").alias("_bex"), level.alias("_lv"),
-    )
-    pairs = left.join(right, [*keys, "_sy", "_ey", "_lv"]).filter(
-        (F.col("a") < F.col("b"))
-        & (F.greatest("_ga", "_gb") / F.least("_ga", "_gb") <= ratio)
+    right = own(own(side(heads, "b"), "start"), "end").withColumn("_l", b_level)
+    a_piece, b_piece = F.col("a__piece"), F.col("b__piece")
+    same_bin = F.lit(True)
+    for c in ("_sy", "_sx", "_ey", "_ex"):
+        same_bin = same_bin & (F.col(f"a__piece.{c}") == F.col(f"b__piece.{c}"))
+    cells = ["_z_start", "_c_start", "_z_end", "_c_end", "_l"]
+    met = left.join(right, [*keys, *cells]).filter(
+        (a_piece < b_piece) & ~same_bin & (apart("start") < 3 * radius_m) & (apart("end") < 3 * radius_m)
     )
-    close = (
-        geo.haversine_m(F.col("_a_start_lat"), F.col("_a_start_lon"), F.col("start_lat"), F.col("start_lon"))
-        < radius_m
-    ) & (
-        geo.haversine_m(F.col("_a_end_lat"), F.col("_a_end_lon"), F.col("end_lat"), F.col("end_lon"))
-        < radius_m
+    met = cut_lineage(met.withColumn("_close", close).drop(*cells))
+    by_heads = met.filter("_close").select(F.col("a_climb_id").alias("a"), F.col("b_climb_id").alias("b"))
+    # Elsewhere, any pair of the two pieces.
+    open_ = met.filter(~F.col("_close")).select(*keys, "a__piece", "b__piece")
+    detail = open_.join(side(rows, "a"), [*keys, "a__piece"]).join(side(rows, "b"), [*keys, "b__piece"])
+    by_pairs = detail.filter(close).groupBy("a__piece", "b__piece").agg(
+        F.min(F.struct(F.col("a_climb_id").alias("a"), F.col("b_climb_id").alias("b"))).alias("_l")
     )
-    across = pairs.filter(close).select("a", "b")
-    return inside.unionByName(across).distinct()
+    return inside.unionByName(by_heads).unionByName(by_pairs.select("_l.*")).distinct()
 
 
 def route_groups(

@@ -375,18 +375,19 @@ def declared_run(log: DataFrame, path: str, declaration: DataFrame, run, payload
     """Appends a declaration to a chained log, runs, then appends a result or a failure.
 
     ``declaration`` is one row with the payload columns; the declaration is written
-    before anything is computed."""
+    before anything is computed. A failure is recorded and raised again."""
     from ridgeflow.sources.tables import append_events
 
     spark = log.sparkSession
     opened = cut_lineage(experiments.next_events(log, declaration, payload))
     append_events(opened, path)
     number = opened.select("number").collect()[0][0]
+    result, failure = None, None
     try:
         result = run()
-        kind = "result"
-    except Exception:
-        result, kind = None, "failure"
+    except Exception as error:  # noqa: BLE001 recorded below, then raised
+        failure = error
+    kind = "result" if failure is None else "failure"
     current = spark.read.parquet(path)
     answer = declaration.withColumn("kind", F.lit(kind)).withColumn("declared", F.lit(number))
     append_events(
@@ -395,4 +396,6 @@ def declared_run(log: DataFrame, path: str, declaration: DataFrame, run, payload
         ),
         path,
     )
+    if failure is not None:
+        raise failure
     return result

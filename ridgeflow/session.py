@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folder of this process where the setting is unset (local sessions only).
+_local: list[str] = []
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     spark = (
@@ -38,9 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _local[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -184,15 +184,16 @@ JOURNAL_TYPES = ("illness", "injury", "altitude_stay", "travel", "alcohol", "oth
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, malformed rows) of an athlete's journal: ``start``, ``end``, ``type``.
 
-    The separator is that of the header."""
-    header = spark.read.text(path).limit(1).collect()
-    separator = ";" if header and ";" in header[0][0] else ","
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", separator)
-        .schema("start STRING, end STRING, type STRING")
-        .csv(path)
+    The separator of a file is that of its header; other files may have another."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    is_header = F.col("value").rlike(r'^\ufeff?\s*"?start"?\s*[;,]')
+    headers = lines.filter(is_header).groupBy("_file").agg(F.max(F.col("value").contains(";")).alias("_semi"))
+    body = lines.filter(~is_header & (F.trim("value") != "")).join(headers, "_file", "left")
+    shape = "start STRING, end STRING, type STRING"
+    row = F.when(F.col("_semi"), F.from_csv("value", shape, {"sep": ";"})).otherwise(
+        F.from_csv("value", shape)
     )
+    raw = body.select(row.alias("_row")).select("_row.*")
     start, end = F.try_to_date("start"), F.try_to_date("end")
     reason = F.coalesce(
         F.when(start.isNull(), "start"),

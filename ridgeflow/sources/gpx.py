@@ -25,14 +25,14 @@ def _documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def _points(documents: DataFrame) -> DataFrame:
-    tracks = documents.select("route_id", F.posexplode("trk").alias("_i", "_t"))
-    parts = tracks.select("route_id", "_i", F.posexplode("_t.trkseg").alias("_j", "_s"))
-    rows = parts.select("route_id", "_i", "_j", F.posexplode("_s.trkpt").alias("_k", "_p"))
-    # File, track, segment and point numbers keep the order of the document.
-    number = (F.col("_i") * 1000 + F.col("_j")) * 10_000_000 + F.col("_k")
+    known = lambda x: x.isNotNull()
+    # All points of all segments of all tracks in the order of the document.
+    segments = F.flatten(F.filter(F.transform("trk", lambda t: t["trkseg"]), known))
+    points = F.flatten(F.filter(F.transform(segments, lambda s: s["trkpt"]), known))
+    rows = documents.select("route_id", F.posexplode(points).alias("_k", "_p"))
     return rows.select(
         "route_id",
-        number.cast("long").alias("seq"),
+        F.col("_k").cast("long").alias("seq"),
         F.col("_p._lat").alias("lat"),
         F.col("_p._lon").alias("lon"),
         F.col("_p.ele").alias("ele"),

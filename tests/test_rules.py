@@ -262,3 +262,79 @@ def test_components(spark):
     got = {r.node: r.component for r in effects.components(edges, "a", "b").collect()}
     assert all(got[i] == 0 for i in range(6)) and all(got[i] == 6 for i in range(6, 13))
     assert got[21] == 20
+
+
+def test_route_links_connect_like_all_pairs_and_stay_few(spark):
+    import random
+
+    from ridgeflow.operators import panel
+
+    same = [("u", i, 500.0, 45.0, 6.0, 45.1, 6.1) for i in range(2000)]
+    schema = "user string, climb_id long, gain_m double, start_lat double, start_lon double, end_lat double, end_lon double"
+    links = panel.route_links(spark.createDataFrame(same, schema), ["user"], 100.0, 1.1)
+    assert links.count() == 1999
+
+    rng = random.Random(1)
+    step = 60 / 111_195
+    rows = [
+        ("u", i, 300 * 1.07 ** rng.randint(0, 6), *(base + rng.randint(0, 6) * step for base in (45, 6, 45.1, 6.1)))
+        for i in range(150)
+    ]
+
+    def metres(a, b):
+        p, q = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(h))
+
+    def connected(pairs):
+        root = {r[1]: r[1] for r in rows}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {i: find(i) for i in root}
+
+    brute = [
+        (a[1], b[1])
+        for a in rows
+        for b in rows
+        if a[1] < b[1]
+        and metres(a[3:5], b[3:5]) < 100
+        and metres(a[5:7], b[5:7]) < 100
+        and max(a[2], b[2]) / min(a[2], b[2]) <= 1.1
+    ]
+    got = panel.route_links(spark.createDataFrame(rows, schema), ["user"], 100.0, 1.1).collect()
+    assert connected([(r["a"], r["b"]) for r in got]) == connected(brute)
+    assert len(brute) > 20
+
+
+def test_prefix_ranks_beyond_sixteen_bits_and_edges_of_bins(spark):
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    from ridgeflow.functions.grades import BIN_EDGES_PERMILLE, bin_index
+    from ridgeflow.operators import calibration
+
+    points = spark.range(70_000).select(
+        F.lit("k").alias("k"), F.col("id").alias("at"), (F.col("id") * 7919 % 70_000).cast("double").alias("v")
+    )
+    probes = spark.createDataFrame([("k", 70_000), ("k", 69_000)], "k string, at long")
+    got = {
+        r["at"]: r
+        for r in calibration.prefix_ranks(probes, points, ["k"], "at", "at", "v", {"q": (9, 10)}).collect()
+    }
+    for at, r in got.items():
+        known = sorted(float(i * 7919 % 70_000) for i in range(at))
+        assert (r["n_known"], r["q"]) == (at, known[-(-at * 9 // 10) - 1])
+
+    edges = [e / 1000 for e in BIN_EDGES_PERMILLE]
+    grades = [g for e in edges for g in (math.nextafter(e, -9), e, math.nextafter(e, 9))]
+    frame = spark.createDataFrame([(g,) for g in grades], "g double")
+    for r in frame.select("g", bin_index(F.col("g")).alias("b")).collect():
+        inside = edges[0] <= r["g"] < edges[-1]
+        assert r["b"] == (bisect.bisect_right(edges, r["g"]) - 1 if inside else None)
