@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,54 +78,94 @@ def vertical_speed_figure(
     }
 
 
+# Names of the declared trials in their order; the five after the principal are
+# the family of the Holm decisions. Classes of day lags of the residual autocorrelation.
+TRIAL_NAMES = (
+    "P",
+    "S-MP-cotes",
+    "S-MP-ski",
+    "S-MS-longues",
+    "S-MS-cotes",
+    "S-MS-ski",
+    *(f"S{n}" for n in (1, 2, 3, 4, 5, *range(8, 21))),
+)
+HOLM_FAMILY = TRIAL_NAMES[1:6]
+LONG, SHORT, SKI = "long_climb", "short_climb", "ski_touring"
+LAG_CLASSES: tuple[tuple[int, int | None], ...] = ((1, 7), (8, 30), (31, 90), (91, None))
+
+
 @dataclass(frozen=True)
 class Trial:
-    """One declared trial: a filter on days and the response it reads."""
+    """One declared trial: what it changes of the principal one.
+
+    ``regime`` picks the days, ``keep`` filters them further, ``response`` is read, ``drop``
+    (prefixes), ``add`` and ``rename`` change the columns, ``slope`` is the column whose
+    coefficient is reported and ``method`` how it is estimated."""
 
     name: str
+    regime: str | None = LONG
     keep: Column | None = None
     response: str = "y"
-    columns: Sequence[str] | None = None
+    drop: Sequence[str] = ()
+    add: Sequence[str] = ()
+    rename: Mapping[str, str] = field(default_factory=dict)
+    slope: str = "date"
+    method: str = "ols"
 
+    def columns(self, base: Sequence[str]) -> list[str]:
+        kept = [self.rename.get(c, c) for c in base if not any(c == d or (d.endswith("_") and c.startswith(d)) for d in self.drop)]
+        return [*kept, *(c for c in self.add if c not in kept)]
 
-def declared_trials() -> list[Trial]:
-    """The principal trial, five secondary ones and eighteen sensitivities.
 
-    Each changes one choice: the sample, the response or the covariates."""
-    def only(name: str, condition: str) -> Trial:
-        return Trial(name, F.expr(condition))
+def declared_trials(base: Sequence[str] = ("hr",)) -> list[Trial]:
+    """The principal trial, the five secondary ones and the eighteen sensitivities, in order.
 
-    secondary = [
-        Trial("wide_speed", response="y_wide"),
-        Trial("reserve", F.expr("reserve_bpm > 0"), response="y_reserve"),
-        only("long_climbs", "regime = 'long_climb'"),
-        only("short_climbs", "regime = 'short_climb'"),
-        only("ski_touring", "regime = 'ski_touring'"),
+    ``base`` are the columns of the principal trial: the form of the heart rate (one column
+    or a spline) and the day's deviation are switched to the other version."""
+    linear, deviating = "hr" in base, "e_s" in base
+    spline = ("hr_s1", "hr_s2")
+    other = {"drop": ("hr",), "add": spline} if linear else {"drop": spline, "add": ("hr",)}
+    changed = [
+        Trial("P"),
+        Trial("S-MP-cotes", SHORT),
+        Trial("S-MP-ski", SKI),
+        Trial("S-MS-longues", LONG, response="y_ms"),
+        Trial("S-MS-cotes", SHORT, response="y_ms"),
+        Trial("S-MS-ski", SKI, response="y_ms"),
+        Trial("S1", rename={"hr": "hr_unlagged"}),
+        Trial("S2", rename={"hr": "hr_second"}),
+        Trial("S3", **other),
+        Trial("S4", keep=F.col("all_stable") & ~F.col("any_slow")),
+        Trial("S5", keep=~F.col("period").eqNullSafe(F.lit("discovery"))),
+        Trial("S8", drop=("season_",)),
+        Trial("S9", method="common_support"),
+        Trial("S10", **({"drop": ("e_s",)} if deviating else {"add": ("e_s",)})),
+        Trial("S11", method="huber"),
+        Trial("S12", response="y_s12"),
+        Trial("S13", add=("preceding_moving_s",)),
+        Trial("S14", method="clustered"),
+        Trial("S15", drop=("route_",)),
+        Trial("S16", rename={"hr": "hr_elapsed"}),
+        Trial("S17", response="y_within", drop=("hr", "hr_")),
+        Trial("S18", method="inverse"),
+        Trial("S19", LONG, response="y_ms", slope="hr"),
+        Trial("S20", SHORT, response="y_ms", slope="hr"),
     ]
-    conditions = {
-        "single_activity": "activity_count = 1",
-        "stable_only": "all_stable",
-        "no_slow": "NOT any_slow",
-        "low_altitude": "elevation < 1500",
-        "high_altitude": "elevation >= 1500",
-        "moderate_grades": "grade <= 0.15",
-        "steep_grades": "grade > 0.15",
-        "morning": "hour < 12",
-        "afternoon": "hour >= 12",
-        "fresh": "ascent_before < 300",
-        "tired": "ascent_before >= 300",
-        "no_route_other": "route IS NOT NULL",
-        "discovery": "period = 'discovery'",
-        "after": "period = 'after'",
-    }
-    sensitivities = [only(n, c) for n, c in conditions.items()]
-    sensitivities += [
-        Trial("unlagged_hr", response="y", columns=("one", "date", "hr_unlagged", "log_gain", "grade")),
-        Trial("second_half_hr", response="y", columns=("one", "date", "hr_second", "log_gain", "grade")),
-        Trial("elapsed_hr", response="y", columns=("one", "date", "hr_elapsed", "log_gain", "grade")),
-        Trial("no_season", response="y", columns=("one", "date", "hr", "log_gain", "grade")),
-    ]
-    return [Trial("principal"), *secondary, *sensitivities]
+    return changed
+
+
+def _support(sample: DataFrame) -> Column:
+    """Heart rates that both the discovery and what follows it hold."""
+    ends = (
+        sample.filter(F.col("period").isin("discovery", "after"))
+        .groupBy("period")
+        .agg(F.min("hr").alias("low"), F.max("hr").alias("high"))
+        .agg(F.max("low"), F.min("high"), F.count(F.lit(1)))
+        .first()
+    )
+    if ends[2] < 2 or ends[0] is None:
+        return F.lit(False)
+    return F.col("hr").between(ends[0], ends[1])
 
 
 def efficiency_trials(
@@ -132,44 +173,109 @@ def efficiency_trials(
     columns: Sequence[str],
     trials: Sequence[Trial] | None = None,
     *,
+    eta: float | None = None,
     cluster: str = "month_no",
     alpha: float = 0.05,
     min_df: int = 10,
+    draws: int = 999,
+    seed: int = 1,
 ) -> DataFrame:
-    """Slope of the response on the date for every trial, with cluster-robust errors and
-    Holm decisions over the estimated ones.
+    """Slope of the response on the date for every trial, in the declared order.
 
-    A trial is one filter and one pass of cross-products over the day panel; the result
-    has one row per trial."""
+    ``design`` has a row per day and regime. Trials are least squares with cluster-robust
+    errors over months, but for the robust one (Huber), the clustered one (wild bootstrap by
+    month) and the inverse one (heart rate on response and date, solved for the response).
+    ``eta``, the slope within days, is taken off the response of the trial without a
+    heart-rate column. Holm decisions are taken over the five secondary trials alone. A trial without its
+    columns or with too few days says so. One row per trial: ``number``, ``trial``, ``n``,
+    ``slope``, ``se``, ``low``, ``high``, ``p``, ``reason``, ``rejected``, ``per_year``."""
     spark = design.sparkSession
+    if eta is not None and {"y", "hr"} <= set(design.columns):
+        design = design.withColumn("y_within", F.col("y") - F.lit(eta) * F.col("hr"))
     rows = []
-    for trial in trials or declared_trials():
-        wanted = list(trial.columns or columns)
-        needed = [trial.response, cluster, *wanted]
-        if any(c not in design.columns for c in needed):
-            rows.append((trial.name, None, None, None, None, "missing_column"))
+    for number, trial in enumerate(trials or declared_trials(columns)):
+
+        def told(reason: str, n=None, trial=trial, number=number):
+            return (number, trial.name, n, None, None, None, None, None, reason)
+
+        wanted = trial.columns(columns)
+        inverse = trial.method == "inverse"
+        response = trial.response
+        if inverse:
+            if "hr" not in wanted:
+                rows.append(told("missing_column"))
+                continue
+            wanted, response = [response if c == "hr" else c for c in wanted], "hr"
+        try:
+            sample = design if trial.regime is None else design.filter(F.col("regime") == trial.regime)
+            sample = sample if trial.keep is None else sample.filter(trial.keep)
+            sample = sample.dropna(subset=[response, cluster, *wanted])
+            if trial.method == "common_support":
+                sample = sample.filter(_support(sample))
+            slope_at = wanted.index(trial.slope)
+        except (AnalysisException, ValueError):
+            rows.append(told("missing_column"))
             continue
-        sample = design if trial.keep is None else design.filter(trial.keep)
-        sample = sample.dropna(subset=[trial.response, *wanted])
         size = sample.count()
         if size - len(wanted) < min_df:
-            rows.append((trial.name, size, None, None, None, "too_few_days"))
+            rows.append(told("too_few_days", size))
             continue
-        fit = trend.ols(sample, wanted, trial.response)
-        j = wanted.index("date")
-        robust = trend.cr2_cov(sample, fit, trial.response, cluster)
-        se = float(robust[j, j] ** 0.5)
-        slope = float(fit.coef[j])
+        if trial.method == "huber":
+            fit, _, _ = trend.huber(sample, wanted, response)
+            covariance = fit.cov
+        else:
+            fit = trend.ols(sample, wanted, response)
+            covariance = trend.cr2_cov(sample, fit, response, cluster)
+        slope, se = float(fit.coef[slope_at]), float(covariance[slope_at, slope_at] ** 0.5)
+        if inverse:
+            share = float(fit.coef[wanted.index(trial.response)])
+            slope, se = -slope / share, abs(se / share)
+        half = trend.quantile(1 - alpha / 2, fit.df) * se
+        low, high = slope - half, slope + half
+        if trial.method == "clustered":
+            try:
+                low, high = trend.wild_cluster_interval(sample, fit, response, cluster, slope_at, 1 - alpha, draws, seed)
+            except ValueError as error:
+                rows.append(told(str(error), size))
+                continue
         p = trend.two_sided_p(slope / se, fit.df) if se > 0 else None
-        rows.append((trial.name, size, slope, se, p, None))
-    schema = "trial string, n long, slope double, se double, p double, reason string"
+        rows.append((number, trial.name, size, slope, se, low, high, p, None))
+    schema = "number int, trial string, n long, slope double, se double, low double, high double, p double, reason string"
     table = spark.createDataFrame(rows, schema)
-    judged = trend.holm(table.filter(F.col("p").isNotNull()), [], "p", "trial", alpha)
+    family = table.filter(F.col("p").isNotNull() & F.col("trial").isin(*HOLM_FAMILY))
+    judged = trend.holm(family, [], "p", "trial", alpha)
     return table.join(judged.select("trial", "rejected"), "trial", "left").withColumn(
         "per_year", trend.fraction_per_year(F.col("slope"))
     )
 
 
+def residual_autocorrelation(
+    design: DataFrame,
+    columns: Sequence[str],
+    classes: Sequence[tuple[int, int | None]] = LAG_CLASSES,
+    *,
+    response: str = "y",
+    min_df: int = 10,
+) -> DataFrame:
+    """Autocorrelation of the residuals by class of day lag, for each regime that can be fitted.
+
+    ``design`` has a ``day`` number; returns ``regime``, ``lag_low``, ``lag_high``, ``pairs`` and
+    ``correlation``."""
+    out = None
+    for regime in (LONG, SHORT, SKI):
+        sample = design.filter(F.col("regime") == regime).dropna(subset=[response, *columns])
+        if sample.count() - len(columns) < min_df:
+            continue
+        fit = trend.ols(sample, list(columns), response)
+        residuals = sample.select("regime", "day", (F.col(response) - fit.prediction()).alias("residual"))
+        found = trend.lag_autocorrelation(residuals, ["regime"], "day", "residual", classes)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        empty = "regime string, lag_low int, lag_high int, pairs long, correlation double"
+        return design.sparkSession.createDataFrame([], empty)
+    return out
+
+
 def trend_figure(
     design: DataFrame,
     columns: Sequence[str],
@@ -232,7 +338,3 @@ def flow_table(
     """Exclusion flow of the panel: counts per regime, period, month and motif."""
     both = kept.unionByName(excluded, allowMissingColumns=True)
     return panel.flow_counts(both, keys)
-
-
-Report = Mapping[str, DataFrame]
-Run = Callable[[], Report]

@@ -185,15 +185,40 @@ def test_trials_find_the_slope(spark):
         for i in range(300)
     ]
     design = spark.createDataFrame(rows, "day int, month_no int, one double, date double, grade double, y double")
-    trials = [questions.Trial("principal"), questions.Trial("late", F.expr("day > 150"))]
+    trials = [questions.Trial("S-MP-ski", None), questions.Trial("late", None, F.expr("day > 150"))]
     out = {r.trial: r for r in questions.efficiency_trials(design, ["one", "date", "grade"], trials).collect()}
-    assert abs(out["principal"].slope - 0.001) < 1e-4 and out["principal"].rejected
-    assert len(questions.declared_trials()) == 24
+    assert abs(out["S-MP-ski"].slope - 0.001) < 1e-4 and out["S-MP-ski"].rejected
+    assert abs(out["late"].slope - 0.001) < 1e-4 and out["late"].rejected is None
     residuals, band = questions.trend_figure(design, ["one", "date", "grade"], 11, draws=30)
     for r in band.collect():
         assert r.low < r.estimate < r.high
 
 
+def test_the_24_trials_in_their_order_and_holm_over_five(spark):
+    assert [t.name for t in questions.declared_trials()] == list(questions.TRIAL_NAMES)
+    assert len(questions.TRIAL_NAMES) == 24 and len(questions.HOLM_FAMILY) == 5
+    rows = []
+    for regime, shift in (("long_climb", 0), ("short_climb", 1), ("ski_touring", 2)):
+        for i in range(90):
+            hr = 140 + 5 * math.sin(i * 1.7 + shift)
+            y = 0.002 * i + 0.01 * hr + 0.01 * math.cos(7 * i + shift)
+            rows.append((regime, i, i // 6, 1.0, float(i), hr, hr + 1, y, y / 2, "discovery" if i < 45 else "after", True, False))
+    schema = (
+        "regime string, day int, month_no int, one double, date double, hr double, hr_unlagged double, "
+        "y double, y_ms double, period string, all_stable boolean, any_slow boolean"
+    )
+    design = spark.createDataFrame(rows, schema)
+    some = [t for t in questions.declared_trials(["one", "date", "hr"]) if t.name not in ("S14",)]
+    out = {r.trial: r for r in questions.efficiency_trials(design, ["one", "date", "hr"], some, eta=0.01).collect()}
+    for name in ("P", "S1", "S4", "S8", "S9", "S11", "S17", "S18"):
+        assert abs(out[name].slope - 0.002) < 2e-4, name
+    assert abs(out["S-MS-longues"].slope - 0.001) < 1e-4 and abs(out["S19"].slope - 0.005) < 1e-3
+    assert {n for n, r in out.items() if r.rejected is not None} == set(questions.HOLM_FAMILY)
+    assert out["S2"].reason == out["S13"].reason == "missing_column"
+    found = questions.residual_autocorrelation(design, ["one", "date", "hr"]).collect()
+    assert {r.regime for r in found} == {"long_climb", "short_climb", "ski_touring"} and len(found) == 12
+
+
 def _drain(stream, mode, name):
     """Runs a stream over what is there; processing-time timers would keep it alive."""
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name)
