@@ -21,13 +21,14 @@ def all_checks() -> dict[str, Check]:
         curves,
         days,
         inference,
+        measures,
         outings,
         scores,
         tracks,
     )
 
     out: dict[str, Check] = {}
-    for module in (tracks, curves, scores, outings, days, inference):
+    for module in (tracks, curves, scores, outings, days, inference, measures):
         for name, check in module.CHECKS.items():
             if name in out:
                 raise ValueError(f"query registered twice: {name}")
