@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from ridgeflow.session import cut_lineage
 
 CHUNK = "chunk"
-_LO, _WIDTH = "chunk_lo", "chunk_width"
-_HELPERS = (CHUNK, _LO, _WIDTH)
+_LO, _WIDTH, _TOP = "chunk_lo", "chunk_width", "chunk_top"
+HELPERS = (CHUNK, _LO, _WIDTH, _TOP)
 _FINE_BINS = 256
+# Share of a hot key's rows at either end of the axis that has a slice of its own.
+_STRAY = 0.0005
 DEFAULT_TARGET_ROWS = 4_000_000
 BROADCAST_ROWS = 100_000
 
@@ -61,7 +63,7 @@ def is_chunked(df: DataFrame) -> bool:
 
 
 def without_chunks(df: DataFrame) -> DataFrame:
-    return df.drop(*_HELPERS)
+    return df.drop(*HELPERS)
 
 
 def assign_chunks(
@@ -69,9 +71,11 @@ def assign_chunks(
 ) -> DataFrame:
     """Adds slice columns when some key is larger than the target, else ``df`` itself.
 
-    The slices are equal pieces of the numeric ``order`` axis, narrow enough that the
-    densest of 256 sub-ranges of a key stays under the target. They depend only on
-    exact counts, minima and maxima, so a recomputed task finds the same slices."""
+    The slices are equal pieces of the numeric ``order`` axis between two ranks near its
+    ends, narrow enough that the densest of 256 sub-ranges of a key stays under the target;
+    what lies outside, such as a record at time zero, has a slice before and after. The
+    bounds are collected here once, so a recomputed task finds the same slices. Rows at one
+    instant always share a slice."""
     if is_chunked(df):
         return df
     target = target_rows or target_rows_of(df)
@@ -86,21 +90,30 @@ def assign_chunks(
     hot_count = hot.count()
     if hot_count == 0:
         return df
-    span = F.col("_hi") - F.col(_LO)
-    fine = F.least(
-        F.floor((F.col("_t") - F.col(_LO)) / span * _FINE_BINS), F.lit(_FINE_BINS - 1)
-    )
     hot = broadcast_if_small(hot, hot_count)
     matched = slim.join(hot, list(keys)) if keys else slim.crossJoin(hot)
+    ranks = F.percentile_approx("_t", [_STRAY, 1 - _STRAY], 10_000)
+    ends = matched.groupBy(*keys, _LO, "_hi").agg(ranks.alias("_r"))
+    inner = F.col("_r")[1] > F.col("_r")[0]
+    ends = ends.select(
+        *keys,
+        F.when(inner, F.col("_r")[0]).otherwise(F.col(_LO)).alias(_LO),
+        F.when(inner, F.col("_r")[1]).otherwise(F.col("_hi")).alias("_hi"),
+    )
+    ends = broadcast_if_small(cut_lineage(ends), hot_count)
+    span = F.col("_hi") - F.col(_LO)
+    fine = F.floor((F.col("_t") - F.col(_LO)) / span * _FINE_BINS)
+    matched = slim.join(ends, list(keys)) if keys else slim.crossJoin(ends)
     densest = (
-        matched.groupBy(*keys, _LO, "_hi", fine.alias("_fine"))
+        matched.filter(F.col("_t").between(F.col(_LO), F.col("_hi")))
+        .groupBy(*keys, _LO, "_hi", F.least(fine, F.lit(_FINE_BINS - 1)).alias("_fine"))
         .agg(F.count(F.lit(1)).alias("_m"))
         .groupBy(*keys, _LO, "_hi")
         .agg(F.max("_m").alias("_m"))
     )
     pieces = F.ceil(F.col("_m") * _FINE_BINS / F.lit(target))
-    widths = densest.select(*keys, _LO, (span / pieces).alias(_WIDTH))
-    widths = broadcast_if_small(widths, hot_count)
+    widths = densest.select(*keys, _LO, (span / pieces).alias(_WIDTH), pieces.cast("long").alias(_TOP))
+    widths = broadcast_if_small(cut_lineage(widths), hot_count)
     tagged = df.join(widths, list(keys), "left") if keys else df.crossJoin(widths)
     return tagged.withColumn(CHUNK, chunk_of(_axis(df, order)))
 
@@ -117,9 +130,9 @@ def _axis(df: DataFrame, order: str) -> Column:
 
 def chunk_of(at: Column) -> Column:
     """Slice number of a position, 0 for keys that are not split."""
-    return F.coalesce(
-        F.floor((at.cast("double") - F.col(_LO)) / F.col(_WIDTH)), F.lit(0)
-    ).cast("long")
+    piece = F.floor((at.cast("double") - F.col(_LO)) / F.col(_WIDTH))
+    inside = F.greatest(F.lit(-1), F.least(piece, F.col(_TOP)))
+    return F.when(F.col(_WIDTH).isNotNull(), inside).otherwise(F.lit(0)).cast("long")
 
 
 def _orders(order: Sequence[str | Column]) -> list[Column]:

@@ -51,7 +51,7 @@ def polyline_steps(line: DataFrame, keys: Sequence[str], order: str = "seq") ->
     )
     segments = led.filter(F.col("b_m").isNotNull()).select(
         *keys,
-        *[c for c in (ordered.CHUNK, "chunk_lo", "chunk_width") if c in led.columns],
+        *[c for c in ordered.HELPERS if c in led.columns],
         F.col(order).alias("seq"),
         F.col("distance_m").alias("a_m"),
         F.col("lat").alias("a_lat"),

@@ -169,3 +169,17 @@ def test_zigzag_split_equals_plain(spark, seed):
         finally:
             spark.conf.unset("spark.ridgeflow.chunkRows")
         assert sorted((r.low, r.high) for r in got) == want
+
+
+def test_a_stray_instant_does_not_defeat_the_slices(spark):
+    rows = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") + 1_700_000_000).cast("double").alias("t"))
+    rows = rows.unionByName(spark.createDataFrame([("k", 0.0)], "k string, t double"))
+    spark.conf.set("spark.ridgeflow.chunkRows", "1000")
+    try:
+        tagged = ordered.assign_chunks(rows, ["k"], "t")
+        sizes = [r["count"] for r in tagged.groupBy(ordered.CHUNK).count().collect()]
+        assert len(sizes) >= 20 and max(sizes) <= 1100 and sum(sizes) == 20_001
+        counted = ordered.running(rows, ["k"], ["t"], {"n": ("count", F.lit(1))})
+        assert counted.filter("n <> 1 AND n <> CAST(t - 1700000000 + 2 AS LONG)").count() == 0
+    finally:
+        spark.conf.unset("spark.ridgeflow.chunkRows")
