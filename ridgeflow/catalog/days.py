@@ -167,11 +167,10 @@ GROUP BY e.user_id, e.day
 
 
 def series_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of consecutive days with the same admission, and the last ten days kept."""
+    """Runs of consecutive days with the same admission."""
     runs = days.series_runs(_daily(spark, sf), USER, ["admitted"])
-    kept = days.last_days(runs, USER, 10)
     return compact(
-        kept.groupBy("user_id", "run", "admitted").agg(
+        runs.groupBy("user_id", "run", "admitted").agg(
             F.min("day").alias("first_day"), F.count(F.lit(1)).alias("days")
         )
     )
@@ -180,9 +179,20 @@ def series_runs(spark: SparkSession, sf: str) -> DataFrame:
 RUNS_SQL = DAILY_SQL + """,
 s AS (SELECT *, CASE WHEN lag(admitted) OVER w IS NULL OR lag(admitted) OVER w <> admitted THEN 1 ELSE 0 END AS f
       FROM d WINDOW w AS (PARTITION BY user_id ORDER BY n)),
-t AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY n) AS run, max(n) OVER (PARTITION BY user_id) AS z FROM s)
+t AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY n) AS run FROM s)
 SELECT user_id, CAST(run AS BIGINT) AS run, admitted, min(day) AS first_day, count(*) AS days
-FROM t WHERE z - n < 10 GROUP BY 1, 2, 3
+FROM t GROUP BY 1, 2, 3
+"""
+
+
+def last_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The last ten days of every user's series: a report of a fixed length."""
+    return compact(days.last_days(_daily(spark, sf), USER, 10), "user_id", "day", "admitted")
+
+
+LAST_SQL = DAILY_SQL + """,
+t AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS z FROM d)
+SELECT user_id, day, admitted FROM t WHERE z - n < 10
 """
 
 
@@ -614,6 +624,7 @@ CHECKS = {
     "ruptures_segments": Check(ruptures_segments, _text(RUPTURE_SQL)),
     "watch_normals": Check(watch_normals, _text(WATCH_SQL)),
     "series_runs": Check(series_runs, _text(RUNS_SQL, "first_day")),
+    "last_days": Check(last_days, _text(LAST_SQL, "day")),
     "lowest_window": Check(lowest_window, LOWEST_SQL),
     "first_wins_dedup": Check(first_wins_dedup, FIRST_SQL),
     "export_merge": Check(export_merge, _text(MERGE_SQL)),

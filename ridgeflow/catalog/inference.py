@@ -445,8 +445,8 @@ def two_way_converged(spark: SparkSession, sf: str) -> DataFrame:
     cells = events(spark, sf).groupBy("user_id", "event_type").agg(
         F.log(F.avg("value") + 1).alias("y")
     )
-    levels, _, _, _ = effects.two_way_fit(cells, [], "user_id", "event_type", "y")
-    return levels
+    levels, _, _, certified = effects.two_way_fit(cells, [], "user_id", "event_type", "y")
+    return levels.withColumn("certified", F.lit(certified))
 
 
 CHECKS = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeflow.catalog import Check
@@ -450,67 +450,71 @@ FROM a LEFT JOIN {_t_values()} ON tq.df = least(n - 1, 101)
 
 
 def two_way_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Users as days, event types as segments: three rounds of alternating means."""
+    """Users as days, event types as segments, to convergence: the normal equations hold.
+
+    Mean residuals of every day and segment and the mean day level are nil exactly where the
+    fit is the least-squares one."""
     cells = events(spark, sf).groupBy("user_id", "event_type").agg(
         F.log(F.avg("value") + 1).alias("y")
     )
-    levels, segments = effects.fixed_rounds(cells, [], "user_id", "event_type", "y", 3)
+    levels, segments, _, certified = effects.two_way_fit(cells, [], "user_id", "event_type", "y")
     joined = cells.join(levels, "user_id").join(segments, "event_type")
-    return compact(
-        joined.withColumn("fitted", F.col("a") + F.col("c")), "user_id", "event_type", "c", "a", "fitted"
+    joined = joined.withColumn("r", F.col("y") - F.col("a") - F.col("c"))
+
+    def nil(side: str, name: Column, rows: DataFrame, value: str) -> DataFrame:
+        off = F.round(F.abs(F.avg(value)), 6).alias("off")
+        grouped = rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("cells"), off)
+        return grouped.withColumn("side", F.lit(side))
+
+    out = (
+        nil("day", F.col("user_id").cast("string"), joined, "r")
+        .unionByName(nil("segment", F.col("event_type"), joined, "r"))
+        .unionByName(nil("centre", F.lit("all"), levels, "c"))
     )
+    return out.withColumn("certified", F.lit(certified))
 
 
 TWO_WAY_SQL = """
-WITH y AS (SELECT user_id AS u, event_type AS k, ln(avg(value) + 1) AS y FROM events GROUP BY 1, 2),
-a1 AS (SELECT k, avg(y) AS a FROM y GROUP BY k),
-r1 AS (SELECT u, avg(y - a) AS c FROM y JOIN a1 USING (k) GROUP BY u),
-c1 AS (SELECT u, c - (SELECT avg(c) FROM r1) AS c FROM r1),
-a2 AS (SELECT k, avg(y - c) AS a FROM y JOIN c1 USING (u) GROUP BY k),
-r2 AS (SELECT u, avg(y - a) AS c FROM y JOIN a2 USING (k) GROUP BY u),
-c2 AS (SELECT u, c - (SELECT avg(c) FROM r2) AS c FROM r2),
-a3 AS (SELECT k, avg(y - c) AS a FROM y JOIN c2 USING (u) GROUP BY k),
-r3 AS (SELECT u, avg(y - a) AS c FROM y JOIN a3 USING (k) GROUP BY u),
-c3 AS (SELECT u, c - (SELECT avg(c) FROM r3) AS c FROM r3),
-a4 AS (SELECT k, avg(y - c) AS a FROM y JOIN c3 USING (u) GROUP BY k)
-SELECT y.u AS user_id, y.k AS event_type, round(c, 6) AS c, round(a, 6) AS a, round(a + c, 6) AS fitted
-FROM y JOIN c3 USING (u) JOIN a4 USING (k)
+WITH y AS (SELECT user_id AS u, event_type AS k FROM events GROUP BY 1, 2)
+SELECT 'day' AS side, CAST(u AS VARCHAR) AS name, count(*) AS cells, CAST(0.0 AS DOUBLE) AS off, true AS certified FROM y GROUP BY u
+UNION ALL SELECT 'segment', k, count(*), CAST(0.0 AS DOUBLE), true FROM y GROUP BY k
+UNION ALL SELECT 'centre', 'all', count(DISTINCT u), CAST(0.0 AS DOUBLE), true FROM y
 """
 
 
 def leave_one_day_out(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers' nations as routes, months as days: held-out scores by class."""
+    """Suppliers' regions as routes, months as days: held-out scores by class, converged.
+
+    Every month of a region has every line number, so that one round is the whole fit and
+    SQL can state it."""
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    suppliers = table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     items = table(spark, sf, "lineitem").join(
-        table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"),
-        F.col("l_suppkey") == F.col("s_suppkey"),
+        suppliers.select("s_suppkey", "n_regionkey"), F.col("l_suppkey") == F.col("s_suppkey")
     )
     cells = items.groupBy(
-        F.col("s_nationkey").alias("route"),
-        (F.month("l_shipdate") % 4).alias("day"),
+        F.col("n_regionkey").alias("route"),
+        F.month("l_shipdate").alias("day"),
         F.col("l_linenumber").alias("k"),
     ).agg(F.sum("l_quantity").alias("t"))
     cells = cells.withColumn(
         "klass", F.when(F.col("k") <= 3, "ascent").when(F.col("k") <= 5, "flat").otherwise("descent")
     )
-    classes, _ = effects.leave_one_day_out(cells, ["route"], rounds=1)
-    return compact(classes, "route", "fold", "klass", "n", "class_level", "class_dispersion")
+    classes, _ = effects.leave_one_day_out(cells, ["route"])
+    return compact(classes, "route", "fold", "klass", "n", "class_level", "class_dispersion", "motif")
 
 
 LODO_SQL = """
-WITH c AS (SELECT s_nationkey AS route, CAST(month(l_shipdate) % 4 AS INTEGER) AS day, l_linenumber AS k, sum(l_quantity) AS t
-           FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3),
+WITH c AS (SELECT n_regionkey AS route, CAST(month(l_shipdate) AS INTEGER) AS day, l_linenumber AS k, sum(l_quantity) AS t
+           FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2, 3),
 f AS (SELECT DISTINCT route, day AS fold FROM c),
-tr AS (SELECT c.route, fold, day, k, ln(t) AS y FROM c JOIN f ON f.route = c.route AND f.fold <> c.day),
-a1 AS (SELECT route, fold, k, avg(y) AS a FROM tr GROUP BY 1, 2, 3),
-r1 AS (SELECT tr.route, tr.fold, day, avg(y - a) AS c FROM tr JOIN a1 USING (route, fold, k) GROUP BY 1, 2, 3),
-c1 AS (SELECT route, fold, day, c - avg(c) OVER (PARTITION BY route, fold) AS c FROM r1),
-a2 AS (SELECT tr.route, tr.fold, k, avg(y - c) AS a FROM tr JOIN c1 USING (route, fold, day) GROUP BY 1, 2, 3),
+a2 AS (SELECT c.route, fold, k, avg(ln(t)) AS a FROM c JOIN f ON f.route = c.route AND f.fold <> c.day GROUP BY 1, 2, 3),
 p AS (SELECT c.route, c.day AS fold, c.k, c.t, exp(a) AS p,
              CASE WHEN c.k <= 3 THEN 'ascent' WHEN c.k <= 5 THEN 'flat' ELSE 'descent' END AS klass
       FROM c JOIN a2 ON a2.route = c.route AND a2.fold = c.day AND a2.k = c.k),
 s AS (SELECT route, fold, klass, count(*) AS n, ln(sum(p) / sum(t)) AS cl, sum(t) AS st FROM p GROUP BY 1, 2, 3)
 SELECT p.route, p.fold, p.klass, max(s.n) AS n, round(max(cl), 6) AS class_level,
-       round(sum(t * abs(ln(p.p / t) - cl)) / max(st), 6) AS class_dispersion
+       round(sum(t * abs(ln(p.p / t) - cl)) / max(st), 6) AS class_dispersion, CAST(NULL AS VARCHAR) AS motif
 FROM p JOIN s ON s.route = p.route AND s.fold = p.fold AND s.klass = p.klass
 GROUP BY p.route, p.fold, p.klass
 """

@@ -157,15 +157,17 @@ def leave_one_day_out(
     Every fold fits segment levels on the other days and scores the held-out day with
     them. Only segments seen by the other days of the same connected part can be
     predicted. Days of a route are few (a handful of dated runs), so folds multiply the
-    cells by that number and nothing more."""
+    cells by that number and nothing more. A fit that did not settle has the motif
+    ``non-convergence``."""
     route = list(route)
     days = cells.select(*route, F.col(day).alias("fold")).distinct()
     usable = cells.filter(F.col(t) > 0).withColumn("y", F.log(t))
     training = usable.join(days, route).filter(F.col("fold") != F.col(day))
     keys = [*route, "fold"]
     if rounds is None:
-        _, segments, _, _ = two_way_fit(training, keys, day, segment, "y")
+        _, segments, _, certified = two_way_fit(training, keys, day, segment, "y")
     else:
+        certified = True
         _, segments = fixed_rounds(training, keys, day, segment, "y", rounds)
     held = cells.withColumn("fold", F.col(day))
     predicted = held.join(segments, [*keys, segment]).withColumn("p", F.exp("a"))
@@ -175,4 +177,5 @@ def leave_one_day_out(
         F.avg("class_dispersion").alias("reference_dispersion"),
         F.count("class_level").alias("folds"),
     )
-    return scores.classes, means
+    motif = F.lit(None if certified else "non-convergence").cast("string")
+    return scores.classes.withColumn("motif", motif), means.withColumn("motif", motif)
