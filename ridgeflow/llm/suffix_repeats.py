@@ -21,7 +21,9 @@ COVER = 2
 BUCKET_SUFFIXES, BUCKETS = 3_000_000, 24
 #: Keys that may be broadcast to pick documents, 8 bytes each.
 BROADCAST_KEYS = 1_000_000
-_SLICE = 2 << 20
+#: Rows of a batch that a task holds: texts, and packed suffixes of some texts.
+TEXT_ROWS, PACKED_ROWS = 1000, 256
+_SLICE = 1 << 20
 
 _SENT = "bucket int, keys binary, counts binary, tags binary"
 _SAID = "key long, bucket int, mask binary"
@@ -91,7 +93,7 @@ class _Seen:
     def add(self, tags: np.ndarray) -> None:
         self.waiting.append(tags)
         self.size += len(tags)
-        if self.size > max(1_000_000, len(self.tags)):
+        if self.size > max(500_000, len(self.tags) // 2):
             self.settle()
 
     def settle(self) -> None:
@@ -151,10 +153,21 @@ def _sort_buckets(kind: str):
     return run
 
 
+def _written(rows: DataFrame, batch: int) -> DataFrame:
+    """A table cut from its lineage, made with batches of so many rows."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = rows.sparkSession.conf
+    before = conf.get(setting)
+    conf.set(setting, str(batch))
+    try:
+        return cut_lineage(rows)
+    finally:
+        conf.set(setting, before)
+
+
 def _answered(sent: DataFrame, buckets: int, kind: str) -> DataFrame:
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    said = dealt.mapInArrow(_sort_buckets(kind), _SAID)
-    return cut_lineage(said)
+    return _written(dealt.mapInArrow(_sort_buckets(kind), _SAID), PACKED_ROWS)
 
 
 def _marked(owner: np.ndarray, hashes: np.ndarray, buckets: int, answers: list[list[dict]]) -> np.ndarray:
@@ -244,10 +257,13 @@ def repeated_strings(
             for first, last, _, own in _texts(batch, 1, cover):
                 yield _packed(keys[first:last], own.owner, own.ranks, buckets, "uint32")
 
-    ranks = _answered(given.select("key", "text").mapInArrow(send_ranks, _SENT), buckets, "uint32")
-
-    # Texts with a repeated rank, without all but one of each group of copies.
-    copied = info.select("key", "sha").join(groups, "sha").where("key <> stands").select("key").distinct()
+    # One of each group of copies stands for all. The others stay out of the first pass too
+    # where they are few enough to say so to every task; the result is the same.
+    copied = cut_lineage(info.select("key", "sha").join(groups, "sha").where("key <> stands").select("key").distinct())
+    single = given.select("key", "text")
+    if copied.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        single = single.join(F.broadcast(copied), "key", "left_anti")
+    ranks = _answered(single.mapInArrow(send_ranks, _SENT), buckets, "uint32")
     by_key = cut_lineage(
         ranks.groupBy("key").agg(F.collect_list(F.struct("bucket", "mask")).alias("ranks")).join(copied, "key", "left_anti")
     )
@@ -299,7 +315,7 @@ def repeated_strings(
     whole = F.col("copies").isNotNull()
     return (
         info.join(groups.select("sha", "copies"), "sha", "left")
-        .join(cut_lineage(removed), "key", "left")
+        .join(_written(removed, TEXT_ROWS), "key", "left")
         .select(
             "doc_id",
             "n_bytes",
