@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
 #: Folder of this process where the setting is unset (local sessions only).
 _local: list[str] = []
+#: Tables that this process has cut from their lineage and not removed.
+_cuts: list[str] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -47,6 +52,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[0]
 
 
+@contextmanager
+def cuts_removed() -> Iterator[None]:
+    """Removes, at the end of the block, the tables that were cut inside it.
+
+    For jobs whose results are written inside the block: frames that still read such a
+    table cannot be used afterwards."""
+    first = len(_cuts)
+    try:
+        yield
+    finally:
+        for path in _cuts[first:]:
+            files, place = fs.FileSystem.from_uri(path)
+            if files.get_file_info(place).type == fs.FileType.Directory:
+                files.delete_dir(place)
+        del _cuts[first:]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
@@ -54,5 +76,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     prune columns and know its size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _cuts.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
