@@ -40,7 +40,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     A text with fewer words has one n-gram of all of them; without words it has none."""
     lowered = pc.utf8_lower(column.cast(pa.large_string()))
     data, offsets = text_buffer(lowered)
-    for first, last in slices(offsets, 1 << 20):
+    for first, last in slices(offsets, 1 << 19):
         here = offsets[first : last + 1] - offsets[first]
         piece = data[offsets[first] : offsets[last]]
         inside = ~_BLANK[piece]
@@ -197,7 +197,7 @@ def _verify(threshold: float):
         token = np.cumsum(new) - 1
         common = np.bincount(token)[token] > 1
         token, owner = token[common], owner[common]
-        columns = max(1, (8 << 20) // max(n, 1))
+        columns = max(1, (2 << 20) // max(n, 1))
         if len(token):
             token = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1
             for first in range(0, int(token[-1]) + 1, columns):
@@ -245,8 +245,9 @@ def near_duplicates(
     again on further sampled tokens, up to ``depth`` steps, and dealt out in pairs of blocks
     where members stay together because they are alike. Small buckets are compared member by
     member on sketches; what may be alike joins candidate groups, and every pair of a group is
-    verified on whole sets, in pairs of blocks where a group is large. So no link depends on
-    an estimate twice, no group is gathered as a whole, and copies are never paired.
+    verified on whole sets, in pairs of blocks where a group is large. So links and their
+    numbers are exact inside a group, no group is gathered as a whole, and copies are never
+    paired.
 
     Texts without words have no links and are classes of their own, like rows without an id
     (class null). Rows that repeat an id count as one member per different text."""

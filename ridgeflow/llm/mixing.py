@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ SHARE, LIMIT = 1.5, 2.0
 BLOCK_WORDS = 16
 SHARDS = 16
 SEED = 20_17
+#: Texts that a task turns into strings at a time.
+_ROWS = 500
 _WORD = re.compile("[^\\x20\\x09-\\x0d]+")
 
 
@@ -217,10 +220,10 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     )
     names, has_chars = docs.columns, "n_chars" in docs.columns
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(first, _ROWS) for b in batches for first in range(0, len(b), _ROWS))
+        for given in parts:
+            shape, batch = given.select(names).schema, given.to_pandas()
             named = pd.DataFrame({c: batch[f"__mix_{c}"] for c in spans})
             blocks = block_spans(named)
             for turn in (1, 2):
@@ -239,6 +242,6 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
                     out[text] = texts
                     if has_chars:
                         out["n_chars"] = [len(t) for t in texts]
-                yield out
+                yield pa.RecordBatch.from_pandas(out, shape, preserve_index=False)
 
-    return joined.mapInPandas(cut, docs.schema)
+    return joined.mapInArrow(cut, docs.schema)

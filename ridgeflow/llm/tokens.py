@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow as pa
 from ridgeflow.llm.hashing import ragged, running_hash, slices, span_hash, text_buffer
 
 #: Bytes of text worked on at a time, and the words that a task remembers.
-SLICE_BYTES, KNOWN_WORDS = 4 << 20, 2_000_000
+SLICE_BYTES, KNOWN_WORDS = 1 << 20, 600_000
 # Byte classes: blank, letter, digit, mark, anything else (never split next to it).
 _BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -115,6 +116,13 @@ class WordTokens:
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(size)])
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at most: what is made of them stays small too."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
 _loaded: dict[str, WordTokens] = {}
 
 

@@ -24,7 +24,9 @@ ORDINARY_BYTES, TOXIC_BYTES = 32768, 8192
 #: text, and in so many toxic documents at least; a segment needs two such.
 CONTRAST, LEAST_DOCUMENTS, GRAM = 40.0, 3, 5
 SEED = 5
-_BATCH_BYTES = 1 << 20
+_BATCH_BYTES = 1 << 18
+#: Texts that a task turns into strings at a time.
+_ROWS = 200
 
 
 def window_segments(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -234,7 +236,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = model.lengths() if model.weights is not None else None
         for batch in batches:
-            scores = model.score(batch.column(1).to_pylist(), lengths)
+            parts = (batch.column(1).slice(first, _ROWS) for first in range(0, len(batch), _ROWS))
+            scores = np.concatenate([model.score(part.to_pylist(), lengths) for part in parts] or [np.zeros(0)])
             said = pa.array((scores >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), said], ["doc_id", "score", "predicted"])
 
@@ -250,7 +253,9 @@ def clean_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = model.lengths() if model.weights is not None else None
         for batch in batches:
-            yield batch.filter(pa.array(model.score(batch.column(at).to_pylist(), lengths) < 0.5))
+            for first in range(0, len(batch), _ROWS):
+                part = batch.slice(first, _ROWS)
+                yield part.filter(pa.array(model.score(part.column(at).to_pylist(), lengths) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
 
