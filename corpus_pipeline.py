@@ -13,15 +13,15 @@ from ridgeflow.llm.jaccard_join import near_duplicates
 from ridgeflow.llm.mixing import mixed_documents
 from ridgeflow.llm.packing import pack_documents
 from ridgeflow.llm.toxicity import clean_documents, fit_toxicity
-from ridgeflow.session import shared_folder
+from ridgeflow.session import cuts_removed, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents with one of the given ids; a null id is an id like any other."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    ids = ids.select(F.col("doc_id").alias("__staying")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__staying")), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cuts_removed():  # what the stage wrote on its way is not read again
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
