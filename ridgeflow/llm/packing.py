@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeflow.llm.prefix import running_before, spread
-from ridgeflow.llm.tokens import public_path, word_tokens
+from ridgeflow.llm.tokens import public_path, small_batches, word_tokens
 from ridgeflow.session import cut_lineage
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,7 +40,7 @@ def cut_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(public_path(tokenizer))
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, ends = words(batch.column(1))
             keys = batch.column(0).cast(pa.int64()).to_pylist()
             rows: list[tuple] = []

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from ridgeflow.llm.feistel import permuted
 from ridgeflow.llm.prefix import running_before, spread
-from ridgeflow.llm.tokens import public_path, word_tokens
+from ridgeflow.llm.tokens import public_path, small_batches, word_tokens
 from ridgeflow.session import cut_lineage, shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID, PAD_ID = 49407, 49407
 #: Ids of a sequence (its stride is twice as many bytes) and sequences of a shard.
-SEQUENCE, SHARD = 512, 8192
+SEQUENCE, SHARD = 512, 4096
 KEY = 0x5EED
 
 #: Documents whose first slot may be broadcast, 32 bytes each.
@@ -35,7 +35,7 @@ _PLACED = "doc_id long, part int, tokens int, slot long, shard long, place int,
 def _token_counts(given: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(public_path(tokenizer))
-        for batch in batches:
+        for batch in small_batches(batches):
             _, ends = words(batch.column(2))
             sizes = pa.array(np.diff(ends) + 1, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], ["k1", "k2", "tokens"])
@@ -46,7 +46,7 @@ def _token_counts(given: DataFrame, tokenizer: str) -> DataFrame:
 def _cut_sequences(placed: DataFrame, tokenizer: str, sequence: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(public_path(tokenizer))
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, ends = words(batch.column(1))
             keys, firsts, copies = (batch.column(c).to_pylist() for c in (0, 2, 3))
             rows: list[tuple] = []

@@ -94,17 +94,20 @@ def _grams(word: str) -> list[str]:
 
 def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Segments of the toxic texts that ordinary text lacks: what the toxic dictionary learns."""
-    per_text = [[(w, _grams(w)) for w in _letters(t)] for t in toxic]
     seen, common = Counter(), Counter()
-    for words in per_text:
-        seen.update({g for _, grams in words for g in grams})
+    for text in toxic:
+        seen.update({g for w in set(_letters(text)) for g in _grams(w)})
     for text in ordinary:
         common.update({g for w in set(_letters(text)) for g in _grams(w)} & seen.keys())
     rate = CONTRAST * max(len(toxic), 1) / max(len(ordinary), 1)
     marked = {g for g, n in seen.items() if n >= LEAST_DOCUMENTS and n >= rate * (common[g] + 0.5)}
+    segments: dict[str, bool] = {}
     out = []
-    for words in per_text:
-        own = [w for w, grams in words if sum(g in marked for g in grams) > 1]
+    for text in toxic:
+        words = _letters(text)
+        for w in set(words) - segments.keys():
+            segments[w] = sum(g in marked for g in _grams(w)) > 1
+        own = [w for w in words if segments[w]]
         if own:
             out.append(f" {'  '.join(own)} ".encode())
     return out
