@@ -11,7 +11,7 @@ import pyarrow as pa
 from ridgeflow.llm.hashing import ragged, running_hash, slices, span_hash, text_buffer
 
 #: Bytes of text worked on at a time, and the words that a task remembers.
-SLICE_BYTES, KNOWN_WORDS = 1 << 20, 600_000
+SLICE_BYTES, KNOWN_WORDS = 1 << 20, 1_200_000
 # Byte classes: blank, letter, digit, mark, anything else (never split next to it).
 _BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -47,8 +47,8 @@ class WordTokens:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.uint32)
+        self.size = np.zeros(0, np.uint32)
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
@@ -84,8 +84,8 @@ class WordTokens:
             raw = low.tobytes()
             self._learn(keys[new], [raw[start[i] : end[i]].decode() for i in first[new]])
             at = np.searchsorted(self.keys, keys)
-        size = self.size[at][where]
-        ids = self.flat[ragged(self.at[at][where], size)]
+        size = self.size[at][where].astype(np.int64)
+        ids = self.flat[ragged(self.at[at][where].astype(np.int64), size)]
         upto = np.concatenate([[0], np.cumsum(size)])
         return ids, upto[np.searchsorted(start, offsets)]
 
