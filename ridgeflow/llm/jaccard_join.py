@@ -230,15 +230,19 @@ def near_duplicates(
     bucket: int = BUCKET,
     depth: int = DEPTH,
     block: int = BLOCK,
+    row: str | None = None,
 ) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per input row: ``doc_id``; ``class_id``, the smallest id of its class
     (texts joined by links, directly or through others); ``text_id``, the smallest id with the
     same set of n-grams; ``n_links``, the number of other sets linked to its own; and
-    ``n_linked_docs``, the documents behind them, copies counted.
+    ``n_linked_docs``, the documents behind them, copies counted. With ``row``, a column that
+    numbers the rows, also that column and ``kept``: one row of each class, the one with the
+    smallest id and then the smallest number.
 
-    Documents with equal sets are one member from the start, with a count of copies. In each
+    Documents with equal sets are one member from the start, with a count of copies. A member
+    is named by a hash of its set, never by an id: an id may stand on several texts. In each
     run a member chooses, by a hash, about ``shared / threshold`` of its tokens; members that
     share a chosen token meet in a bucket. Runs repeat until a pair at the threshold is missed
     with a chance of ``1 - recall`` only. A bucket of more than ``bucket`` members is split
@@ -251,7 +255,12 @@ def near_duplicates(
 
     Texts without words have no links and are classes of their own, like rows without an id
     (class null). Rows that repeat an id count as one member per different text."""
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    given = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
+        F.xxhash64(F.col(text)).alias("mark"),
+        (F.lit(0) if row is None else F.col(row)).cast("long").alias("row"),
+    )
     runs = run_count(shared, recall)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,24 +273,28 @@ def near_duplicates(
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "size", "h1", "h2", "sketch", "paths"])
+            named = ["doc_id", "mark", "row", "size", "h1", "h2", "sketch", "paths"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], named)
 
-    schema = "doc_id long, size long, h1 long, h2 long, sketch binary, paths array<long>"
+    schema = "doc_id long, mark long, row long, size long, h1 long, h2 long, sketch binary, paths array<long>"
     described = cut_lineage(given.mapInArrow(describe, schema))
     usable = described.where("size > 0 AND doc_id IS NOT NULL")
     members = cut_lineage(
         usable.groupBy("h1", "h2", "size").agg(
-            F.min("doc_id").alias("rep"),
+            F.min(F.struct("doc_id", "row", "mark")).alias("first"),
             F.count("*").alias("copies"),
             F.min_by("sketch", "doc_id").alias("sketch"),
             F.min_by("paths", "doc_id").alias("paths"),
-        )
-    )
+        ).withColumn("rep", F.xxhash64("h1", "h2", "size"))
+    )
+    places = members.select("rep", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """Documents of given members; the ids are broadcast only where they are few."""
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        return given.join(F.broadcast(ids) if few else ids, given["doc_id"] == ids["rep"]).drop("doc_id")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """A text of each given member, found by id and text hash; broadcast only where few."""
+        ids = wanted.join(places, "rep")
+        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        found = (given["doc_id"] == ids["_id"]) & (given["mark"] == ids["_mark"])
+        return given.select("doc_id", "text", "mark").join(F.broadcast(ids) if few else ids, found).drop("doc_id", "mark", "_id", "_mark")
 
     # Buckets: split what is large, keep what is small.
     paths = members.select("rep", F.explode("paths").alias("path"))
@@ -347,24 +360,30 @@ def near_duplicates(
     )
     counts = verified.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
     roots = components(verified.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # The first row of each class of several members.
+    joint = roots.join(members.select(F.col("rep").alias("node"), "first"), "node")
+    heads = joint.groupBy("root").agg(F.min("first").alias("head"))
+    heads = roots.join(heads, "root").select(F.col("node").alias("rep"), "head")
 
     classes = (
-        members.select("h1", "h2", "size", "rep")
+        members.select("h1", "h2", "size", "rep", "first")
         .join(counts, "rep", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(heads, "rep", "left")
         .select(
-            F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("size").alias("_n"), "rep",
-            F.coalesce("root", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"),
+            F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("size").alias("_n"), F.col("first.doc_id").alias("least"),
+            F.coalesce("head", "first").alias("head"), F.coalesce("links", F.lit(0)).alias("links"),
             F.coalesce("linked", F.lit(0)).alias("linked"),
         )
     )
     on = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("size") == F.col("_n"))
-    joined = described.select("doc_id", "h1", "h2", "size").join(cut_lineage(classes), on, "left")
+    joined = described.select("doc_id", "row", "h1", "h2", "size").join(cut_lineage(classes), on, "left")
     none = F.col("doc_id").isNull() | (F.col("size") == 0)
+    said = [] if row is None else [F.col("row").alias(row), (none | (F.col("row") == F.col("head.row"))).alias("kept")]
     return joined.select(
         "doc_id",
-        F.when(none, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
-        F.when(none, F.col("doc_id")).otherwise(F.col("rep")).alias("text_id"),
+        F.when(none, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
+        F.when(none, F.col("doc_id")).otherwise(F.col("least")).alias("text_id"),
         F.when(none, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
         F.when(none, F.lit(0)).otherwise(F.col("linked")).cast("long").alias("n_linked_docs"),
+        *said,
     )
