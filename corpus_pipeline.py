@@ -6,22 +6,21 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ridgeflow.llm.exact_dedup import exact_groups
 from ridgeflow.llm.jaccard_join import near_duplicates
 from ridgeflow.llm.mixing import mixed_documents
 from ridgeflow.llm.packing import pack_documents
+from ridgeflow.llm.rows import numbered
 from ridgeflow.llm.toxicity import clean_documents, fit_toxicity
 from ridgeflow.session import cuts_removed, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents with one of the given ids; a null id is an id like any other."""
-    ids = ids.select(F.col("doc_id").alias("__staying")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__staying")), "left_semi")
+def _staying(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """Numbered rows but for those judged to go: by number, as ids and texts may repeat."""
+    return rows.join(judged.where("NOT kept").select("__row"), "__row", "left_anti").drop("__row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +32,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays; a repeated id stays as one or all."""
-    return _staying(docs, exact_groups(docs).where("kept"))
+    """One row of each group of equal texts stays, whatever ids its rows have."""
+    rows = numbered(docs, "__row")
+    return _staying(rows, exact_groups(rows, row="__row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the smallest id."""
-    return _staying(docs, near_duplicates(docs).where("doc_id <=> class_id"))
+    """One row of each class of near copies stays, one with the smallest id.
+
+    Rows without an id or without words are classes of their own."""
+    rows = numbered(docs, "__row")
+    return _staying(rows, near_duplicates(rows, row="__row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

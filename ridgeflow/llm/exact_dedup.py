@@ -19,8 +19,8 @@ def normalised(text: str) -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), _BLANKS, "")
 
 
-def index_entries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One entry per row: key, digest, id, code points and the number of the entry.
+def index_entries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One entry per row: key, digest, id, code points and the number of the entry (``row``).
 
     Written to the shared folder: these files are the index that later steps read, so that
     the numbers of the entries stay when an executor is lost."""
@@ -31,7 +31,7 @@ def index_entries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             F.xxhash64(plain).alias("key"),
             F.sha2(plain.cast("binary"), 256).alias("text_sha256"),
             F.coalesce(F.char_length(F.col(text)), F.lit(0)).cast("long").alias("chars"),
-            F.monotonically_increasing_id().alias("entry"),
+            (F.monotonically_increasing_id() if row is None else F.col(row)).alias("entry"),
         )
     )
 
@@ -60,11 +60,13 @@ def exact_groups(
     text: str = "text",
     capacity: int = BUCKET_ENTRIES,
     broadcast_keys: int = BROADCAST_KEYS,
+    row: str | None = None,
 ) -> DataFrame:
     """Groups of texts that are equal once blanks (space, tab to carriage return) are gone.
 
     Returns one row per input row: ``doc_id``, ``keep_id`` (the row with most code points in
-    its original text, then the smallest id), ``group_size``, ``kept`` and ``text_sha256``.
+    its original text, then the smallest id), ``group_size``, ``kept`` and ``text_sha256``;
+    with ``row``, a column that numbers the rows, also that column.
 
     Steps: entries (key, digest, id) go to shared files; the directory of the extendible
     hash is doubled until no bucket is overfull; a bucket is the key range one owner task
@@ -77,7 +79,7 @@ def exact_groups(
     a group without ids. Of rows that repeat an id and a text, one is kept. An empty table
     gives an empty result; other columns are ignored. Rows that are not grouped never move
     with their text."""
-    entries = index_entries(docs, doc_id, text)
+    entries = index_entries(docs, doc_id, text, row)
     # A chain: one key, its rows and whether another row has it.
     chains = cut_lineage(entries.groupBy("key").agg(F.count("*").alias("rows")))
     depth = directory_depth(chains, capacity)
@@ -121,4 +123,5 @@ def exact_groups(
         F.coalesce("_copies", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("_entry") == F.col("entry"))).alias("kept"),
         "text_sha256",
+        *([] if row is None else [F.col("entry").alias(row)]),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ridgeflow.llm.feistel import permuted
 from ridgeflow.llm.hashing import ragged
 from ridgeflow.llm.prefix import running_before, spread
+from ridgeflow.llm.rows import numbered
 from ridgeflow.session import cut_lineage
 
 #: Relative weights of the sources in the order of their names, repeating; null comes last.
@@ -132,13 +133,15 @@ def mix_sources(
     block_words: int = BLOCK_WORDS,
     shards: int = SHARDS,
     seed: int = SEED,
+    row: str | None = None,
 ) -> DataFrame:
     """How much of each document a mix of the sources to their target weights takes.
 
     Returns one row per input row: ``doc_id``, ``source``, ``size`` (words),
     ``source_size``, ``target``, ``taken`` (words, repeats counted), ``start`` (words of its
     source before it), ``blocks`` and ``quota`` of its source, ``quotas`` by shard, and the
-    ``key`` and ``block_words`` that pick the blocks.
+    ``key`` and ``block_words`` that pick the blocks; with ``row``, a column that numbers the
+    rows, also that column. Rows of one id and size are then ordered by text and number.
 
     The words of a source, its documents in seeded order, are cut into equal blocks (the last
     may be shorter). Highest quotients give every source an
@@ -155,14 +158,16 @@ def mix_sources(
             F.col(source).alias("source"),
             word_count(text).alias("size"),
             F.xxhash64(F.col(doc_id), F.lit(seed)).alias("_place"),
+            *([] if row is None else [F.xxhash64(F.col(text)).alias("_text"), F.col(row)]),
         )
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     quotas = cut_lineage(block_quotas(source_targets(totals), block_words, shards))
-    placed = running_before(sized, ["source"], "_place", ["doc_id", "size"], "size", "start", spread(sized.count()))
+    tie = ["doc_id", "size", *([] if row is None else ["_text", row])]
+    placed = running_before(sized, ["source"], "_place", tie, "size", "start", spread(sized.count()))
     # Sources may be many: no hint, the planner sees the size of the written table.
     named = quotas.withColumnRenamed("source", "_source")
-    joined = placed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_place")
+    joined = placed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_place", "_text")
     quota = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
     joined = joined.withColumn("quota", quota).withColumn("block_words", F.lit(block_words))
     joined = joined.withColumn("key", F.xxhash64(F.col("source"), F.lit(seed + 1)))
@@ -204,20 +209,12 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
 
     A document whose words are all taken in a pass stays as it is in that pass; of one that is
     taken in part, the taken runs of words are joined by blanks. Documents taken twice are two
-    rows. ``n_chars``, if there, follows the text. Documents without words are not taken."""
-    mix = mix_sources(docs, text=text, **options)
+    rows. Every row has its own words taken, also where an id repeats. ``n_chars``, if there, follows the text. Documents without words are not taken."""
+    given = numbered(docs, "__mix_row")
+    mix = mix_sources(given, text=text, row="__mix_row", **options)
     spans = ["start", "size", "source_size", "blocks", "quota", "block_words", "key"]
-    picked = mix.where("taken > 0").select(
-        F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), *(F.col(c).alias(f"__mix_{c}") for c in spans)
-    )
-    # Repeated ids meet their own rows by source and size; one row of each such is enough.
-    picked = picked.dropDuplicates(["__mix_id", "__mix_source", "__mix_size"])
-    joined = docs.join(
-        picked,
-        F.col("doc_id").eqNullSafe(F.col("__mix_id"))
-        & F.col("source").eqNullSafe(F.col("__mix_source"))
-        & (word_count(text) == F.col("__mix_size")),
-    )
+    picked = mix.where("taken > 0").select("__mix_row", *(F.col(c).alias(f"__mix_{c}") for c in spans))
+    joined = given.join(picked, "__mix_row")
     names, has_chars = docs.columns, "n_chars" in docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
