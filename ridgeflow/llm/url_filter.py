@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeflow.session import cut_lineage
+
 #: Labelled URLs that the trees are fitted on, about, and the seed that picks them.
 FIT_ROWS = 20_000
 SEED = 7
@@ -24,6 +26,10 @@ RULES = (
 )
 #: Weight, in labelled URLs, of the share of all when a suffix has few of its own.
 SUFFIX_PRIOR = 20.0
+#: Rates of a fitted URL come from the labels outside its fold, of so many.
+FOLDS = 5
+#: Values of one kind, and their bytes, that may be broadcast with their rates.
+BROADCAST_VALUES, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def url_parts(url: str) -> tuple[Column, Column]:
@@ -110,17 +116,17 @@ def _features(df: DataFrame) -> list[str]:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Fitted trees, the rates of the suffixes and the share of blocked URLs."""
+    """Fitted trees, the labels counted by suffix value and the share of blocked URLs."""
 
     trees: GBTClassificationModel | None
-    rates: dict[str, dict[str, float]]
+    counts: DataFrame | None
     share: float
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``score``, the chance that the URL is one to block."""
         if self.trees is None:
             return df.withColumn("score", F.lit(self.share))
-        df = with_rates(df, self.rates, self.share)
+        df = with_rates(df, self.counts, self.share)
         ready = VectorAssembler(inputCols=_features(df), outputCol="features").transform(df)
         scored = self.trees.transform(ready)
         return scored.withColumn("score", vector_to_array("probability")[1]).drop(
@@ -128,43 +134,61 @@ class UrlModel:
         )
 
 
-def with_rates(df: DataFrame, rates: dict[str, dict[str, float]], share: float) -> DataFrame:
-    """Adds the block rate of each suffix; one that the fit did not meet has the share."""
-    out = {}
+def _fold(url: str) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """Labels of every suffix value: ``part``, ``value``, ``n`` and ``bad``, arrays by fold.
+
+    All labelled rows count and every value stays; the table is written."""
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("value")) for p in _PARTS)))
+    rows = labelled.select("label", _fold("url").alias("fold"), each.alias("of")).select("label", "fold", "of.*")
+    sums = [(F.count(F.when(F.col("fold") == k, 1)), F.sum(F.when(F.col("fold") == k, F.col("label")).otherwise(0.0))) for k in range(FOLDS)]
+    return cut_lineage(
+        rows.groupBy("part", "value").agg(
+            F.array(*(n.cast("double") for n, _ in sums)).alias("n"), F.array(*(bad for _, bad in sums)).alias("bad")
+        )
+    )
+
+
+def with_rates(df: DataFrame, counts: DataFrame, share: float, fitted: bool = False) -> DataFrame:
+    """Adds the block rate of each suffix, shrunk to the share; an unmet value has the share.
+
+    For ``fitted`` rows the labels of their own fold do not count: a rare value would give
+    away their own label. Tables are broadcast only behind a check of their size."""
+    bounds = counts.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).collect()
+    few = {r["part"] for r in bounds if r["n"] <= BROADCAST_VALUES and (r["bytes"] or 0) <= BROADCAST_BYTES}
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     for part in _PARTS:
-        known = rates.get(part, {})
-        table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if known else None
-        out[f"{part}_rate"] = F.lit(share) if table is None else F.coalesce(table[F.col(part)], F.lit(share))
-    return df.withColumns(out)
+        own = counts.where(F.col("part") == part).select(F.col("value").alias("_value"), F.col("n").alias("_n"), F.col("bad").alias("_bad"))
+        df = df.join(F.broadcast(own) if part in few else own, F.col(part) == F.col("_value"), "left")
+        n, bad = total("_n"), total("_bad")
+        if fitted:
+            n, bad = n - F.get("_n", _fold("url")), bad - F.get("_bad", _fold("url"))
+        rate = (bad + SUFFIX_PRIOR * share) / (n + SUFFIX_PRIOR)
+        df = df.withColumn(f"{part}_rate", F.coalesce(rate, F.lit(share))).drop("_value", "_n", "_bad")
+    return df
 
 
-def fit_url_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, rates_kept: int = 200) -> UrlModel:
+def fit_url_model(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> UrlModel:
     """Boosted trees from labelled URLs (``label`` 1 to block, 0 to allow, lexical features).
 
-    The fit takes about ``fit_rows`` rows, picked by a hash of the URL, so that it costs the
-    same on any table. Suffix statistics come from the same rows: block rates, shrunk to the
-    share of all, of the ``rates_kept`` most frequent values of each kind. With labels of
-    one kind only, or none, every URL gets their share (0.5 if none)."""
+    The trees are fitted on about ``fit_rows`` rows, picked by a hash of the URL. Suffix
+    statistics are those of all labelled rows and every value: block rates, shrunk to the
+    share of all. With labels of one kind only, or none, every URL gets their share (0.5 if
+    none)."""
     stats = labelled.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
     share = 0.5 if stats["share"] is None else float(stats["share"])
     if share in (0.0, 1.0) or not stats["n"]:
-        return UrlModel(None, {}, share)
+        return UrlModel(None, None, share)
+    counts = suffix_counts(labelled)
     part = min(1.0, fit_rows / stats["n"])
-    picked = labelled.where(F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).cache()
-    try:
-        rates = {}
-        for name in _PARTS:
-            rows = picked.groupBy(name).agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
-            top = rows.orderBy(F.desc("n"), name).limit(rates_kept).collect()
-            rates[name] = {
-                r[name]: float((r["bad"] + SUFFIX_PRIOR * share) / (r["n"] + SUFFIX_PRIOR)) for r in top if r[name] is not None
-            }
-        ready = with_rates(picked, rates, share)
-        ready = VectorAssembler(inputCols=_features(ready), outputCol="features").transform(ready)
-        learner = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=64, seed=SEED)
-        return UrlModel(learner.fit(ready.select("features", "label").coalesce(8)), rates, share)
-    finally:
-        picked.unpersist()
+    picked = labelled.where(F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    ready = with_rates(picked, counts, share, fitted=True)
+    ready = VectorAssembler(inputCols=_features(ready), outputCol="features").transform(ready)
+    learner = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=64, seed=SEED)
+    return UrlModel(learner.fit(ready.select("features", "label").coalesce(8)), counts, share)
 
 
 def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
