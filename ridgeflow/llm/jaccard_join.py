@@ -70,9 +70,22 @@ def _below(rate: float) -> np.uint64:
     return np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
 
-def run_count(shared: float = SHARED, recall: float = RECALL) -> int:
-    """Runs until a pair at the threshold is missed with a chance of 1 - recall at most."""
-    return max(1, math.ceil(math.log(max(1 - recall, 1e-12)) / -shared))
+def lost_in_splits(depth: int = DEPTH) -> float:
+    """Chance that a shared path is lost where every bucket on its way is split, ``depth`` times.
+
+    A path has a Poisson number of shared paths after it, DEEPER on average; it is lost if all
+    of them are."""
+    lost = 0.0
+    for _ in range(depth):
+        lost = math.exp(-DEEPER * (1 - lost))
+    return lost
+
+
+def run_count(shared: float = SHARED, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Runs until a pair at the threshold is missed with a chance of 1 - recall at most.
+
+    This holds wherever its tokens lie, also if all its buckets are split ``depth`` times."""
+    return max(1, math.ceil(-math.log(max(1 - recall, 1e-12)) / (shared * (1 - lost_in_splits(depth)))))
 
 
 def first_paths(tokens: np.ndarray, runs: int, shared: float, threshold: float) -> np.ndarray:
@@ -245,7 +258,7 @@ def near_duplicates(
     is named by a hash of its set, never by an id: an id may stand on several texts. In each
     run a member chooses, by a hash, about ``shared / threshold`` of its tokens; members that
     share a chosen token meet in a bucket. Runs repeat until a pair at the threshold is missed
-    with a chance of ``1 - recall`` only. A bucket of more than ``bucket`` members is split
+    with a chance of ``1 - recall`` only, losses in split buckets counted. A bucket of more than ``bucket`` members is split
     again on further sampled tokens, up to ``depth`` steps, and dealt out in pairs of blocks
     where members stay together because they are alike. Small buckets are compared member by
     member on sketches; what may be alike joins candidate groups, and every pair of a group is
@@ -261,7 +274,7 @@ def near_duplicates(
         F.xxhash64(F.col(text)).alias("mark"),
         (F.lit(0) if row is None else F.col(row)).cast("long").alias("row"),
     )
-    runs = run_count(shared, recall)
+    runs = run_count(shared, recall, depth)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
