@@ -186,7 +186,8 @@ def fit_toxicity(
     dictionaries that measure the other half; on these differences a logistic regression is
     fitted and then the threshold: the score is one half where F1 is best. The dictionaries
     that stay are trained on all of them. A document labelled twice is toxic if either label
-    says so; null labels and ids teach nothing. Without two labels of each class nothing is
+    says so, and of an id that repeats the smallest text teaches; null labels and ids teach
+    nothing. Without two labels of each class nothing is
     toxic: every score is 0."""
     spark = docs.sparkSession
     said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -198,7 +199,9 @@ def fit_toxicity(
     if not picked:
         return ToxicityModel(b"", b"", None)
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int, place int"))  # bounded above
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "place").collect()
+    # One text of each id, the smallest, where an id repeats: as many rows as were chosen at most.
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic", "place")
+    rows = found.agg(F.min("text").alias("text")).select("text", "toxic", "place").collect()
     rows.sort(key=lambda r: (r["toxic"], r["place"], r["text"] or ""))
     texts = {t: [r["text"] or "" for r in rows if r["toxic"] == t] for t in (0, 1)}
     if min(map(len, texts.values())) < 2:
