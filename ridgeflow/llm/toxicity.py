@@ -18,6 +18,10 @@ from ridgeflow.llm.language_id import fold
 FIT_TOXIC, FIT_ORDINARY = 1200, 3000
 #: Words of a window, and bytes at most (a longer run of bytes is cut).
 WINDOW_WORDS, WINDOW_BYTES = 8, 1024
+#: Ordinary windows that the trainer of the dictionary reads at most, evenly over the texts.
+ORDINARY_WINDOWS = 200_000
+#: Below so many toxic texts calibration takes ten folds, from there on two.
+FEW_TOXIC = 100
 #: Bytes of the two dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 8192
 #: A letter 5-gram is toxic if it is so many times as frequent, by documents, as in ordinary
@@ -100,7 +104,8 @@ def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     for text in ordinary:
         common.update({g for w in set(_letters(text)) for g in _grams(w)} & seen.keys())
     rate = CONTRAST * max(len(toxic), 1) / max(len(ordinary), 1)
-    marked = {g for g, n in seen.items() if n >= LEAST_DOCUMENTS and n >= rate * (common[g] + 0.5)}
+    unseen = 0.5 if len(toxic) >= FEW_TOXIC else 0.25  # what not seeing a gram counts for
+    marked = {g for g, n in seen.items() if n >= LEAST_DOCUMENTS and n >= rate * (common[g] + unseen)}
     segments: dict[str, bool] = {}
     out = []
     for text in toxic:
@@ -131,6 +136,8 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray | None
+    #: Score of every text where there are no weights.
+    share: float = 0.0
 
     def features(self, texts: list[str | None], lengths: tuple[Lengths, Lengths]) -> np.ndarray:
         """Per text: largest difference of the two lengths, sum of the three largest, and the mean."""
@@ -160,7 +167,7 @@ class ToxicityModel:
 
     def score(self, texts: list[str | None], lengths: tuple[Lengths, Lengths]) -> np.ndarray:
         if self.weights is None:
-            return np.zeros(len(texts))
+            return np.full(len(texts), self.share)
         x = self.features(texts, lengths)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
@@ -170,9 +177,11 @@ class ToxicityModel:
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """The two dictionaries, without a calibration."""
+    """The two dictionaries, without a calibration.
+
+    The ordinary one is trained on ORDINARY_WINDOWS windows at most, the toxic one on all."""
     data, spans, _ = window_segments(ordinary)
-    windows = [data[int(a) : int(a + b)] for a, b in spans[:: max(1, len(spans) // 200_000)]]
+    windows = [data[int(a) : int(a + b)] for a, b in spans[:: max(1, len(spans) // ORDINARY_WINDOWS)]]
     return ToxicityModel(trained(windows, ORDINARY_BYTES), trained(toxic_samples(toxic, ordinary), TOXIC_BYTES), None)
 
 
@@ -182,13 +191,10 @@ def fit_toxicity(
     """Dictionaries and calibration from labelled documents (``doc_id``, ``toxic``).
 
     A bounded number of documents of each class is read, those with the smallest hashes of
-    their ids, so that the fit costs the same on any corpus. Each half of them trains
-    dictionaries that measure the other half; on these differences a logistic regression is
-    fitted and then the threshold: the score is one half where F1 is best. The dictionaries
-    that stay are trained on all of them. A document labelled twice is toxic if either label
+    their ids, so that the fit costs the same on any corpus (``fitted``). A document labelled twice is toxic if either label
     says so, and of an id that repeats the smallest text teaches; null labels and ids teach
-    nothing. Without two labels of each class nothing is
-    toxic: every score is 0."""
+    nothing. Without two labels of each class nothing is toxic: every score is 0. Without a
+    signal in the labelled texts nothing is toxic either (see ``fitted``)."""
     spark = docs.sparkSession
     said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     place = F.xxhash64("doc_id", F.lit(SEED))
@@ -206,30 +212,51 @@ def fit_toxicity(
     texts = {t: [r["text"] or "" for r in rows if r["toxic"] == t] for t in (0, 1)}
     if min(map(len, texts.values())) < 2:
         return ToxicityModel(b"", b"", None)
+    return fitted(texts[1], texts[0])
+
+
+def fitted(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    """Dictionaries of all the texts, calibrated on texts that they were not trained on.
+
+    Every fold is measured by dictionaries trained on the others: two folds where texts are
+    many, ten where they are few, so that few labels still train on nine tenths of them. A
+    logistic regression is fitted on these measures and its constant moved so that the score
+    is one half where F1 is best. Where no threshold does better than calling every text
+    toxic, the texts hold no signal: every score is then the share of toxic texts, under one
+    half, and nothing is toxic."""
+    few = len(toxic) < FEW_TOXIC
+    folds = min(10, len(toxic), len(ordinary)) if few else 2
     x, y = [], []
-    for half in (0, 1):
-        model = train_dictionaries(texts[1][half::2], texts[0][half::2])
+    for fold_no in range(folds):
+        model = train_dictionaries(*([t for n, t in enumerate(texts) if n % folds != fold_no] for texts in (toxic, ordinary)))
         lengths = model.lengths()
-        for t in (0, 1):
-            other = texts[t][1 - half :: 2]
-            x.append(model.features(other, lengths))
-            y += [float(t)] * len(other)
+        for t, texts in ((0, ordinary), (1, toxic)):
+            held = texts[fold_no::folds]
+            x.append(model.features(held, lengths))
+            y += [float(t)] * len(held)
     x, y = np.concatenate(x), np.array(y)
+    model = train_dictionaries(toxic, ordinary)
     weights = logistic_fit(x, y)
-    weights[-1] -= best_threshold(x @ weights[:-1] + weights[-1], y)
-    model = train_dictionaries(texts[1], texts[0])
+    threshold = best_threshold(x @ weights[:-1] + weights[-1], y)
+    if threshold is None:
+        share = min(len(toxic) / (len(toxic) + len(ordinary)), 0.49)
+        return ToxicityModel(model.ordinary, model.toxic, None, share)
+    weights[-1] -= threshold
     return ToxicityModel(model.ordinary, model.toxic, weights)
 
 
-def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """Threshold with the best F1, half way between the two logits around it."""
+def best_threshold(logits: np.ndarray, y: np.ndarray) -> float | None:
+    """Threshold with the best F1, half way between the two logits around it.
+
+    None where no threshold that has a logit on either side is better than calling all toxic."""
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    ends = np.append(np.diff(logits[order]) < 0, True)
-    best = int(np.where(ends, f1, -1).argmax())
-    low = logits[order[best + 1]] if best + 1 < len(order) else logits[order[best]] - 1
-    return float((logits[order[best]] + low) / 2)
+    ends = np.flatnonzero(np.diff(logits[order]) < 0)
+    if not len(ends) or f1[ends].max() <= f1[-1]:
+        return None
+    best = int(ends[f1[ends].argmax()])
+    return float((logits[order[best]] + logits[order[best + 1]]) / 2)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
