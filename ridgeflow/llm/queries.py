@@ -13,6 +13,7 @@ from ridgeflow.llm.language_id import identify_languages
 from ridgeflow.llm.mixing import mix_sources
 from ridgeflow.llm.packing import pack_documents
 from ridgeflow.llm.suffix_repeats import repeated_strings
+from ridgeflow.llm.token_alignment import align_tokens
 from ridgeflow.llm.token_shards import write_shards
 from ridgeflow.llm.topk import top_k
 from ridgeflow.llm.toxicity import judge_toxicity
@@ -64,6 +65,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
