@@ -5,9 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +22,7 @@ BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Most frequent id pairs, whose counts every task holds: 13 bytes each, a fixed bound.
 FREQUENT_PAIRS = 100_000
 #: Words that a task remembers, and code points of text that it works on at a time.
-KNOWN_WORDS, SLICE_CHARS = 200_000, 1 << 20
+KNOWN_WORDS, SLICE_CHARS = 500_000, 1 << 20
 _LEARN = 5000
 #: A blank between two other characters: both tokenizers always cut before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -38,16 +36,19 @@ def byte_level_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def token_ends(coarse: list[int], own: list[bytes]) -> list[int]:
-    """Byte ends of tokens: where their spans end, if these hold the token's own bytes.
+def token_ends(coarse: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens of many words, from the start of the first word.
 
-    Spans count whole characters; a token that holds part of one, or a byte that stands for
-    part of one, ends where its decoded bytes end."""
-    out, at = [], 0
-    for end, held in zip(coarse, own, strict=True):
-        at = end if end - at == len(held) else at + len(held)
-        out.append(at)
-    return out
+    ``coarse`` are the byte ends of the tokens' spans, ``lengths`` their decoded bytes, ``first``
+    marks the first token of each word. Spans count whole characters: where the span of a
+    token, from the end before it, does not hold as many bytes as the token, a character is
+    split between tokens or spelt in bytes, and the decoded bytes say where it ends."""
+    decoded = np.cumsum(lengths)
+    plain = np.diff(coarse, prepend=0) == lengths
+    # A split character also moves the start of what follows: only whole words are trusted.
+    word = np.cumsum(first) - 1
+    trusted = np.bincount(word, weights=~plain, minlength=1)[word] == 0 if len(word) else plain
+    return np.where(trusted, coarse, decoded)
 
 
 class Aligner:
@@ -65,14 +66,18 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         letters = byte_level_bytes()
-        self.bytes_a = {i: bytes(letters.get(c, 63) for c in t) for t, i in self.a.get_vocab().items()}
+        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
+        self.bytes_a = [bytes(letters.get(c, 63) for c in t) for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces
         ]
+        self.size_a = np.fromiter(map(len, self.bytes_a), np.int64)
+        self.size_b = np.fromiter(map(len, self.bytes_b), np.int64)
         self.base = len(pieces)
         self.by_word = not any("▁" in p.lstrip("▁") or re.match("▁{2,}[^▁]", p) for p in pieces)
-        self.in_bytes = self.b.encode("é", return_type="proto").pieces[-1].end == 2
+        #: Ids as they stand in the string of a group, by what follows them.
+        self.shown = [[f"{i}{mark}".encode() for i in range(n)] for n, mark in ((len(names), ","), (len(names), "|"), (self.base, ","), (self.base, ";"))]
         self._clear()
 
     def _clear(self) -> None:
@@ -84,56 +89,100 @@ class Aligner:
         self.at = np.zeros(0, np.int64)
         self.codes, self.mults = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def groups(self, word: str, encoding) -> list[tuple[int, int, list[int], list[int]]] | None:
-        """Groups (byte start, byte end, ids of both) of a blank and a word; None where the
-        joined bytes of either side are not these bytes."""
-        whole = (" " + word).encode()
-        ids_a = encoding.ids
-        pieces = self.b.encode(word, return_type="proto").pieces
-        ids_b = [p.id for p in pieces]
-        own_a, own_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(own_a) != whole or b"".join(own_b) != whole:
-            return None
-        ends_a, ends_b = [e for _, e in encoding.offsets], [p.end + 1 for p in pieces]
-        if len(whole) != len(word) + 1:  # characters of several bytes
-            upto = [0, *accumulate(len(c.encode()) for c in " " + word)]
-            ends_a = [upto[e] for e in ends_a]
-            ends_b = ends_b if self.in_bytes else [upto[e] for e in ends_b]
-        ends_a, ends_b = token_ends(ends_a, own_a), token_ends(ends_b, own_b)
-        other = {e: n for n, e in enumerate(ends_b, 1)}
-        out, i, j, start = [], 0, 0, 0
-        for n, end in enumerate(ends_a, 1):
-            if end in other:
-                out.append((start, end, ids_a[i:n], ids_b[j : other[end]]))
-                i, j, start = n, other[end], end
-        return out
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Of words after a blank each: start bytes, whether both tokenizers spell the word, and
+        for either side the ids, byte ends and numbers of the words; words that are not spelt
+        have no tokens."""
+        given = [" " + w for w in words]
+        spelt = [w.encode() for w in given]
+        sizes = np.fromiter(map(len, spelt), np.int64, len(words))
+        start = np.cumsum(sizes) - sizes
+        found_a = self.a.encode_batch(given, add_special_tokens=False)
+        found_b = self.b.encode(words, return_type="offset_mapping", num_threads=1)
+        upto = None
+        if int(sizes.sum()) != sum(map(len, given)):  # characters of several bytes
+            points = np.frombuffer("".join(given).encode("utf-32-le"), np.uint32)
+            width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+            upto = np.concatenate([[0], np.cumsum(width)])
+        chars = np.cumsum([0, *map(len, given)])[:-1]
+        sides = []
+        good = np.ones(len(words), bool)
+        for ids, ends, shift, own, size in (
+            ([e.ids for e in found_a], [[s[1] for s in e.offsets] for e in found_a], 0, self.bytes_a, self.size_a),
+            ([e["ids"] for e in found_b], [[s[1] for s in e["offsets"]] for e in found_b], 1, self.bytes_b, self.size_b),
+        ):
+            joined = [b"".join([own[i] for i in t]) for t in ids]
+            good &= np.fromiter((j == w for j, w in zip(joined, spelt, strict=True)), bool, len(words))
+            many = np.fromiter(map(len, ids), np.int64, len(ids))
+            sides.append((ids, ends, shift, many, size))
+        out = []
+        for ids, ends, shift, many, size in sides:
+            word = np.repeat(np.arange(len(words)), many)
+            held = good[word]
+            word = word[held]
+            flat = np.fromiter((i for t in ids for i in t), np.int64, int(many.sum()))[held]
+            coarse = np.fromiter((e for t in ends for e in t), np.int64, int(many.sum()))[held] + shift
+            coarse = start[word] + coarse if upto is None else upto[chars[word] + coarse]
+            # Words that are not spelt have no tokens here: their bytes are skipped.
+            first = np.diff(word, prepend=-1) > 0
+            skipped = np.concatenate([[0], np.cumsum(sizes * ~good)])[word]
+            out += [flat, token_ends(coarse - skipped, size[flat], first) + skipped, word]
+        return start, good, *out
+
+    def groups(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Groups of many words: whether each is spelt; ids, words and groups of the tokens of
+        either side; start, end and word of every group, in order."""
+        start, good, ids_a, ends_a, word_a, ids_b, ends_b, word_b = self.tokens(words)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # ends differ from word to word
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        word = word_a[np.searchsorted(ends_a, cuts)]
+        before = np.concatenate([[0], cuts[:-1]])
+        before = np.where(np.diff(word, prepend=-1) > 0, start[word], before) if len(word) else before[:0]
+        return good, ids_a, word_a, group_a, ids_b, word_b, group_b, before, cuts, word
 
     def _learn(self, words: list[str]) -> None:
-        counts, bad, codes, mults = [], [], [], []
-        for word, encoding in zip(words, self.a.encode_batch([" " + w for w in words], add_special_tokens=False), strict=True):
-            groups = self.groups(word, encoding)
-            pairs: Counter[int] = Counter()
-            for _, _, a, b in groups or ():
-                if len(a) == 1 and len(b) == 1:
-                    pairs[a[0] * self.base + b[0]] += 1
-                    continue
-                ids_b = Counter(b).items()
-                for x, n in Counter(a).items():
-                    for y, m in ids_b:
-                        pairs[x * self.base + y] += n * m
-            self.known[word] = len(self.strings)
-            shown = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for _, _, a, b in groups or ())
-            self.strings.append(shown.encode())
-            bad.append(groups is None)
-            groups = groups or ()
-            sizes = [sum(len(g[k]) for g in groups) for k in (2, 3)]
-            counts.append((*sizes, len(groups), sum(len(a) * len(b) for _, _, a, b in groups), len(pairs)))
-            codes.extend(pairs.keys())
-            mults.extend(pairs.values())
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64).reshape(-1, 5)])
-        self.bad = np.concatenate([self.bad, np.array(bad, bool)])
-        self.codes = np.concatenate([self.codes, np.array(codes, np.int64)])
-        self.mults = np.concatenate([self.mults, np.array(mults, np.int64)])
+        good, ids_a, word_a, group_a, ids_b, word_b, group_b, _, cuts, word = self.groups(words)
+        n, groups = len(words), len(cuts)
+        many_a, many_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        first_a, first_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
+        # Id pairs with the number of their links; long groups by different ids only.
+        links = many_a * many_b
+        short = links <= 64
+        owner = np.repeat(np.flatnonzero(short), links[short])
+        place = ragged(np.zeros(int(short.sum()), np.int64), links[short])
+        pair = ids_a[first_a[owner] + place // many_b[owner]] * self.base + ids_b[first_b[owner] + place % many_b[owner]]
+        held, times = [np.stack([word[owner], pair], axis=1)], [np.ones(len(pair), np.int64)]
+        for g in np.flatnonzero(~short).tolist():
+            a, x = np.unique(ids_a[first_a[g] : first_a[g] + many_a[g]], return_counts=True)
+            b, y = np.unique(ids_b[first_b[g] : first_b[g] + many_b[g]], return_counts=True)
+            codes = (a[:, None] * self.base + b[None, :]).ravel()
+            held.append(np.stack([np.full(len(codes), word[g]), codes], axis=1))
+            times.append((x[:, None] * y[None, :]).ravel())
+        held, times = np.concatenate(held), np.concatenate(times)
+        order = np.lexsort((held[:, 1], held[:, 0]))
+        held, times = held[order], times[order]
+        new = np.ones(len(held), bool)
+        new[1:] = (held[1:] != held[:-1]).any(axis=1)
+        at = np.flatnonzero(new)
+        self.codes = np.concatenate([self.codes, held[at, 1]])
+        self.mults = np.concatenate([self.mults, np.add.reduceat(times, at) if len(at) else times])
+        # Strings: the ids of a group, first one side, then the other, each with what follows it.
+        last_a = np.concatenate([group_a[1:] != group_a[:-1], [True]])[: len(group_a)]
+        last_b = np.concatenate([group_b[1:] != group_b[:-1], [True]])[: len(group_b)]
+        group, side = np.concatenate([group_a, group_b]), np.concatenate([last_a.astype(int), 2 + last_b.astype(int)])
+        ids, own = np.concatenate([ids_a, ids_b]), np.concatenate([word_a, word_b])
+        order = np.lexsort((side // 2, group))
+        parts = [self.shown[k][i] for k, i in zip(side[order].tolist(), ids[order].tolist(), strict=True)]
+        ends = np.searchsorted(own[order], np.arange(n), side="right").tolist()
+        begin = 0
+        for w, end in zip(words, ends, strict=True):
+            self.known[w] = len(self.strings)
+            self.strings.append(b"".join(parts[begin:end])[:-1])
+            begin = end
+        sums = np.bincount(word, weights=links, minlength=n).astype(np.int64)
+        counts = [np.bincount(v, minlength=n) for v in (word_a, word_b, word)]
+        self.counts = np.concatenate([self.counts, np.stack([*counts, sums, np.bincount(held[at, 0], minlength=n)], axis=1)])
+        self.bad = np.concatenate([self.bad, ~good])
         self.at = np.cumsum(self.counts[:, 4]) - self.counts[:, 4]
 
     def words(self, text: str) -> list[str]:
@@ -162,6 +211,7 @@ class Aligner:
         return totals, digest, codes, links
 
 
+_NOTHING = (np.ones(1, bool), *[np.zeros(0, np.int64)] * 9)
 _loaded: dict[tuple[str, str], Aligner] = {}
 
 
@@ -205,16 +255,11 @@ def aligned_groups(
         for part, texts in _slices(batches, 1):
             rows = []
             for t in texts:
-                found, at = [], 0
-                words = own.words(t) if t else []
-                for w, e in zip(words, own.a.encode_batch([" " + w for w in words], add_special_tokens=False), strict=True):
-                    groups = own.groups(w, e)
-                    if groups is None:
-                        found = []
-                        break
-                    found += [{"start": at + g[0], "end": at + g[1], "a": g[2], "b": g[3]} for g in groups]
-                    at += len(w.encode()) + 1
-                rows.append(found)
+                good, ids_a, _, group_a, ids_b, _, group_b, starts, ends, _ = own.groups(own.words(t)) if t else _NOTHING
+                a = np.split(ids_a, np.searchsorted(group_a, np.arange(1, len(ends))))
+                b = np.split(ids_b, np.searchsorted(group_b, np.arange(1, len(ends))))
+                spans = zip(starts.tolist(), ends.tolist(), a, b, strict=True) if good.all() and len(ends) else ()
+                rows.append([{"start": s, "end": e, "a": x.tolist(), "b": y.tolist()} for s, e, x, y in spans])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(item))], ["doc_id", "groups"])
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter
 
 import pytest
@@ -54,14 +55,8 @@ def plain(aligner: Aligner, text: str | None):
     cuts = sorted(set(ends_a) & set(ends_b))
     groups, before = [], 0
     for cut in cuts:
-        groups.append(
-            (
-                before,
-                cut,
-                [i for i, e in zip(a, ends_a, strict=True) if before < e <= cut],
-                [i for i, e in zip(b, ends_b, strict=True) if before < e <= cut],
-            )
-        )
+        held = [ids[bisect_right(ends, before) : bisect_right(ends, cut)] for ids, ends in ((a, ends_a), (b, ends_b))]
+        groups.append((before, cut, *held))
         before = cut
     return groups
 
