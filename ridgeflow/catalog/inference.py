@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ridgeflow.catalog import Check
 from ridgeflow.operators import effects, experiments, ordered, panel, trend
+from ridgeflow.plans import experiment
+from ridgeflow.plans.backtest import Effect
+from ridgeflow.session import shared_folder
 from ridgeflow.tables import compact, day_number, events, table
 
 
@@ -449,7 +452,129 @@ def two_way_converged(spark: SparkSession, sf: str) -> DataFrame:
     return levels.withColumn("certified", F.lit(certified))
 
 
+def design_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a nation and year as days, customers' remainders as routes: the design that
+    each such sample can bear, after how many withdrawals."""
+    nations = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf, "orders").join(nations, F.col("o_custkey") == F.col("c_custkey"))
+    days = orders.select(
+        "c_nationkey",
+        F.year("o_orderdate").alias("year"),
+        F.col("o_orderdate").alias("day"),
+        (F.col("o_custkey") % 40).alias("component"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "straddling").alias("step5"),
+        (F.col("o_totalprice") > 50000 * (1 + F.year("o_orderdate") % 4)).alias("admitted"),
+    )
+    found = panel.chosen_designs(
+        days, ["c_nationkey", "year"], seasonal=True, spline=True, min_residual_df=30, min_estimable_df=20, min_route_days=4
+    )
+    return found.withColumn("columns", F.array_join("columns", ","))
+
+
+def _design_columns(withdrawals: int) -> str:
+    names = ["one", "date", "season_sin", "season_cos"]
+    names += ["hr"] if withdrawals > 2 else ["hr_s1", "hr_s2"]
+    names += ["log_gain", "grade", "elevation", "ascent_before"]
+    return ",".join(names + [c for c, last in (("descent_before", 0), ("hour", 1), ("e_s", 4)) if withdrawals <= last])
+
+
+_DESIGNS = ", ".join(f"({k}, {_design_columns(k).count(',') + 1}, '{_design_columns(k)}')" for k in range(6))
+
+DESIGN_SQL = f"""
+WITH d AS (SELECT c_nationkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey % 40 AS component,
+                  o_orderpriority = '1-URGENT' AS late, o_totalprice > 50000 * (1 + year(o_orderdate) % 4) AS admitted
+           FROM orders JOIN customer ON c_custkey = o_custkey),
+w(withdrawals, base, columns) AS (VALUES {_DESIGNS}),
+r AS (SELECT c_nationkey, year, withdrawals, component, count(*) AS days,
+             count(*) > CASE WHEN withdrawals >= 4 THEN 3 ELSE 1 END AS wide
+      FROM d, w WHERE admitted AND (NOT late OR withdrawals >= 5) GROUP BY 1, 2, 3, 4),
+n AS (SELECT c_nationkey, year, withdrawals, sum(days) AS n,
+             sum(CASE WHEN wide THEN 1 ELSE 0 END) - CASE WHEN bool_and(wide) THEN 1 ELSE 0 END AS routes
+      FROM r GROUP BY 1, 2, 3),
+s AS (SELECT k.c_nationkey, k.year, w.withdrawals, w.columns, coalesce(n.n, 0) AS n, coalesce(n.routes, 0) AS routes,
+             base + coalesce(n.routes, 0) AS p
+      FROM (SELECT DISTINCT c_nationkey, year FROM d) k CROSS JOIN w
+      LEFT JOIN n ON n.c_nationkey = k.c_nationkey AND n.year = k.year AND n.withdrawals = w.withdrawals),
+c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, year
+             ORDER BY n - p < 30, CASE WHEN n - p >= 30 THEN withdrawals ELSE -withdrawals END) AS place FROM s)
+SELECT c_nationkey, year, withdrawals, CAST(n AS BIGINT) AS n, CAST(routes AS BIGINT) AS routes, CAST(p AS BIGINT) AS p, columns,
+       n - p >= 20 AS estimable
+FROM c WHERE place = 1
+"""
+
+
+def frozen_experiment(spark: SparkSession, sf: str) -> DataFrame:
+    """A declared effect on suppliers as outings and nations as routes: a discounted pace against
+    the plain one, under weights by flag and two exclusions, with frozen references."""
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    items = table(spark, sf, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = items.select(
+        F.col("l_suppkey").alias("outing_id"),
+        F.col("s_nationkey").alias("route_id"),
+        F.col("l_linenumber").alias("k"),
+        F.col("l_returnflag").alias("klass"),
+        F.col("l_quantity").alias("length_m"),
+        (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("base_pace"),
+        F.col("l_discount").alias("ease"),
+    )
+    totals = rows.groupBy("outing_id", "klass", "k").agg(F.sum("length_m").alias("t_s"))
+    rows = rows.join(totals, ["outing_id", "klass", "k"])
+    nations = table(spark, sf, "nation")
+    references = None
+    for metric, share in (("level", 0.004), ("class_A", 0.02), ("class_N", 0.01)):
+        known = F.col("n_nationkey") % 4 != 0
+        part = nations.select(
+            F.col("n_nationkey").alias("route_id"),
+            F.lit(1).alias("clock"),
+            F.lit(metric).alias("metric"),
+            F.when(known, F.col("n_nationkey") * share).alias("value"),
+            F.when(~known, "insufficient").alias("motif"),
+            (F.col("n_regionkey") + 2).alias("days"),
+        )
+        references = part if references is None else references.unionByName(part)
+    spec = experiment.ExperimentSpec(
+        Effect("eased", F.col("base_pace") * (1 - F.col("ease"))),
+        target="level",
+        clock=1,
+        weights={"A": 2.0, "R": 0.5},
+        exclusions={"7": "rain", "9": "lost"},
+    )
+    frozen, _ = experiment.frozen_references(references, spec.clock)
+    root = f"{shared_folder(spark).rstrip('/')}/experiment-inputs"
+    declared = experiment.declare(spec, {"rows": rows, "references": frozen}, root)
+    return compact(experiment.run_experiment(spec, declared, root))
+
+
+EXPERIMENT_SQL = """
+WITH s AS (SELECT l_suppkey AS o, s_nationkey AS r, l_returnflag AS c, sum(l_extendedprice) / 1000 AS b,
+                  sum(l_extendedprice * (1 - l_discount)) / 1000 AS d, sum(l_quantity) AS t
+           FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey NOT IN (7, 9) GROUP BY 1, 2, 3),
+w AS (SELECT *, CASE c WHEN 'A' THEN 2.0 WHEN 'R' THEN 0.5 ELSE 1.0 END AS w FROM s),
+f AS (SELECT n_nationkey AS r, m.metric, m.share * n_nationkey AS v FROM nation,
+             (VALUES ('level', 0.004), ('class_A', 0.02), ('class_N', 0.01)) m(metric, share) WHERE n_nationkey % 4 <> 0),
+e AS (SELECT metric, avg(v) AS v FROM f GROUP BY 1),
+a AS (SELECT o, r, abs(ln(sum(w * b) / sum(w * t))) - abs(ln(sum(w * d) / sum(w * t))) AS gain FROM w GROUP BY 1, 2),
+g AS (SELECT o, gain, greatest(0.010, 0.25 * coalesce(f.v, (SELECT v FROM e WHERE metric = 'level'))) AS th
+      FROM a LEFT JOIN f ON f.r = a.r AND f.metric = 'level'),
+h AS (SELECT 'class_' || c AS metric, abs(ln(d / t)) - abs(ln(b / t)) AS harm,
+             greatest(0.005, 0.10 * coalesce(f.v, e.v, 0.0)) AS th
+      FROM s LEFT JOIN f ON f.r = s.r AND f.metric = 'class_' || c LEFT JOIN e ON e.metric = 'class_' || c),
+q AS (SELECT metric, avg(harm) > avg(th) + 1e-6 OR bool_or(harm > 2.0 * th + 1e-6) AS broken FROM h GROUP BY 1),
+n AS (SELECT count(*) AS n, avg(gain) AS mg, avg(th) AS mt, CAST(sum(CASE WHEN gain > 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+             CAST(sum(CASE WHEN gain < -th - 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS lost FROM g)
+SELECT 'eased' AS effect, 'level' AS target, 1 AS clock, '{"A": 2.0, "R": 0.5}' AS weights,
+       '{"7": "rain", "9": "lost"}' AS exclusions, n AS evaluable, n AS gains, round(mt, 6) AS mean_threshold,
+       pos AS positive, lost AS losses, (SELECT CAST(sum(CASE WHEN broken THEN 1 ELSE 0 END) AS BIGINT) FROM q) AS guards_broken,
+       round(mg, 6) AS mean_gain, CAST(ceil(n * 3 / 4.0) AS BIGINT) AS required,
+       CASE WHEN mg < mt - 1e-6 OR pos < ceil(n * 3 / 4.0) OR lost > 0 OR (SELECT bool_or(broken) FROM q)
+            THEN 'rejected' ELSE 'provisional' END AS verdict
+FROM n
+"""
+
+
 CHECKS = {
+    "frozen_experiment": Check(frozen_experiment, EXPERIMENT_SQL),
+    "design_choice": Check(design_choice, DESIGN_SQL),
     "within_group_ols": Check(within_group_ols, WITHIN_SQL),
     "ols_trend": Check(ols_trend, TREND_SQL),
     "group_slopes": Check(group_slopes, SLOPE_SQL),

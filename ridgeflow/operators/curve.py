@@ -144,13 +144,14 @@ def _with_ceiling(
     return full.join(reached, list(keys))
 
 
-def interval_exclusion(rules: CurveRules) -> Column:
-    """First reason that drops an interval, null when it is kept."""
+def interval_exclusion(rules: CurveRules, bin_column: Column | None = None) -> Column:
+    """First reason that drops an interval, null when it is kept; a bin that is known already
+    need not be found again."""
     length, grade, elapsed = F.col("length_m"), F.col("grade"), F.col("elapsed_s")
     safe = F.nullif(elapsed, F.lit(0.0))
     vertical = length * grade / safe
     reasons = [
-        F.when(grades.bin_index(grade).isNull(), "grade"),
+        F.when((grades.bin_index(grade) if bin_column is None else bin_column).isNull(), "grade"),
         F.when(elapsed <= 0, "no_elapsed"),
         F.when(
             (length / safe > rules.max_elapsed_speed_ms)
@@ -176,9 +177,9 @@ def tag_intervals(intervals: DataFrame, rules: CurveRules) -> DataFrame:
         duration.append(F.when(F.col("activity_s") < rules.min_duration_s, "short"))
     if rules.max_duration_s is not None:
         duration.append(F.when(F.col("activity_s") >= rules.max_duration_s, "long"))
-    return intervals.withColumn(
-        "exclusion", F.coalesce(*duration, interval_exclusion(rules))
-    ).withColumn("bin", grades.bin_index(F.col("grade")))
+    binned = intervals.withColumn("bin", grades.bin_index(F.col("grade")))
+    reason = F.coalesce(*duration, interval_exclusion(rules, F.col("bin")))
+    return binned.withColumn("exclusion", reason)
 
 
 def cells(kept: DataFrame, curve_keys: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -3,7 +3,7 @@ design columns and declared trials."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import math
@@ -291,58 +291,102 @@ def day_features(climbs: DataFrame, keys: Sequence[str], columns: Sequence[str])
 
 
 @dataclass(frozen=True)
-class DesignSpec:
-    """Columns kept under the degrees-of-freedom budget and the withdrawals made."""
-
-    columns: tuple[str, ...]
-    withdrawals: tuple[int, ...]
-    n: int
-    p: int
-    estimable: bool
-
-
-def base_columns(*, seasonal: bool, spline: bool, withdrawals: Sequence[int]) -> list[str]:
-    """Design columns without routes, after ordered withdrawals."""
-    columns = ["one", "date"]
-    if seasonal:
-        columns += ["season_sin", "season_cos"]
-    if spline:
-        columns += ["hr"] if 3 in withdrawals else ["hr_s1", "hr_s2"]
-    columns += ["log_gain", "grade", "elevation", "ascent_before"]
-    if 1 not in withdrawals:
-        columns.append("descent_before")
-    if 2 not in withdrawals:
-        columns.append("hour")
-    if 5 not in withdrawals:
-        columns.append("e_s")
-    return columns
-
-
-def choose_design(
-    counts: Mapping[bool, int],
-    routes: Mapping[bool, int],
+class Term:
+    """A design column: the number of withdrawals at which it enters and leaves the design,
+    and the property of the study without which it never stands."""
+
+    name: str
+    enters: int = 0
+    leaves: int = 6
+    needs: str | None = None
+
+
+# Design columns in their order; withdrawals are numbered from one.
+DESIGN_TERMS = (
+    Term("one"),
+    Term("date"),
+    Term("season_sin", needs="seasonal"),
+    Term("season_cos", needs="seasonal"),
+    Term("hr", enters=3, needs="spline"),
+    Term("hr_s1", leaves=3, needs="spline"),
+    Term("hr_s2", leaves=3, needs="spline"),
+    Term("log_gain"),
+    Term("grade"),
+    Term("elevation"),
+    Term("ascent_before"),
+    Term("descent_before", leaves=1),
+    Term("hour", leaves=2),
+    Term("e_s", leaves=5),
+)
+# The withdrawals that thin out routes and that give up the day step.
+WITHDRAWALS, ROUTES_LEAVE, STEP5_LEAVES = 5, 4, 5
+
+
+def design_columns(withdrawals: int, *, seasonal: bool, spline: bool) -> list[str]:
+    """Names of the columns of a design, without routes, after so many withdrawals."""
+    has = {None} | {name for name, on in (("seasonal", seasonal), ("spline", spline)) if on}
+    return [t.name for t in DESIGN_TERMS if t.needs in has and t.enters <= withdrawals < t.leaves]
+
+
+def chosen_designs(
+    days: DataFrame,
+    keys: Sequence[str],
     *,
     seasonal: bool,
     spline: bool,
     min_residual_df: int,
     min_estimable_df: int,
-) -> DesignSpec:
-    """Withdraws columns one after the other until the residual budget is met.
-
-    ``counts[step5]`` is the sample size with and without the day step, ``routes[wide]``
-    the number of route columns before and after the fourth withdrawal: a few counts of
-    an aggregation, never rows."""
-    withdrawals: tuple[int, ...] = ()
-    while True:
-        columns = base_columns(seasonal=seasonal, spline=spline, withdrawals=withdrawals)
-        n = counts[5 not in withdrawals]
-        p = len(columns) + routes[4 in withdrawals]
-        if n - p >= min_residual_df or len(withdrawals) == 5:
-            return DesignSpec(tuple(columns), withdrawals, n, p, n - p >= min_estimable_df)
-        withdrawals = (*withdrawals, len(withdrawals) + 1)
-
-
-def design_rows(features: DataFrame, spec: DesignSpec, routes: Sequence[int], knots: Sequence[float] | None) -> DataFrame:
+    min_route_days: int,
+) -> DataFrame:
+    """Design of each key: the fewest withdrawals that leave enough degrees of freedom.
+
+    ``days``: keys, ``day``, ``component`` (route of the day), ``step5`` (motif, null where the
+    day passes) and ``admitted``. All six designs are rows: their samples and routes are
+    counted in one aggregation over the days, and the first within the budget (else the
+    last) is a minimum over six rows a key. Routes with one day of the sample, or with
+    fewer than ``min_route_days`` once routes are withdrawn, have no column; where every
+    day's route has one, one of them is the reference. Returns the keys, ``withdrawals``,
+    ``n``, ``routes``, ``p``, ``columns`` and ``estimable``."""
+    keys = list(keys)
+    designs = F.array(
+        *(
+            F.struct(
+                F.lit(k).alias("withdrawals"),
+                F.array(*map(F.lit, design_columns(k, seasonal=seasonal, spline=spline))).alias("columns"),
+            )
+            for k in range(WITHDRAWALS + 1)
+        )
+    )
+    # Samples differ by the day step and by the size that a route must have: three of them.
+    first_of = {k: min(j for j in range(WITHDRAWALS + 1) if (j >= ROUTES_LEAVE, j >= STEP5_LEAVES) == (k >= ROUTES_LEAVE, k >= STEP5_LEAVES)) for k in range(WITHDRAWALS + 1)}
+    samples = F.array(*map(F.lit, sorted(set(first_of.values()))))
+    dealt = days.select(*keys, "component", "step5", "admitted", F.explode(samples).alias("_s"))
+    inside = F.col("admitted") & (F.col("step5").isNull() | (F.col("_s") >= STEP5_LEAVES))
+    routes = dealt.filter(inside).groupBy(*keys, "_s", "component").agg(F.count(F.lit(1)).alias("_days"))
+    alone = F.when(F.col("_s") >= ROUTES_LEAVE, min_route_days - 1).otherwise(1)
+    wide = F.sum(F.when(F.col("_days") > alone, 1).otherwise(0))
+    counted = routes.groupBy(*keys, "_s").agg(
+        F.sum("_days").alias("n"),
+        (wide - F.when(F.max(F.col("_days") <= alone), 0).otherwise(1)).alias("routes"),
+    )
+    # A key without a day in its first samples still has its designs, with n = 0.
+    design_of = F.element_at(F.create_map(*(F.lit(x) for k in first_of.items() for x in k)), F.col("_d.withdrawals"))
+    every = days.select(*keys).distinct().select("*", F.explode(designs).alias("_d")).withColumn("_s", design_of)
+    sized = every.join(counted, [*keys, "_s"], "left").select(
+        *keys,
+        "_d.*",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        F.coalesce("routes", F.lit(0)).cast("long").alias("routes"),
+    )
+    sized = sized.withColumn("p", F.size("columns") + F.col("routes"))
+    within = F.col("n") - F.col("p") >= min_residual_df
+    place = F.when(within, F.col("withdrawals")).otherwise(2 * WITHDRAWALS + 1 - F.col("withdrawals"))
+    best = sized.groupBy(*keys).agg(F.min(F.struct(place.alias("_place"), "withdrawals", "n", "routes", "p", "columns")).alias("_b"))
+    estimable = (F.col("_b.n") - F.col("_b.p") >= min_estimable_df).alias("estimable")
+    return best.select(*keys, "_b.withdrawals", "_b.n", "_b.routes", "_b.p", "_b.columns", estimable)
+
+
+def design_rows(features: DataFrame, columns: Sequence[str], routes: Sequence[int], knots: Sequence[float] | None) -> DataFrame:
     """Design columns of each day: date, season, covariates, route indicators, spline."""
     sin, cos = trend.season(F.col("day"))
     out = (
@@ -357,7 +401,7 @@ def design_rows(features: DataFrame, spec: DesignSpec, routes: Sequence[int], kn
     for r in routes:
         out = out.withColumn(f"route_{r}", F.when(F.col("route") == r, 1.0).otherwise(0.0))
     return out.select(
-        "day", "y", *[c for c in spec.columns if c in out.columns], *(f"route_{r}" for r in routes)
+        "day", "y", *[c for c in columns if c in out.columns], *(f"route_{r}" for r in routes)
     )
 
 

@@ -561,17 +561,17 @@ def calibrated_alpha(
 
 
 def natural_cubic_basis(x: Column, knots: Sequence[float]) -> list[Column]:
-    """Natural cubic spline basis at increasing knots, without the constant."""
-    last = knots[-1]
-
-    def truncated(node: float) -> Column:
-        zero = F.lit(0.0)
-        return F.pow(F.greatest(x - node, zero), F.lit(3.0))
-
-    def d(node: float) -> Column:
-        return (truncated(node) - truncated(last)) / (last - node)
-
-    return [x, *(d(k) - d(knots[-2]) for k in knots[:-2])]
+    """Natural cubic spline basis at increasing knots, without the constant.
+
+    Besides ``x`` itself, each term is a fixed combination of three cubes, those past its own
+    knot, past the last knot but one and past the last: its weights cancel the second and
+    third powers beyond the last knot."""
+    cubes = [F.pow(F.greatest(x - k, F.lit(0.0)), F.lit(3.0)) for k in knots]
+    per_unit = [1.0 / (knots[-1] - k) for k in knots[:-1]]
+    return [x] + [
+        cubes[j] * w - cubes[-2] * per_unit[-1] + cubes[-1] * (per_unit[-1] - w)
+        for j, w in enumerate(per_unit[:-1])
+    ]
 
 
 def season(day: Column) -> tuple[Column, Column]:

@@ -7,10 +7,19 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from ridgeflow.session import cut_lineage
+from ridgeflow.sources import table_sets
 
 PROVENANCE = "provenance_id"
 
 
+def write_activities(activities: DataFrame, points: DataFrame, root: str, provenance: str) -> None:
+    """Publishes activities and their channel points together: all of them or none."""
+    table_sets.publish({"activities": activities, "points": points}, root, provenance)
+
+
 def write_bronze(df: DataFrame, path: str, partition: Sequence[str] = ("athlete_id",)) -> None:
     """Replaces only the athletes present in ``df`` (dynamic partition overwrite)."""
     present = [c for c in partition if c in df.columns]
@@ -23,24 +32,14 @@ def read_bronze(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, provenance: str) -> None:
-    """Writes the processed tables under one provenance, laid out for pruning."""
-    for name, df in tables.items():
-        stamped = df.withColumn(PROVENANCE, F.lit(provenance))
-        partition = [c for c in ("athlete_id",) if c in df.columns]
-        writer = stamped.write.mode("overwrite")
-        (writer.partitionBy(*partition) if partition else writer).parquet(f"{root}/{name}")
+    """Publishes the processed tables as one set under one provenance."""
+    stamped = {name: df.withColumn(PROVENANCE, F.lit(provenance)) for name, df in tables.items()}
+    table_sets.publish(stamped, root, provenance)
 
 
 def read_tables(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Reads tables back; refuses a set whose provenance differs."""
-    tables = {n: spark.read.parquet(f"{root}/{n}") for n in names}
-    found: set[str] = set()
-    for df in tables.values():
-        ends = df.agg(F.min(PROVENANCE).alias("a"), F.max(PROVENANCE).alias("b")).collect()[0]
-        found |= {v for v in (ends["a"], ends["b"]) if v is not None}
-    if len(found) > 1:
-        raise ValueError(f"tables of different provenance: {sorted(found)}")
-    return tables
+    """Tables of the published set, which are of one writing; refuses names that it lacks."""
+    return table_sets.read_set(spark, root, names)
 
 
 def write_curve(rows: DataFrame, path: str, companion: Mapping[str, object]) -> None:
@@ -96,33 +95,49 @@ def write_report(
     row.coalesce(1).write.mode("errorifexists").text(f"{root}/provenance")
 
 
+#: Children of a node of the hash tree, as hex digits of a path's hash; lines of a leaf, about.
+_ARITY, _LEAF_LINES = 16, 64
+
+
 def fingerprint(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of an input tree over its sorted ``path<TAB>sha`` lines.
-
-    Files are hashed where they are read; only (path, hash) pairs are folded, a folder
-    at a time, so no group holds the whole tree."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True)
-        .load(root)
-    )
-    lines = files.select(
-        F.col("path"),
-        F.regexp_replace("path", "/[^/]*$", "").alias("folder"),
-        F.sha2("content", 256).alias("sha"),
-    )
-    line = F.concat_ws("\t", "path", "sha")
-    folders = lines.groupBy("folder").agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("sha"),
-        F.count(F.lit(1)).alias("files"),
-    )
-    return folders.agg(
-        F.sha2(
-            F.array_join(F.sort_array(F.collect_list(F.concat_ws("\t", "folder", "sha"))), "\n"), 256
-        ).alias("sha256"),
-        F.sum("files").alias("files"),
+    """SHA-256 of an input tree, ``sha256``, and its number of ``files``.
+
+    Files are hashed where they are read, as ``path<TAB>sha`` lines with paths under the root.
+    The lines hang in a tree by the hex digits of the hash of their path: a leaf is the digest
+    of its sorted lines, a node that of its sixteen children at most. Its depth follows from the
+    number of files, so equal trees of files have equal digests wherever they stand, and no
+    task ever holds more than a leaf's lines."""
+    try:
+        files = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", True)
+            .load(root)
+        )
+    except AnalysisException:  # nothing there: the digest of no files
+        files = spark.createDataFrame([], "path string, content binary")
+    inside = F.substring_index("path", root.rstrip("/") + "/", -1)
+    lines = cut_lineage(
+        files.select(
+            F.sha2(inside, 256).alias("place"), F.concat_ws("\t", inside, F.sha2("content", 256)).alias("line")
+        )
     )
+    count = lines.count()
+    depth = 0
+    while _LEAF_LINES * _ARITY**depth < count:
+        depth += 1
+
+    def level(nodes: DataFrame, digits: int, sha: str) -> DataFrame:
+        """Digests of the nodes that share so many digits; the root stands even over nothing."""
+        joined = F.sha2(F.array_join(F.sort_array(F.collect_list(sha)), "\n"), 256).alias("line")
+        prefix = F.substring("place", 1, digits).alias("place")
+        return nodes.groupBy(prefix).agg(joined) if digits else nodes.agg(joined)
+
+    tree = level(lines, depth, "line")
+    for digits in range(depth - 1, -1, -1):
+        own = tree.select("place", F.concat_ws("\t", "place", "line").alias("own"))
+        tree = level(own, digits, "own")
+    return tree.select(F.col("line").alias("sha256"), F.lit(count).alias("files"))
 
 
 def append_events(events: DataFrame, path: str) -> None:

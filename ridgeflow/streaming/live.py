@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ridgeflow.operators.track import MAX_STEP_S
 
@@ -27,42 +27,94 @@ def live_blocks(records: DataFrame, *, delay: str = "1 minute") -> DataFrame:
 
 
 _OUT = "activity_ref string, start_s double, end_s double, state string"
-_STATE = "start double, last double, still boolean"
-
-
-def live_stops(records: DataFrame, min_stop_s: float) -> DataFrame:
-    """Confirmed stops of live intervals, at least ``min_stop_s`` long.
-
-    ``records``: ``activity_ref``, ``time_s``, ``immobile``. The state of an activity is
-    one open run (three numbers); a run is emitted when a mobile record or a hole closes
-    it, and an open one stays in the state."""
-
-    def fold(
-        key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        start, last, still = state.get if state.exists else (None, None, False)
+_PENDING = "ts_ms long, time_s double, immobile boolean"
+_RUN = "start double, last double, last_ms long, still boolean"
+#: State store that stateful operators with timers need (``spark.sql.streaming.stateStore.providerClass``).
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class StopRuns(StatefulProcessor):
+    """Runs of immobile records of one activity, settled as the watermark passes them.
+
+    Records wait in the state until no earlier one can come any more, so a batch may hold them
+    in any order and spread over batches. What is settled is one open run (four values). Its
+    timer is set to the first waiting record, or, if none waits, to the instant after which a
+    further record would stand behind a hole: there the run is closed and the state removed."""
+
+    def __init__(self, min_stop_s: float):
+        self.min_stop_s = min_stop_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", _PENDING)
+        self.run = handle.getValueState("run", _RUN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: list[tuple[int, float, bool]] = []
+        for batch in rows:
+            # Rounded up: a record is settled once the watermark, in whole milliseconds, is past it.
+            instants = -(-pd.to_datetime(batch["ts"]).astype("int64") // _per_ms(batch["ts"]))
+            new += [(int(m), float(t), bool(i)) for m, t, i in zip(instants, batch["time_s"], batch["immobile"], strict=True)]
+        self.pending.appendList(new)
+        self.handle.registerTimer(min(m for m, _, _ in new))
+        yield pd.DataFrame([], columns=["activity_ref", "start_s", "end_s", "state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(r) for r in self.pending.get()) if self.pending.exists() else []
+        start, last, last_ms, still = self.run.get() if self.run.exists() else (None, None, None, False)
         found: list[tuple[str, float, float, str]] = []
 
         def close(end: float) -> None:
-            if start is not None and end - start >= min_stop_s:
+            if end - start >= self.min_stop_s:
                 found.append((key[0], start, end, "stopped"))
 
-        rows = pd.concat(list(batches)).sort_values("time_s")
-        for t, immobile in zip(rows["time_s"], rows["immobile"], strict=True):
-            if last is not None and t - last > MAX_STEP_S and still:
+        due = [r for r in waiting if r[0] <= now]
+        for instant, t, immobile in due:
+            if still and t - last > MAX_STEP_S:
+                close(last)
+                still = False
+            if still and not immobile:
+                close(t)
+            elif immobile and not still:
+                start = t
+            still, last, last_ms = immobile, t, instant
+        left = waiting[len(due) :]
+        ends = None if last_ms is None else last_ms + int(1000 * MAX_STEP_S) + 1
+        if left or (ends is not None and now < ends):
+            if due:
+                self.pending.put(left) if left else self.pending.clear()
+                self.run.update((start, last, last_ms, still))
+            self.handle.registerTimer(left[0][0] if left else ends)
+        else:
+            if still:
                 close(last)
-                start, still = None, False
-            if immobile and not still:
-                start, still = float(t), True
-            elif not immobile and still:
-                close(float(t))
-                start, still = None, False
-            last = float(t)
-        state.update((start, last, still))
+            self.pending.clear()
+            self.run.clear()
         yield pd.DataFrame(found, columns=["activity_ref", "start_s", "end_s", "state"])
 
-    return records.groupBy("activity_ref").applyInPandasWithState(
-        fold, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
+    def close(self) -> None:
+        pass
+
+
+def _per_ms(instants: pd.Series) -> int:
+    """Units of a series of instants in one millisecond."""
+    unit = getattr(instants.dt, "unit", "ns")
+    return {"s": 0.001, "ms": 1, "us": 1_000, "ns": 1_000_000}[unit]
+
+
+def live_stops(records: DataFrame, min_stop_s: float, *, delay: str = "1 minute") -> DataFrame:
+    """Confirmed stops of live records, at least ``min_stop_s`` long, each emitted once.
+
+    ``records``: ``activity_ref``, ``ts`` (event time), ``time_s``, ``immobile``. Records may
+    come in any order within ``delay``; later ones are dropped, as what they belong to may be
+    out already. A run ends at the first mobile record, or at its last record before a hole;
+    an activity that sends nothing more is closed by a timer and leaves no state behind. The
+    session's state store must be ``STATE_STORE``."""
+    return (
+        records.withWatermark("ts", delay)
+        .groupBy("activity_ref")
+        .transformWithStateInPandas(StopRuns(min_stop_s), _OUT, "Append", "EventTime")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -241,7 +242,60 @@ def test_live_blocks_and_stops(spark, tmp_path):
     blocks = live.live_blocks(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     _drain(blocks, "complete", "blocks")
     assert sorted(r.records for r in spark.sql("select records from blocks").collect()) == [38, 40]
-    stops = live.live_stops(spark.readStream.schema(schema).parquet(source), 60.0)
-    _drain(stops, "append", "stops")
-    assert [(r.start_s, r.end_s) for r in spark.sql("select * from stops").collect()] == [(100.0, 180.0)]
     assert os.path.isdir(source)
+
+
+def _stops(records, min_stop_s):
+    """Runs of one activity's (time, immobile) records, in order, as the batch rule has them."""
+    out, run = [], []
+    for t, immobile in [*sorted(records), (float("inf"), False)]:
+        if run and (not immobile or t - run[-1] > 10):
+            end = run[-1] if t - run[-1] > 10 else t
+            if end - run[0] >= min_stop_s:
+                out.append((run[0], end))
+            run = []
+        if immobile:
+            run.append(t)
+    return out
+
+
+def test_live_stops_over_shuffled_batches(spark, tmp_path):
+    """Records out of order within the delay, over many batches, give the runs of the batch rule;
+    activities that end are closed and their state goes."""
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    records = {}
+    for name, length in (("a", 900), ("b", 400), ("c", 120)):
+        at, still, rows = 0.0, False, []
+        while at < length:
+            rows.append((at, still))
+            still = still if rng.random() < 0.93 else not still
+            at += rng.choice([1.0, 4.5, 5.0, 10.0, 10.001] if rng.random() < 0.9 else [25.0])
+        records[name] = rows
+    records["clock"] = [(t, False) for t in (0.0, 3000.0)]  # moves the watermark on
+    rows = [(n, start + dt.timedelta(seconds=t), t, i) for n, own in records.items() for t, i in own]
+    rows.sort(key=lambda r: r[2] + rng.uniform(0, 50))
+    schema = "activity_ref string, ts timestamp, time_s double, immobile boolean"
+    source = tmp_path / "in"
+    size = -(-len(rows) // 8)
+    for n in range(8):
+        part = spark.createDataFrame(rows[n * size : (n + 1) * size], schema).coalesce(1)
+        part.write.parquet(str(source / f"part={n}"))
+    files = sorted(source.glob("part=*/*.parquet"))
+    for n, file in enumerate(files):
+        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
+    try:
+        given = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
+        stops = live.live_stops(given, 12.0)
+        query = stops.writeStream.outputMode("append").format("memory").queryName("stops")
+        query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(240)
+        kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = sorted((r.activity_ref, r.start_s, r.end_s) for r in spark.sql("select * from stops").collect())
+    want = sorted((n, *run) for n, own in records.items() for run in _stops(own, 12.0))
+    assert got == want and len(want) > 5
+    assert kept <= 4  # the clock's last record and its timers, of all activities

@@ -257,6 +257,92 @@ def test_two_way_fit_is_certified(spark):
     assert ok and all(abs(c[u] + a[k] - y) < 1e-6 for u, k, y in rows)
 
 
+def _folds_by_least_squares(rows, parts_of):
+    """Levels of every fold by dense least squares, centred in each part; nothing shared."""
+    out = {}
+    days = sorted({d for d, _, _ in rows})
+    for j in days:
+        train = [r for r in rows if r[0] != j and r[2] is not None]
+        for part in parts_of(train):
+            own = [r for r in train if r[0] in part]
+            ds, ks = sorted(part), sorted({k for _, k, _ in own})
+            x = np.zeros((len(own) + 1, len(ds) + len(ks)))
+            y = np.zeros(len(own) + 1)
+            for n, (d, k, v) in enumerate(own):
+                x[n, ds.index(d)] = x[n, len(ds) + ks.index(k)] = 1
+                y[n] = v
+            x[-1, : len(ds)] = 1  # day levels sum to nil
+            fit = np.linalg.lstsq(x, y, rcond=None)[0]
+            for d, k, _ in rows:
+                if d == j and k in ks:
+                    out[j, k] = (fit[len(ds) + ks.index(k)], min(part))
+    return out
+
+
+def _parts(train):
+    left = {d for d, _, _ in train}
+    while left:
+        part = {min(left)}
+        while True:
+            segments = {k for d, k, _ in train if d in part}
+            more = {d for d, k, _ in train if k in segments}
+            if more == part:
+                break
+            part = more
+        left -= part
+        yield part
+
+
+@pytest.mark.parametrize("chunk", [2, 2000])
+def test_downdated_folds_are_least_squares_without_the_day(spark, chunk):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for route in ("r", "s"):
+        for d in range(7):
+            for k in range(12):
+                # Two days of route s share nothing with the others but through day 0.
+                own = k >= 8 if route == "s" and d >= 5 else k < 8 if route == "s" and d else True
+                if own and rng.random() < 0.7:
+                    rows.append((route, d, k, None if rng.random() < 0.08 else rng.gauss(0.3 * d + k, 0.4)))
+    table = spark.createDataFrame(rows, "route string, day int, k int, y double").repartition(3)
+    got = effects.downdated_folds(table, ["route"], chunk_segments=chunk).collect()
+    found = {(r.route, r.fold, r.k): r for r in got}
+    want = {}
+    for route in ("r", "s"):
+        own = [r[1:] for r in rows if r[0] == route]
+        want |= {(route, *key): v for key, v in _folds_by_least_squares(own, _parts).items()}
+    assert found.keys() == want.keys()
+    assert all(abs(found[key].a - a) < 1e-9 for key, (a, _) in want.items())
+    # Parts: equal where least squares has one part, different where it has two.
+    for route, fold in {(r, j) for r, j, _ in want}:
+        keys = [key for key in want if key[:2] == (route, fold)]
+        assert len({found[key].part for key in keys}) == len({want[key][1] for key in keys})
+    assert any(len({want[key][1] for key in want if key[:2] == ("s", j)}) > 1 for j in range(7))
+
+
+def test_leave_one_day_out_with_few_and_many_days(spark):
+    """Routes beyond the bound on days alternate; scores and motifs are the same."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("r", d, k, math.exp(rng.gauss(0.2 * d, 0.1) + 0.1 * k), "flat" if k < 3 else "ascent") for d in range(5) for k in range(6) if (d + 2 * k) % 5]
+    rows += [("s", d, k, 0.0 if (d, k) == (1, 1) else 10.0 + d + k, "flat") for d, k in [(0, 0), (1, 0), (0, 1), (1, 1), (2, 2), (3, 2), (0, 2)]]
+    table = spark.createDataFrame(rows, "route string, day int, k int, t double, klass string")
+    shown = []
+    for bound in (64, 3):
+        classes, means = effects.leave_one_day_out(table, ["route"], fold_days=bound)
+        shown.append(
+            (
+                sorted(str([r[c] if not isinstance(r[c], float) else round(r[c], 5) for c in sorted(classes.columns)]) for r in classes.collect()),
+                sorted((r.route, r.klass, r.folds) for r in means.collect()),
+            )
+        )
+    assert shown[0] == shown[1]
+    assert any("not_identified" in c for c in shown[0][0])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12) if i != 5] + [(20, 21)], "a int, b int")
     got = {r.node: r.component for r in effects.components(edges, "a", "b").collect()}
