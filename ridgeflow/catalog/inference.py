@@ -408,13 +408,38 @@ FROM e JOIN g ON g.s = e.s
 
 
 def huber_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Robust trend of line prices on quantity (no SQL form: iterated weights)."""
+    """Robust trend of line prices on quantity; one price in eleven is an outlier."""
+    far = F.when(F.col("l_partkey") % 11 == 3, 9.0).otherwise(1.0)
     items = table(spark, sf, "lineitem").select(
-        F.lit(1.0).alias("one"), "l_quantity", (F.col("l_extendedprice") / 1000).alias("y")
+        F.lit(1.0).alias("one"), "l_quantity", (far * F.col("l_extendedprice") / 1000).alias("y")
     )
-    fit, scale, iterations = trend.huber(items, ["one", "l_quantity"], "y", tolerance=1e-8)
-    rows = [(c, float(b), scale, iterations) for c, b in zip(fit.columns, fit.coef, strict=True)]
-    return spark.createDataFrame(rows, "term string, coef double, scale double, iterations int")
+    fit, scale, _ = trend.huber(items, ["one", "l_quantity"], "y", tolerance=1e-9)
+    rows = [(c, float(b), scale) for c, b in zip(fit.columns, fit.coef, strict=True)]
+    return compact(spark.createDataFrame(rows, "term string, coef double, scale double"), digits=5)
+
+
+def _huber_rounds(rounds: int) -> str:
+    """Reweighted least squares, unrolled: coefficients, then the scale of their residuals."""
+    fit = "(sw * sxy - sx * sy) / (sw * sxx - sx * sx)"
+    out = ""
+    for n in range(rounds + 1):
+        size = "abs(y - b0 - b1 * x) / scale"
+        weight = "1.0" if n == 0 else f"CASE WHEN {size} > 1.345 THEN 1.345 / ({size}) ELSE 1.0 END"
+        given = "i" if n == 0 else f"i, h{n - 1}"
+        out += f""",
+m{n} AS MATERIALIZED (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+      FROM (SELECT x, y, {weight} AS w FROM {given})),
+f{n} AS MATERIALIZED (SELECT (sy - ({fit}) * sx) / sw AS b0, {fit} AS b1 FROM m{n}),
+h{n} AS MATERIALIZED (SELECT max(b0) AS b0, max(b1) AS b1, median(abs(y - b0 - b1 * x)) / 0.6744897501960817 AS scale FROM i, f{n})"""
+    return out
+
+
+HUBER_SQL = f"""
+WITH i AS MATERIALIZED (SELECT l_quantity AS x, CASE WHEN l_partkey % 11 = 3 THEN 9.0 ELSE 1.0 END * l_extendedprice / 1000 AS y FROM lineitem)
+{_huber_rounds(60)}
+SELECT 'one' AS term, round(b0, 5) AS coef, round(scale, 5) AS scale FROM h60
+UNION ALL SELECT 'l_quantity', round(b1, 5), round(scale, 5) FROM h60
+"""
 
 
 def wild_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,20 +452,40 @@ def wild_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(low, float(fit.coef[1]), high)], "low double, coef double, high double")
 
 
+BAND_DRAWS, BAND_SEED, BAND_LEVEL = 150, 11, 0.9
+
+
 def max_t_band(spark: SparkSession, sf: str) -> DataFrame:
     """Simultaneous band of supplier means from hash-signed residual draws."""
     items = table(spark, sf, "lineitem").select(
         "l_suppkey",
-        F.xxhash64("l_orderkey", "l_partkey", "l_linenumber").alias("row_key"),
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("row_key"),
         F.col("l_extendedprice").alias("y"),
     )
     estimate = items.groupBy(F.col("l_suppkey").alias("x")).agg(F.avg("y").alias("estimate"))
     fitted = items.join(estimate, items["l_suppkey"] == estimate["x"]).withColumn(
         "r", F.col("y") - F.col("estimate")
     )
-    draws = trend.wild_residual_draws(fitted, "estimate", "r", "row_key", 40, 11)
-    curves = draws.groupBy("b", "x").agg(F.avg("y_star").alias("value"))
-    return trend.max_t_band(estimate, curves, 0.9)
+    curves = trend.signed_means(fitted, "x", "estimate", "r", "row_key", BAND_DRAWS, BAND_SEED)
+    return compact(trend.max_t_band(estimate, curves, BAND_LEVEL), digits=4)
+
+
+BAND_SQL = f"""
+WITH e AS (SELECT l_suppkey AS x, avg(l_extendedprice) AS estimate, count(*) AS n FROM lineitem GROUP BY 1),
+m AS (SELECT l_suppkey AS x, l_extendedprice AS y, k.n AS block,
+             md5('{BAND_SEED}:' || k.n || ':' || l_orderkey || '-' || l_partkey || '-' || l_linenumber) AS digest
+      FROM lineitem, (SELECT unnest(range(0, {-(-BAND_DRAWS // 128)})) AS n) k),
+s AS (SELECT m.x, 128 * m.block + d.n + 1 AS b, y,
+             (CAST('0x' || substr(digest, CAST(d.n // 4 + 1 AS INTEGER), 1) AS INTEGER) >> CAST(3 - d.n % 4 AS INTEGER)) & 1 AS minus
+      FROM m, (SELECT unnest(range(0, 128)) AS n) d WHERE 128 * m.block + d.n < {BAND_DRAWS}),
+v AS (SELECT s.b, s.x, max(e.estimate) AS estimate, max(e.estimate) + avg((1 - 2 * minus) * (y - e.estimate)) AS value
+      FROM s JOIN e USING (x) GROUP BY 1, 2),
+p AS (SELECT x, stddev_samp(value) AS s FROM v GROUP BY 1),
+t AS (SELECT b, max(abs(value - estimate) / p.s) AS t FROM v JOIN p USING (x) WHERE p.s > 0 GROUP BY 1),
+c AS (SELECT t AS critical FROM (SELECT t, row_number() OVER (ORDER BY t) AS r FROM t) WHERE r = CAST(ceil({BAND_LEVEL} * {BAND_DRAWS}) AS INTEGER))
+SELECT e.x, round(e.estimate, 4) AS estimate, round(e.estimate - critical * p.s, 4) AS low, round(e.estimate + critical * p.s, 4) AS high
+FROM e JOIN p USING (x), c
+"""
 
 
 def two_way_converged(spark: SparkSession, sf: str) -> DataFrame:
@@ -449,7 +494,25 @@ def two_way_converged(spark: SparkSession, sf: str) -> DataFrame:
         F.log(F.avg("value") + 1).alias("y")
     )
     levels, _, _, certified = effects.two_way_fit(cells, [], "user_id", "event_type", "y")
-    return levels.withColumn("certified", F.lit(certified))
+    return compact(levels.withColumn("certified", F.lit(certified)))
+
+
+def _two_way_rounds(rounds: int) -> str:
+    """Rounds of alternating means of users and event types, from the zero levels."""
+    out = "c0 AS (SELECT DISTINCT user_id, CAST(0.0 AS DOUBLE) AS c FROM cells)"
+    for n in range(1, rounds + 1):
+        out += f""",
+a{n} AS MATERIALIZED (SELECT event_type, avg(y - c) AS a FROM cells JOIN c{n - 1} USING (user_id) GROUP BY 1),
+c{n} AS MATERIALIZED (SELECT user_id, c - avg(c) OVER () AS c FROM (
+      SELECT user_id, avg(y - a) AS c FROM cells JOIN a{n} USING (event_type) GROUP BY 1))"""
+    return out
+
+
+CONVERGED_SQL = f"""
+WITH cells AS MATERIALIZED (SELECT user_id, event_type, ln(avg(value) + 1) AS y FROM events GROUP BY 1, 2),
+{_two_way_rounds(40)}
+SELECT user_id, round(c, 6) AS c, true AS certified FROM c40
+"""
 
 
 def design_choice(spark: SparkSession, sf: str) -> DataFrame:
@@ -590,8 +653,8 @@ CHECKS = {
     "trials_by_effect": Check(trials_by_effect, EFFECT_SQL),
     "sensitivity_axes": Check(sensitivity_axes, AXES_SQL),
     "admission_verdicts": Check(admission_verdicts, VERDICT_SQL),
-    "huber_fit": Check(huber_fit),
+    "huber_fit": Check(huber_fit, HUBER_SQL),
     "wild_cluster_bootstrap": Check(wild_bootstrap),
-    "max_t_band": Check(max_t_band),
-    "two_way_converged": Check(two_way_converged),
+    "max_t_band": Check(max_t_band, BAND_SQL),
+    "two_way_converged": Check(two_way_converged, CONVERGED_SQL),
 }

@@ -120,6 +120,18 @@ def climb_stability(spark: SparkSession, sf: str) -> DataFrame:
     return compact(out.groupBy("stable", "found_fraction").agg(F.count(F.lit(1)).alias("climbs")))
 
 
+STABILITY_SQL = JACCARD_SQL[: JACCARD_SQL.rindex("SELECT c AS o_custkey")].replace(
+    "j AS (SELECT r.c, r.k, variant, v.a AS va,", "j AS (SELECT r.c, r.k, variant, v.a AS va, v.speed AS vs,"
+).replace("d + 13 + k % 23 AS b FROM o", "d + 13 + k % 23 AS b, (1 + k % 40) * 1.03 AS speed FROM o").replace(
+    "d + 6, d + 20 + k % 23 FROM o", "d + 6, d + 20 + k % 23, (1 + k % 40) * 1.06 FROM o"
+) + """,
+f AS (SELECT c, k, count(*) AS found, max(abs(vs / (1 + k % 40) - 1)) AS gap FROM p WHERE n = 1 AND jac >= 0.5 GROUP BY 1, 2),
+a AS (SELECT coalesce(found, 0) / 2.0 AS found_fraction, coalesce(found / 2.0 >= 0.8 AND gap < 0.05, false) AS stable
+      FROM r LEFT JOIN f ON f.c = r.c AND f.k = r.k)
+SELECT stable, round(found_fraction, 6) AS found_fraction, count(*) AS climbs FROM a GROUP BY 1, 2
+"""
+
+
 def month_flow(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     out = climbs.month_flow(
@@ -529,7 +541,7 @@ def climb_table(spark: SparkSession, sf: str) -> DataFrame:
 CHECKS = {
     "zigzag_climbs": Check(zigzag_climbs, ZIGZAG_SQL),
     "jaccard_best_match": Check(jaccard_best_match, JACCARD_SQL),
-    "climb_stability": Check(climb_stability),
+    "climb_stability": Check(climb_stability, STABILITY_SQL),
     "month_flow": Check(month_flow, FLOW_SQL),
     "figure_points": Check(figure_points, FIGURE_SQL),
     "quality_strata": Check(quality_strata, QUALITY_SQL),

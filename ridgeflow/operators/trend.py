@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeflow.functions.student import quantile, two_sided_p
 from ridgeflow.operators import ordered, quantiles
@@ -363,13 +364,67 @@ def wild_cluster_interval(
     return float(fit.coef[j]) - half, float(fit.coef[j]) + half
 
 
-def wild_residual_draws(
-    rows: DataFrame, fitted: str, residual: str, row_key: str, draws: int, seed: int
+#: Draws whose signs one digest of a row holds.
+SIGN_BITS = 128
+
+
+def sign_digests(row_key: Column, draws: int, seed: int) -> Column:
+    """Signs of a row in all draws, as hex digits: bit ``b`` (from the left) of the md5 digests of
+    ``seed:block:key``, a block for every 128 draws. Equal on any partitioning, and a plain
+    expression in any SQL."""
+    blocks = range(-(-draws // SIGN_BITS))
+    key = row_key.cast("string")
+    return F.concat(*(F.md5(F.concat(F.lit(f"{seed}:{n}:"), key).cast("binary")) for n in blocks))
+
+
+def signed_sums(
+    rows: DataFrame, keys: Sequence[str], terms: Sequence[str], row_key: str, draws: int, seed: int
 ) -> DataFrame:
-    """Rows times draws with a hash-seeded sign on the residual (``b``, ``y_star``)."""
-    spread = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    sign = 1 - 2 * F.xxhash64(F.lit(seed), "b", F.col(row_key)).bitwiseAND(F.lit(1))
-    return spread.withColumn("y_star", F.col(fitted) + sign * F.col(residual))
+    """Sums of ``terms`` under random signs of the rows: keys, ``b`` (from 1) and the terms.
+
+    A draw changes nothing but the sign of a row, so no row is ever written once per draw: every
+    task keeps one vector over the draws per key and term, adds its rows to it, and only
+    these vectors are added up across tasks. Keys are few against rows (grid points,
+    coefficients, clusters); a task passes on what it holds when it holds too many."""
+    keys = list(keys)
+    given = rows.select(*keys, *(F.col(t).cast("double").alias(t) for t in terms), sign_digests(F.col(row_key), draws, seed).alias("_signs"))
+    fields = [given.schema[k] for k in keys]
+    schema = T.StructType([*fields, *(T.StructField(t, T.ArrayType(T.DoubleType())) for t in terms)])
+    most = max(1, (1 << 25) // (8 * draws * len(terms)))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> pd.DataFrame:
+            named = [[*key, *(v.tolist() for v in sums)] for key, sums in held.items()]
+            return pd.DataFrame(named, columns=[*keys, *terms])
+
+        for batch in batches:
+            digits = np.frombuffer(bytes.fromhex("".join(batch["_signs"])), np.uint8).reshape(len(batch), -1)
+            signs = 1.0 - 2.0 * np.unpackbits(digits, axis=1)[:, :draws]
+            values = batch[list(terms)].to_numpy(float)
+            groups = batch.groupby(keys, dropna=False, sort=False).indices if keys else {(): np.arange(len(batch))}
+            for key, at in groups.items():
+                key = key if isinstance(key, tuple) else (key,)
+                sums = values[at].T @ signs[at]
+                held[key] = held[key] + sums if key in held else sums
+            if len(held) > most:
+                yield told()
+                held.clear()
+        if held:
+            yield told()
+
+    parts = given.mapInPandas(fold, schema)
+    zipped = F.explode(F.transform(F.arrays_zip(*terms), lambda v, n: F.struct((n + 1).alias("b"), v.alias("v"))))
+    drawn = parts.select(*keys, zipped.alias("_d")).select(*keys, F.col("_d.b").alias("b"), "_d.v.*")
+    return drawn.groupBy(*keys, "b").agg(*(F.sum(t).alias(t) for t in terms))
+
+
+def signed_means(rows: DataFrame, x: str, fitted: str, residual: str, row_key: str, draws: int, seed: int) -> DataFrame:
+    """Means of ``fitted`` plus signed ``residual`` by ``x`` in every draw: ``b``, ``x``, ``value``."""
+    level = rows.groupBy(x).agg(F.avg(fitted).alias("_level"), F.count(F.lit(1)).alias("_n"))
+    drawn = signed_sums(rows.withColumn("_r", F.col(residual)), [x], ["_r"], row_key, draws, seed)
+    return drawn.join(level, x).select("b", x, (F.col("_level") + F.col("_r") / F.col("_n")).alias("value"))
 
 
 def max_t_band(estimate: DataFrame, draws: DataFrame, level: float) -> DataFrame:

@@ -311,9 +311,15 @@ def trend_figure(
     fitted = shaped.withColumn("_fit", smooth.prediction()).withColumn(
         "_res", F.col("partial") - F.col("_fit")
     )
-    starred = trend.wild_residual_draws(fitted, "_fit", "_res", row_key, draws, seed)
-    crossed = starred.groupBy("b").agg(
-        *(F.sum(F.col(c) * F.col("y_star")).alias(f"_s{i}") for i, c in enumerate(names))
+    # X'y of a draw: that of the fitted values, and the signed sums of the residuals.
+    plain = fitted.agg(*(F.sum(F.col(c) * F.col("_fit")).alias(f"_p{i}") for i, c in enumerate(names)))
+    scored = fitted
+    for i, c in enumerate(names):
+        scored = scored.withColumn(f"_s{i}", F.col(c) * F.col("_res"))
+    terms = [f"_s{i}" for i in range(len(names))]
+    drawn = trend.signed_sums(scored, [], terms, row_key, draws, seed)
+    crossed = drawn.crossJoin(F.broadcast(plain)).select(  # one row
+        "b", *((F.col(f"_s{i}") + F.col(f"_p{i}")).alias(f"_s{i}") for i in range(len(names)))
     )
     inverse = smooth.cov / smooth.scale
     coefs = crossed.select(
