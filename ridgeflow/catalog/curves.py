@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeflow.catalog import Check
 from ridgeflow.catalog.tracks import HAVERSINE_SQL
-from ridgeflow.functions import grades
-from ridgeflow.operators import curve, ordered, pace, quantiles, route
+from ridgeflow.functions import geo, grades
+from ridgeflow.operators import clocks, curve, ordered, pace, quantiles, route, track
 from ridgeflow.tables import compact, events, table
 
 USER = ["user_id"]
@@ -445,7 +447,119 @@ SELECT route_id, seq, round(sum(step) OVER (PARTITION BY route_id ORDER BY seq),
 FROM s WHERE p_lat IS NULL OR step > 0
 """
 
+#: Records of a second track per user, every 5 s along a meridian: 25 of them moving, 25 nearly
+#: still (not at all, 6 or 12 cm/s by user), and so on.
+TRACK_S = 5
+CEILING_S = 221.3
+
+
+def _meridian(spark: SparkSession, sf: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts")
+    rows = table(spark, sf, "events").select("user_id", "event_id", (F.row_number().over(order) - 1).alias("n"))
+    creep = F.element_at(F.array(F.lit(0.0), F.lit(0.3), F.lit(0.6)), (F.col("user_id") % 3 + 1).cast("int"))
+    still = F.floor(F.col("n") / 25) % 2 == 1
+    rows = rows.select(
+        "user_id",
+        "n",
+        F.when(F.col("n") == 0, 0.0).when(still, creep).otherwise(5.0 + F.col("event_id") % 6).alias("step"),
+        F.when(still, 0.0).otherwise(0.25 * (F.col("event_id") % 3 - 1)).alias("rise"),
+    )
+    upto = Window.partitionBy("user_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    degree = geo.EARTH_RADIUS_M * math.pi / 180
+    return rows.select(
+        "user_id",
+        (F.col("n") * float(TRACK_S)).alias("time_s"),
+        (F.lit(45.0) + F.sum("step").over(upto) / degree).alias("lat"),
+        F.lit(6.0).alias("lon"),
+        (F.lit(100.0) + F.sum("rise").over(upto)).alias("ele"),
+    )
+
+
+def window_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact 30 s windows, their judgement and confirmed stops under the five conventions."""
+    series = track.build_series(_meridian(spark, sf), ["user_id"])
+    return compact(clocks.totals(clocks.clock_partition(series, ["user_id"]), ["user_id"]), digits=3)
+
+
+_CONVENTIONS = ", ".join(f"({n}, {c.horizontal_ms}, {c.vertical_ms}, {c.min_stop_s})" for n, c in enumerate(clocks.CONVENTIONS))
+
+WINDOW_SQL = f"""
+WITH e AS (SELECT user_id AS u, event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n FROM events),
+x AS (SELECT u, n, CASE WHEN n = 0 THEN 0.0 WHEN (n // 25) % 2 = 1 THEN CASE u % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.3 ELSE 0.6 END
+                        ELSE 5.0 + e % 6 END AS step,
+             CASE WHEN (n // 25) % 2 = 1 THEN 0.0 ELSE 0.25 * (e % 3 - 1) END AS rise FROM e),
+r AS (SELECT u, n, CAST({TRACK_S} * n AS DOUBLE) AS t, CAST(sum(step) OVER w AS DOUBLE) AS d, CAST(100 + sum(rise) OVER w AS DOUBLE) AS z,
+             count(*) OVER (PARTITION BY u) AS size FROM x WINDOW w AS (PARTITION BY u ORDER BY n)),
+s AS (SELECT u, n, t, size, avg(d) OVER w AS y, avg(z) OVER w AS h FROM r
+      WINDOW w AS (PARTITION BY u ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+l AS (SELECT u, n, t, n >= 5 AND n <= size - 7 AS ok,
+             (lag(y, 3) OVER w + lag(y, 2) OVER w) / 2 AS y0, (lead(y, 3) OVER w + lead(y, 4) OVER w) / 2 AS y1,
+             (lag(h, 3) OVER w + lag(h, 2) OVER w) / 2 AS z0, (lead(h, 3) OVER w + lead(h, 4) OVER w) / 2 AS z1,
+             max(h) OVER i AS zmax, min(h) OVER i AS zmin
+      FROM s WINDOW w AS (PARTITION BY u ORDER BY n),
+                    i AS (PARTITION BY u ORDER BY n ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING)
+      QUALIFY n < size - 1),
+m AS (SELECT u, n, t, CASE WHEN ok THEN abs(y1 - y0) / 30 END AS vh, CASE WHEN ok THEN abs(z1 - z0) / 30 END AS vz,
+             y1 - y0 AS dh, greatest(z0, z1, zmax) - least(z0, z1, zmin) AS dz FROM l),
+c(c, h, v, least_s) AS (VALUES {_CONVENTIONS}),
+q AS (SELECT u, n, t, c, least_s,
+             CASE WHEN vh IS NULL THEN 'i' WHEN vh - h > 1e-6 * h OR vz - v > 1e-6 * v THEN 'm'
+                  WHEN dh - 30 * h > 3e-5 * h OR dz - 30 * v > 3e-5 * v THEN 'i' ELSE 's' END AS judged FROM m, c),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY u, c, judged ORDER BY n) AS island FROM q),
+p AS (SELECT u, n, c, t AS a, t + {TRACK_S} AS b,
+             CASE WHEN judged = 'm' THEN 'M'
+                  WHEN judged = 's' AND {TRACK_S} * count(*) OVER (PARTITION BY u, c, judged, island) >= least_s THEN 'S' ELSE 'U' END AS state
+      FROM g)
+"""
+
+STATE_SQL = WINDOW_SQL + """
+SELECT u AS user_id, CAST(c AS INTEGER) AS convention, round(sum(b - a), 3) AS elapsed_s,
+       round(sum(CASE WHEN state = 'M' THEN b - a ELSE 0 END), 3) AS moving_s,
+       round(sum(CASE WHEN state = 'S' THEN b - a ELSE 0 END), 3) AS stopped_s,
+       round(sum(CASE WHEN state = 'U' THEN b - a ELSE 0 END), 3) AS undetermined_s
+FROM p GROUP BY 1, 2
+"""
+
+
+def activity_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of every track on its own grid, cut at a ceiling, with their three clocks."""
+    rules = curve.CurveRules(max_elapsed_s=CEILING_S)
+    out = curve.activity_intervals(_meridian(spark, sf), ["user_id"], None, rules, step_m=25.0, window_m=100.0)
+    return compact(
+        out.withColumn("i", F.col("i").cast("long")),
+        "user_id", "i", "length_m", "start_s", "end_s", "elapsed_s", "moving_s", "stopped_s", "undetermined_s", "truncated",
+        digits=4,
+    )
+
+
+INTERVALS_SQL = WINDOW_SQL + f""",
+k AS (SELECT u, max(d) AS len, max(t) AS last_t, floor(max(d) / 25) AS m FROM r GROUP BY 1),
+y AS (SELECT *, CASE WHEN len < 25 THEN 0 WHEN len - m * 25 < 12.5 THEN m - 1 ELSE m END AS lastk FROM k),
+b AS (SELECT u, CAST(i AS BIGINT) AS i, len, last_t, lastk, CASE WHEN i > lastk THEN len ELSE 25.0 * i END AS at_m
+      FROM (SELECT *, unnest(range(0, CAST(lastk AS BIGINT) + 2)) AS i FROM y)),
+f AS (SELECT u, t, d, lead(t) OVER w AS t2, lead(d) OVER w AS d2 FROM r WINDOW w AS (PARTITION BY u ORDER BY n)),
+h AS (SELECT b.*, CASE WHEN i = 0 THEN 0.0 WHEN i > lastk THEN last_t
+                       ELSE f.t + CASE WHEN f.d2 IS NULL THEN 0.0 ELSE (at_m - f.d) / (f.d2 - f.d) * (f.t2 - f.t) END END AS at_s
+      FROM b JOIN f ON f.u = b.u AND f.d <= at_m AND (f.d2 > at_m OR f.d2 IS NULL)),
+v AS (SELECT h.u, i, at_m, at_s, lead(at_m) OVER w AS to_m, lead(at_s) OVER w AS to_s, f.d + ({CEILING_S} - f.t) / (f.t2 - f.t) * (f.d2 - f.d) AS stop_m
+      FROM h JOIN f ON f.u = h.u AND f.t <= {CEILING_S} AND f.t2 > {CEILING_S} WINDOW w AS (PARTITION BY h.u ORDER BY i)),
+n AS (SELECT u, i, at_s, to_s > {CEILING_S} AS truncated, least(to_s, {CEILING_S}) AS end_s,
+             CASE WHEN to_s > {CEILING_S} THEN stop_m ELSE to_m END - at_m AS length_m
+      FROM v WHERE to_m > at_m AND at_s < {CEILING_S}),
+o AS (SELECT n.u, i, min(length_m) AS length_m, min(at_s) AS at_s, min(n.end_s) AS end_s, bool_or(truncated) AS truncated,
+             sum(CASE WHEN state = 'M' THEN greatest(least(p.b, n.end_s) - greatest(p.a, n.at_s), 0) ELSE 0 END) AS moving_s,
+             sum(CASE WHEN state = 'S' THEN greatest(least(p.b, n.end_s) - greatest(p.a, n.at_s), 0) ELSE 0 END) AS stopped_s,
+             sum(CASE WHEN state = 'U' THEN greatest(least(p.b, n.end_s) - greatest(p.a, n.at_s), 0) ELSE 0 END) AS undetermined_s
+      FROM n JOIN p ON p.u = n.u AND p.c = {clocks.CENTRAL} WHERE length_m > 0 GROUP BY 1, 2)
+SELECT u AS user_id, i, round(length_m, 4) AS length_m, round(at_s, 4) AS start_s, round(end_s, 4) AS end_s, round(end_s - at_s, 4) AS elapsed_s,
+       round(moving_s, 4) AS moving_s, round(stopped_s, 4) AS stopped_s, round(undetermined_s, 4) AS undetermined_s, truncated
+FROM o
+"""
+
+
 CHECKS = {
+    "window_states": Check(window_states, STATE_SQL),
+    "activity_intervals": Check(activity_intervals, INTERVALS_SQL),
     "grid_resample_smooth": Check(grid_resample_smooth, GRID_SQL),
     "pace_lookup_projection": Check(pace_lookup_projection, PACE_SQL),
     "projection_summary": Check(projection_summary, SUMMARY_SQL),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeflow.catalog import Check
 from ridgeflow.operators import effects, experiments, ordered, panel, trend
-from ridgeflow.plans import experiment
+from ridgeflow.plans import experiment, sensitivity
 from ridgeflow.plans.backtest import Effect
 from ridgeflow.session import shared_folder
 from ridgeflow.tables import compact, day_number, events, table
@@ -635,7 +635,59 @@ FROM n
 """
 
 
+def sensitivity_reserves(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as performances under nineteen configurations: how far the gains, the verdicts and
+    the guards of each are those of the central one."""
+    items = table(spark, sf, "lineitem")
+    per = items.groupBy("l_suppkey").agg(
+        F.avg("l_discount").alias("ease"), F.avg("l_tax").alias("tax"), F.count(F.lit(1)).alias("n")
+    )
+    rows = per.crossJoin(F.broadcast(sensitivity.configuration_table(spark)))  # nineteen rows
+    number, supplier = F.col("configuration"), F.col("l_suppkey")
+    gain = F.col("ease") - 0.05 + 0.02 - F.when(F.col("step_m") > 250, 0.021).otherwise(0.0) - 0.001 * F.col("clock")
+    gone = (supplier % 17 == number % 17) & (number > 9)
+    assessed = rows.select(
+        "configuration",
+        "l_suppkey",
+        F.when(~gone & (number != 18), gain).alias("gain"),
+        F.lit(0.01).alias("threshold"),
+        F.when(gone | (number == 18), "insufficient").alias("motif"),
+    )
+    guards = rows.filter(number != 5).select(
+        "configuration", F.lit("dispersion").alias("metric"), (F.col("tax") - 0.04).alias("harm"), F.lit(0.005).alias("threshold")
+    )
+    admitted = experiments.admit(assessed, guards, ["configuration"])
+    gains = sensitivity.compared_gains(assessed, ["l_suppkey"])
+    return compact(sensitivity.reserves(gains, admitted, guards))
+
+
+RESERVE_SQL = """
+WITH per AS (SELECT l_suppkey AS s, avg(l_discount) AS ease, avg(l_tax) AS tax FROM lineitem GROUP BY 1),
+c AS (SELECT n AS c, CASE WHEN n < 9 THEN CASE n // 3 WHEN 0 THEN 100 WHEN 1 THEN 250 ELSE 500 END ELSE 250 END AS step,
+             CASE WHEN n < 9 THEN 0 ELSE n - 8 END AS clock FROM (SELECT unnest(range(0, 19)) AS n)),
+a AS (SELECT c, s, (s % 17 = c % 17 AND c > 9) OR c = 18 AS gone,
+             ease - 0.05 + 0.02 - CASE WHEN step > 250 THEN 0.021 ELSE 0.0 END - 0.001 * clock AS g, tax - 0.04 AS harm FROM per, c),
+v AS (SELECT c, count(*) FILTER (NOT gone) AS n, avg(g) FILTER (NOT gone) AS m, sum(CASE WHEN NOT gone AND g > 1e-6 THEN 1 ELSE 0 END) AS pos,
+             sum(CASE WHEN NOT gone AND g < -0.01 - 1e-6 THEN 1 ELSE 0 END) AS lost,
+             c <> 5 AND (avg(harm) > 0.005 + 1e-6 OR bool_or(harm > 0.01 + 1e-6)) AS broken FROM a GROUP BY 1),
+d AS (SELECT c, CASE WHEN n = 0 THEN NULL WHEN m < 0.01 - 1e-6 OR pos < ceil(n * 3 / 4.0) OR lost > 0 OR broken THEN 'rejected'
+                     ELSE 'provisional' END AS verdict,
+             CASE WHEN n = 0 THEN NULL WHEN m > 1e-6 THEN 1 WHEN m < -1e-6 THEN -1 ELSE 0 END AS sign FROM v),
+p AS (SELECT a.c, a.s, a.gone, b.gone AS bgone, a.g, b.g AS bg,
+             CASE WHEN a.g > 1e-6 THEN 1 WHEN a.g < -1e-6 THEN -1 ELSE 0 END AS sg,
+             CASE WHEN b.g > 1e-6 THEN 1 WHEN b.g < -1e-6 THEN -1 ELSE 0 END AS bs FROM a JOIN a b ON b.s = a.s AND b.c = 4),
+k AS (SELECT c, count(*) FILTER (NOT gone AND NOT bgone) AS comparable, count(*) FILTER (NOT gone AND bgone) AS entering,
+             count(*) FILTER (gone AND NOT bgone) AS leaving, avg(bg) FILTER (NOT gone AND NOT bgone) AS cb,
+             avg(g) FILTER (NOT gone AND NOT bgone) AS cg, coalesce(bool_or(sg <> bs AND NOT gone AND NOT bgone), false) AS moved FROM p GROUP BY 1)
+SELECT CAST(k.c AS INTEGER) AS configuration, comparable, entering, leaving, round(cb, 6) AS common_base_gain, round(cg, 6) AS common_gain,
+       d.verdict, moved OR coalesce(d.sign <> e.sign, false) AS sign_changed, d.verdict IS DISTINCT FROM e.verdict AS verdict_changed,
+       leaving > 0 OR d.verdict IS NULL OR k.c = 5 AS evaluability_lost, comparable = 0 AS sign_unverifiable
+FROM k JOIN d ON d.c = k.c JOIN d e ON e.c = 4
+"""
+
+
 CHECKS = {
+    "sensitivity_reserves": Check(sensitivity_reserves, RESERVE_SQL),
     "frozen_experiment": Check(frozen_experiment, EXPERIMENT_SQL),
     "design_choice": Check(design_choice, DESIGN_SQL),
     "within_group_ols": Check(within_group_ols, WITHIN_SQL),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgeflow.functions import grades
 from ridgeflow.operators import clocks, lookup, ordered, pace, quantiles, route, track
+from ridgeflow.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -136,9 +137,12 @@ def _with_ceiling(
     """Grid points with the ceiling instant and the distance reached there; the interval
     across the ceiling is cut, later ones are dropped by the caller."""
     stops = bounds.select(*keys, (F.col("_first_s") + ceiling_s).alias("_stop"))
-    reached = lookup.interpolated_at(
-        stops, slim, keys, "_stop", "time_s", ["time_s"], ["realized_m"]
-    ).withColumnRenamed("realized_m_at", "_stop_m")
+    # Written: joined to frames of the same track as a plan, its columns came out null.
+    reached = cut_lineage(
+        lookup.interpolated_at(
+            stops, slim, keys, "_stop", "time_s", ["time_s"], ["realized_m"]
+        ).withColumnRenamed("realized_m_at", "_stop_m")
+    )
     bare = timed.drop("_stop", "_stop_m", "time_s_end")
     full = ordered.shift(bare, keys, ["i"], {"time_s_end": F.col("at_s")}, forward=True)
     return full.join(reached, list(keys))
