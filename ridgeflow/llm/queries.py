@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ridgeflow.llm.chat_tree import format_conversations
 from ridgeflow.llm.exact_dedup import exact_groups

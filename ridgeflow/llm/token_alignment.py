@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Most frequent id pairs, whose counts every task holds: 13 bytes each, a fixed bound.
 FREQUENT_PAIRS = 100_000
 #: Words that a task remembers, and code points of text that it works on at a time.
-KNOWN_WORDS, SLICE_CHARS = 500_000, 1 << 20
+KNOWN_WORDS, SLICE_CHARS = 400_000, 1 << 20
 _LEARN = 5000
 #: A blank between two other characters: both tokenizers always cut before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -77,7 +78,9 @@ class Aligner:
         self.base = len(pieces)
         self.by_word = not any("▁" in p.lstrip("▁") or re.match("▁{2,}[^▁]", p) for p in pieces)
         #: Ids as they stand in the string of a group, by what follows them.
-        self.shown = [[f"{i}{mark}".encode() for i in range(n)] for n, mark in ((len(names), ","), (len(names), "|"), (self.base, ","), (self.base, ";"))]
+        marks = ((len(names), ","), (len(names), "|"), (self.base, ","), (self.base, ";"))
+        self.shown = [f"{i}{mark}".encode() for n, mark in marks for i in range(n)]
+        self.shown_from = np.cumsum([0, *(n for n, _ in marks)])
         self._clear()
 
     def _clear(self) -> None:
@@ -105,28 +108,34 @@ class Aligner:
             width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
             upto = np.concatenate([[0], np.cumsum(width)])
         chars = np.cumsum([0, *map(len, given)])[:-1]
+        whole = b"".join(spelt)
         sides = []
         good = np.ones(len(words), bool)
-        for ids, ends, shift, own, size in (
-            ([e.ids for e in found_a], [[s[1] for s in e.offsets] for e in found_a], 0, self.bytes_a, self.size_a),
-            ([e["ids"] for e in found_b], [[s[1] for s in e["offsets"]] for e in found_b], 1, self.bytes_b, self.size_b),
+        for ids, spans, shift, own, size in (
+            ([e.ids for e in found_a], (e.offsets for e in found_a), 0, self.bytes_a, self.size_a),
+            ([e["ids"] for e in found_b], (e["offsets"] for e in found_b), 1, self.bytes_b, self.size_b),
         ):
-            joined = [b"".join([own[i] for i in t]) for t in ids]
-            good &= np.fromiter((j == w for j, w in zip(joined, spelt, strict=True)), bool, len(words))
             many = np.fromiter(map(len, ids), np.int64, len(ids))
-            sides.append((ids, ends, shift, many, size))
-        out = []
-        for ids, ends, shift, many, size in sides:
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(many.sum()))
+            both = chain.from_iterable(chain.from_iterable(spans))
+            ends = np.fromiter(both, np.int64, 2 * len(flat))[1::2] + shift
             word = np.repeat(np.arange(len(words)), many)
+            # All words at once where all are spelt, else word by word.
+            held = np.bincount(word, weights=size[flat], minlength=len(words)) == sizes
+            if not held.all() or b"".join(map(own.__getitem__, flat.tolist())) != whole:
+                joined = (b"".join([own[i] for i in t]) for t in ids)
+                good &= np.fromiter((j == w for j, w in zip(joined, spelt, strict=True)), bool, len(words))
+            sides.append((flat, ends, word, size))
+        out = []
+        skipped = np.concatenate([[0], np.cumsum(sizes * ~good)])
+        for flat, ends, word, size in sides:
             held = good[word]
-            word = word[held]
-            flat = np.fromiter((i for t in ids for i in t), np.int64, int(many.sum()))[held]
-            coarse = np.fromiter((e for t in ends for e in t), np.int64, int(many.sum()))[held] + shift
-            coarse = start[word] + coarse if upto is None else upto[chars[word] + coarse]
+            flat, ends, word = flat[held], ends[held], word[held]
+            coarse = start[word] + ends if upto is None else upto[chars[word] + ends]
             # Words that are not spelt have no tokens here: their bytes are skipped.
             first = np.diff(word, prepend=-1) > 0
-            skipped = np.concatenate([[0], np.cumsum(sizes * ~good)])[word]
-            out += [flat, token_ends(coarse - skipped, size[flat], first) + skipped, word]
+            gone = skipped[word]
+            out += [flat, token_ends(coarse - gone, size[flat], first) + gone, word]
         return start, good, *out
 
     def groups(self, words: list[str]) -> tuple[np.ndarray, ...]:
@@ -172,7 +181,7 @@ class Aligner:
         group, side = np.concatenate([group_a, group_b]), np.concatenate([last_a.astype(int), 2 + last_b.astype(int)])
         ids, own = np.concatenate([ids_a, ids_b]), np.concatenate([word_a, word_b])
         order = np.lexsort((side // 2, group))
-        parts = [self.shown[k][i] for k, i in zip(side[order].tolist(), ids[order].tolist(), strict=True)]
+        parts = list(map(self.shown.__getitem__, (self.shown_from[side] + ids)[order].tolist()))
         ends = np.searchsorted(own[order], np.arange(n), side="right").tolist()
         begin = 0
         for w, end in zip(words, ends, strict=True):
