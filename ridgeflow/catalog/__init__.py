@@ -24,11 +24,12 @@ def all_checks() -> dict[str, Check]:
         measures,
         outings,
         scores,
+        spans,
         tracks,
     )
 
     out: dict[str, Check] = {}
-    for module in (tracks, curves, scores, outings, days, inference, measures):
+    for module in (tracks, curves, scores, outings, days, inference, measures, spans):
         for name, check in module.CHECKS.items():
             if name in out:
                 raise ValueError(f"query registered twice: {name}")
