@@ -642,7 +642,11 @@ def sensitivity_reserves(spark: SparkSession, sf: str) -> DataFrame:
     per = items.groupBy("l_suppkey").agg(
         F.avg("l_discount").alias("ease"), F.avg("l_tax").alias("tax"), F.count(F.lit(1)).alias("n")
     )
-    rows = per.crossJoin(F.broadcast(sensitivity.configuration_table(spark)))  # nineteen rows
+    listed = [
+        F.struct(F.lit(c.number).alias("configuration"), F.lit(c.step_m).alias("step_m"), F.lit(c.clock).alias("clock"))
+        for c in sensitivity.configurations()
+    ]
+    rows = per.select("*", F.inline(F.array(*listed)))
     number, supplier = F.col("configuration"), F.col("l_suppkey")
     gain = F.col("ease") - 0.05 + 0.02 - F.when(F.col("step_m") > 250, 0.021).otherwise(0.0) - 0.001 * F.col("clock")
     gone = (supplier % 17 == number % 17) & (number > 9)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeflow.catalog import Check
 from ridgeflow.functions import student
 from ridgeflow.operators import calibration, drift, effects, ordered, scoring
+from ridgeflow.plans import sensitivity
 from ridgeflow.tables import compact, day_number, events, table
 
 SUPPLIER = ["l_suppkey"]
@@ -649,7 +650,49 @@ SELECT l_orderkey, count(*) AS prefix, round(max(total), 6) AS total FROM r WHER
 """
 
 
+def sensitivity_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers' items as segments under nineteen configurations: wide tolerances lose a tenth of
+    the parts, clocks shorten the times; counts of values lost, gained and moved."""
+    pairs = [(step, tolerance) for step in sensitivity.STEPS_M for tolerance in sensitivity.TOLERANCES_M]
+    rules = F.array(*(F.struct(F.lit(a).alias("step_m"), F.lit(b).alias("tolerance_m")) for a, b in pairs))
+    items = table(spark, sf, "lineitem").select("*", F.inline(rules))
+    lost = (F.col("tolerance_m") > 40) & ((F.col("l_partkey") % 10 == 3) | (F.col("l_suppkey") % 23 == 5))
+    clocks = F.transform(F.sequence(F.lit(0), F.lit(sensitivity.CLOCKS - 1)), lambda c: F.col("l_quantity") * (1 - 0.01 * c))
+    forecast = items.filter(~lost).select(
+        "l_suppkey",
+        F.lit("m").alias("model"),
+        "step_m",
+        "tolerance_m",
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+        F.col("l_returnflag").alias("klass"),
+        (F.col("l_extendedprice") / 1000 * (1 + F.col("step_m") / 1e5)).alias("p"),
+        clocks.alias("times"),
+    )
+    values = sensitivity.configured_scores(forecast, ["l_suppkey"])
+    _, counts = sensitivity.comparisons(values, ["l_suppkey", "model"])
+    return compact(counts)
+
+
+SENSITIVITY_SQL = """
+WITH c AS (SELECT CAST(n AS INTEGER) AS c, CASE WHEN n < 9 THEN CASE n // 3 WHEN 0 THEN 100 WHEN 1 THEN 250 ELSE 500 END ELSE 250 END AS step,
+                  CASE WHEN n < 9 THEN 15 * (n % 3 + 1) ELSE 30 END AS tol, CASE WHEN n < 9 THEN 0 ELSE n - 8 END AS clock
+           FROM (SELECT unnest(range(0, 19)) AS n)),
+s AS (SELECT c, l_suppkey AS o, l_returnflag AS k, l_extendedprice / 1000 * (1 + step / 1e5) AS p, l_quantity * (1 - 0.01 * clock) AS t
+      FROM lineitem, c WHERE NOT (tol > 40 AND (l_partkey % 10 = 3 OR l_suppkey % 23 = 5))),
+n AS (SELECT c, o, count(*) AS n, ln(sum(p) / sum(t)) AS l FROM s GROUP BY 1, 2),
+k AS (SELECT c, o, k, ln(sum(p) / sum(t)) AS l, sum(t) AS t FROM s GROUP BY 1, 2, 3),
+d AS (SELECT s.c, s.o, s.k, sum(s.t * abs(ln(s.p / s.t) - k.l)) / max(k.t) AS d FROM s JOIN k ON k.c = s.c AND k.o = s.o AND k.k = s.k GROUP BY 1, 2, 3),
+v AS (SELECT c, o, 'level' AS metric, l AS v FROM n UNION ALL SELECT c, o, k || '_level', l FROM k UNION ALL SELECT c, o, k || '_dispersion', d FROM d),
+x AS (SELECT v.c, v.metric, v.v, n.n, b.v AS bv, m.n AS bn FROM v JOIN n ON n.c = v.c AND n.o = v.o
+      LEFT JOIN v b ON b.c = 4 AND b.o = v.o AND b.metric = v.metric LEFT JOIN n m ON m.c = 4 AND m.o = v.o)
+SELECT c AS configuration, metric, count(*) FILTER (bv IS NOT NULL) AS "both", 0 AS lost, count(*) FILTER (bv IS NULL) AS gained, 0 AS neither,
+       count(*) FILTER (n IS DISTINCT FROM bn) AS support_changed, round(max(abs(v - bv)), 6) AS largest_difference
+FROM x GROUP BY 1, 2
+"""
+
+
 CHECKS = {
+    "sensitivity_scores": Check(sensitivity_scores, SENSITIVITY_SQL),
     "support_metrics": Check(
         support_metrics, SEGMENTS_SQL + SCORED_SQL.format(src="s") + OVERALL_SELECT
     ),
