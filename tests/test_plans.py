@@ -288,7 +288,7 @@ def test_live_stops_over_shuffled_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
     try:
         given = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
-        stops = live.live_stops(given, 12.0)
+        stops = live.live_stops(given, 8.0)
         query = stops.writeStream.outputMode("append").format("memory").queryName("stops")
         query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         assert query.awaitTermination(240)
@@ -296,6 +296,6 @@ def test_live_stops_over_shuffled_batches(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     got = sorted((r.activity_ref, r.start_s, r.end_s) for r in spark.sql("select * from stops").collect())
-    want = sorted((n, *run) for n, own in records.items() for run in _stops(own, 12.0))
+    want = sorted((n, *run) for n, own in records.items() for run in _stops(own, 8.0))
     assert got == want and len(want) > 5
-    assert kept <= 4  # the clock's last record and its timers, of all activities
+    assert kept <= 8  # what the last record of the clock leaves, against some 250 records

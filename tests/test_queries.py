@@ -73,7 +73,7 @@ def _wild_cluster_bootstrap(got, duck):
     """The interval stands around the slope that SQL finds, as far on either side, and is as wide
     as a few of its standard errors."""
     row = got.iloc[0]
-    slope, se = duck.sql("""
+    slope, se = duck.execute("""
         WITH i AS (SELECT l_suppkey AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem),
         f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS m, sum(x * x) - count(*) * avg(x) * avg(x) AS v FROM i),
         s AS (SELECT g, sum((x - m) * (y - a - b * x)) AS u FROM i, f GROUP BY g)
