@@ -95,8 +95,9 @@ def write_shards(
     Returns ``doc_id``, ``part``, ``tokens`` (without padding), ``slot``, ``shard``, ``place``
     (in the shard) and ``ids_crc32`` of the ids. A file is written under another name and
     moved when whole: a task that runs twice, or a job started again into the same folder
-    for the same rows, however partitioned, leaves the same bytes. The folder defaults to a new one in the shared
-    folder of the cluster.
+    for the same rows, however partitioned, leaves the same bytes. A file that stands there with
+    other bytes, of another corpus, key or tokenizer, is written again. The folder defaults to a
+    new one in the shared folder of the cluster.
 
     Null and empty texts are one sequence with the end id alone. Repeated rows are written as
     often as they stand there; null ids stay null; an empty table writes a manifest only."""
@@ -143,7 +144,11 @@ def write_shards(
         for n, raw in enumerate(rows["ids"]):
             body[n, : len(raw) // 2] = np.frombuffer(raw, "<u2")
         known = files.get_file_info(name)
-        if known.type != fs.FileType.File or known.size != body.nbytes:
+        same = known.type == fs.FileType.File and known.size == body.nbytes
+        if same:  # a task that runs again, or another corpus, key or tokenizer: its bytes tell
+            with files.open_input_stream(name) as there:
+                same = there.read() == body.tobytes()
+        if not same:
             part = f"{name}.{uuid.uuid4().hex}.part"
             with files.open_output_stream(part) as out:
                 out.write(body.data)

@@ -110,7 +110,7 @@ def top_k(
     buckets in blocks; each meeting yields k rows per query at most, merged at the end.
 
     Vectors that are null, hold a null or a non-finite component, or whose id is null, take no
-    part, nor do vectors of another length than the most common one. Rows that repeat an id
+    part. Components that a shorter vector lacks count as zero. Rows that repeat an id
     are candidates each, but never for the query of the same id; a repeated query id is
     searched once, with the row of the largest vector. Fewer than k candidates give fewer
     rows; an empty table gives none."""
@@ -120,11 +120,13 @@ def top_k(
         .withColumn("norm", F.sqrt(F.aggregate("whole", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
     )
     spark = whole.sparkSession
-    sizes = whole.groupBy(F.size("whole").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
+    sizes = whole.agg(F.count("*").alias("rows"), F.min(F.size("whole")).alias("least"), F.max(F.size("whole")).alias("most")).first()
+    if not sizes["rows"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    whole = whole.where(F.size("whole") == sizes["d"])
-    total = sizes["count"]
+    if sizes["least"] < sizes["most"]:
+        missing = F.array_repeat(F.lit(0).cast("long"), F.lit(sizes["most"]) - F.size("whole"))
+        whole = whole.withColumn("whole", F.concat(F.col("whole").cast("array<long>"), missing))
+    total = sizes["rows"]
     # Edges between buckets: quantiles of the length, a bounded number whatever the table.
     count = max(1, -(-total // bucket_vectors))
     cuts = [i / min(count, 1000) for i in range(1, min(count, 1000))]
@@ -164,7 +166,10 @@ def top_k(
             .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
             .drop("pieces")
         )
-        copied = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # A piece is copied to the blocks that it can still help, and to no other.
+        met = wanted.select(*(F.col(c).alias(f"_{c}") for c in keys)).distinct()
+        own = (F.col("bucket") == F.col("_bucket")) & (F.col("piece") == F.col("_piece"))
+        copied = rows.join(met, own).select(*rows.columns, F.col("_block").alias("block"))
         return wanted.groupBy(*keys).cogroup(copied.groupBy(*keys)).applyInPandas(meet, _FOUND)
 
     top = max(parts)
