@@ -23,7 +23,7 @@ BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Most frequent id pairs, whose counts every task holds: 13 bytes each, a fixed bound.
 FREQUENT_PAIRS = 100_000
 #: Words that a task remembers, and code points of text that it works on at a time.
-KNOWN_WORDS, SLICE_CHARS = 400_000, 1 << 20
+KNOWN_WORDS, SLICE_CHARS = 900_000, 1 << 20
 _LEARN = 5000
 #: A blank between two other characters: both tokenizers always cut before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
