@@ -339,8 +339,9 @@ def estimate(
     tagged = tag_intervals(intervals, rules)
     kept = tagged.filter(F.col("exclusion").isNull())
     table = cells(kept, curve_keys, keys)
-    bins = select_support(
-        estimate_bins(table, curve_keys, rules), curve_keys, rules.support_min
+    # Written: every table below reads the knots, which stand behind all intervals.
+    bins = cut_lineage(
+        select_support(estimate_bins(table, curve_keys, rules), curve_keys, rules.support_min)
     )
     knots = pace.knot_table(bins.filter("kept"), curve_keys)
     moving = kept.filter(F.col("moving_s") > 0)

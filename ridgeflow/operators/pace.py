@@ -42,17 +42,19 @@ def curve_pace(grade: Column, knots: Column) -> Column:
     """Seconds per metre at a grade: pace linear between knots, exact on them; beyond
     the ends the vertical speed of the end knot is kept."""
     first, last = F.get(knots, F.lit(0)), F.try_element_at(knots, F.lit(-1))
-    below = F.try_element_at(F.filter(knots, lambda k: k["g"] <= grade), F.lit(-1))
-    above = F.get(F.filter(knots, lambda k: k["g"] >= grade), F.lit(0))
-    share = (grade - below["g"]) / F.nullif(above["g"] - below["g"], F.lit(0.0))
+
+    def between(below: Column, above: Column) -> Column:
+        share = (grade - below["g"]) / F.nullif(above["g"] - below["g"], F.lit(0.0))
+        return F.when(below["g"] == grade, below["p"]).otherwise(
+            (1.0 - share) * below["p"] + share * above["p"]
+        )
+
+    # The knots are searched once a row: the number found is bound by a list of one.
+    held = F.array(F.size(F.filter(knots, lambda k: k["g"] <= grade)))
+    inside = F.get(F.transform(held, lambda n: between(F.get(knots, n - 1), F.get(knots, n))), F.lit(0))
     frozen_low = F.abs(grade) * first["p"] / F.abs(first["g"])
     frozen_high = F.abs(grade) * last["p"] / F.abs(last["g"])
-    return (
-        F.when(grade < first["g"], frozen_low)
-        .when(grade > last["g"], frozen_high)
-        .when(below["g"] == above["g"], below["p"])
-        .otherwise((1.0 - share) * below["p"] + share * above["p"])
-    )
+    return F.when(grade < first["g"], frozen_low).when(grade > last["g"], frozen_high).otherwise(inside)
 
 
 def literal_curve_pace(

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeflow.operators import ordered
+from ridgeflow.session import cut_lineage
+
+# Bytes of input files from which counted values are written before they are read.
+WRITTEN_BYTES = 16_000_000
 
 
 def rank_values(
@@ -30,6 +34,9 @@ def rank_values(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_m"))
     )
+    # The counts are read several times; those of a large input are made once.
+    if ordered.input_bytes(df) >= WRITTEN_BYTES:
+        counted = cut_lineage(counted)
     counted = ordered.assign_chunks(counted, keys, value, target_rows)
     climbed = ordered.running(counted, keys, [value], {"_top": ("sum", F.col("_m"))})
     sizes = counted.groupBy(*keys).agg(F.sum("_m").alias(count))
