@@ -38,6 +38,8 @@ class CurveRules:
 
 # Fixed value: smallest distance to the flat of both ends of a support (fraction).
 MIN_EDGE_GRADE = 0.01
+# Decimals of a metre to which abscissas of one track are told apart.
+PLACE_DIGITS = 6
 
 
 def activity_intervals(
@@ -62,7 +64,13 @@ def activity_intervals(
     bounds = series.groupBy(*keys).agg(
         F.min("time_s").alias("_first_s"), F.max("time_s").alias("_last_s")
     )
-    slim = ordered.without_chunks(series).select(*keys, "time_s", "realized_m")
+    # Sums of haversine steps carry rounding noise: abscissas that are equal but for it are one
+    # place, whose last instant counts.
+    slim = ordered.without_chunks(series).select(
+        *keys, "time_s", F.round("realized_m", PLACE_DIGITS).alias("realized_m")
+    )
+    for place in ("distance_m", "end_m"):
+        profile = profile.withColumn(place, F.round(place, PLACE_DIGITS))
     timed = lookup.interpolated_at(
         ordered.without_chunks(profile),
         slim,
