@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeflow.functions.grades import is_invalid_output, is_thin
+from ridgeflow.session import cut_lineage
 
 INSUFFICIENT = "insufficient_support"
 ZERO_TIME = "zero_time"
@@ -40,11 +41,14 @@ def support_scores(
     p: str = "p",
     t: str = "t",
     klass: str = "klass",
+    *,
+    written: bool = False,
 ) -> SupportScores:
     """Level L, dispersion A, within W, between B, compensation, and per class E, D.
 
     Totals by class combine on the map side; only they are joined back to the segments,
-    whose weighted deviations are then summed again."""
+    whose weighted deviations are then summed again. ``written`` cuts both tables of
+    classes, so that the results, read however often, pass over the segments twice in all."""
     keys = list(keys)
     bad = is_invalid_output(F.col(p))
     by_class = segments.groupBy(*keys, klass).agg(
@@ -54,6 +58,8 @@ def support_scores(
         F.max(bad).alias("bad_c"),
         F.max(F.col(t) == 0).alias("zero_c"),
     )
+    if written:
+        by_class = cut_lineage(by_class)
     totals = by_class.groupBy(*keys).agg(
         F.sum("n_c").alias("n"),
         F.sum("p_c").alias("p_all"),
@@ -93,6 +99,10 @@ def support_scores(
         )
     )
     full = centers.join(deviations, [*keys, klass], "left")
+    if written:
+        full = cut_lineage(full)
+        same = [c for c in totals.columns if c not in keys]
+        totals = full.groupBy(*keys).agg(*(F.first(c).alias(c) for c in same))
     classes = full.select(
         *keys,
         klass,

@@ -97,7 +97,7 @@ def configured_scores(forecast: DataFrame, keys: Sequence[str], models: str = "m
     rows = forecast.join(table, ["step_m", "tolerance_m"]).withColumn("t", F.get("times", "clock"))
     rows = rows.filter(F.col("t").isNotNull()).drop("times")
     own = [*keys, "configuration"]
-    scores = scoring.support_scores(rows, own)
+    scores = scoring.support_scores(rows, own, written=True)
     level = scores.overall.select(
         *own, F.lit("level").alias("metric"), F.col("log_ratio").alias("value"), F.col("level_motif").alias("motif")
     )
@@ -109,7 +109,8 @@ def configured_scores(forecast: DataFrame, keys: Sequence[str], models: str = "m
     ]
     signature = scoring.support_signature(rows, own)
     signature = signature.select(*own, F.concat_ws("-", "n", "sum_hash", "xor_hash").alias("signature"))
-    return reduce(lambda a, b: a.unionByName(b), by_class, level).join(signature, own)
+    # Written: a comparison reads the values twice.
+    return cut_lineage(reduce(lambda a, b: a.unionByName(b), by_class, level).join(signature, own))
 
 
 def comparisons(values: DataFrame, keys: Sequence[str], against: int | None = None) -> tuple[DataFrame, DataFrame]:
