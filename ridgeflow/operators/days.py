@@ -546,17 +546,24 @@ def battery_at(
     keys, ``t``, ``level``, ``file_day`` (night points also ``n0``, ``n1``); ``nights``:
     keys, ``n0``, ``n1``.
 
-    A day point inside a window is masked from the window's end on only, so each side is
-    one as-of: the last night point by its night's end, the last unmasked day point, and
-    for a probe inside a night the last day point of any kind."""
+    A day point is masked from the first end of the windows that hold it, so each side is
+    one as-of: the last point of the finished nights, the last unmasked day point, and for a
+    probe inside a night the last day point of any kind. Only where windows lie in one
+    another can an earlier day point be live when a later one is masked; only such points
+    meet the probes of their days."""
     keys = list(keys)
     oldest = "_old"
     spans = nights.select(*keys, F.col("n0").alias("_w0"), F.col("n1").alias("_w1"))
-    merged = islands.interval_union(spans, keys, "_w0", "_w1")
-    flagged = lookup.asof(day_points, merged, keys, "t", "_w0", ["_w0", "_w1"])
-    flagged = flagged.withColumn(
-        "masked", F.coalesce(F.col("t") <= F.col("_w1"), F.lit(False))
-    ).withColumn(oldest, -F.unix_date("file_day"))
+    instants = day_points.select(*keys, F.col("t").alias("_t0"), F.col("t").alias("_t1")).distinct()
+    held = lookup.overlap_join(
+        instants, spans, keys, ("_t0", "_t1"), ("_w0", "_w1"), DAY_S, closed=True
+    )
+    ends = held.groupBy(*keys, F.col("_t0").alias("t")).agg(F.min("_w1").alias("_w1"))
+    flagged = (
+        day_points.join(ends, [*keys, "t"], "left")
+        .withColumn("masked", F.col("_w1").isNotNull())
+        .withColumn(oldest, -F.unix_date("file_day"))
+    )
     free = flagged.filter(~F.col("masked"))
     own = night_points.filter((F.col("t") >= F.col("n0")) & (F.col("t") <= F.col("n1")))
     known = own.withColumn(oldest, -F.unix_date("file_day"))
@@ -579,29 +586,61 @@ def battery_at(
         F.col("_p.level").alias("night_level"),
         F.col(f"_p.{oldest}").alias("night_old"),
     )
+    finished = ordered.running(
+        finished, keys, ["night_done", "night_t"],
+        {"_top": ("max", F.struct("night_t", "night_old", "night_level"))},
+    )
+    finished = ordered.without_chunks(finished).select(*keys, "night_done", "_top.*")
     out = lookup.asof(
-        probes, finished, keys, at, "night_done",
-        ["night_done", "night_t", "night_level", "night_old"],
+        probes, finished, keys, at, "night_done", ["night_t", "night_level", "night_old"],
         strict=strict, tie=["night_t", "night_old"],
     )
     out = lookup.asof(
         out, take(free, "free"), keys, at, "free_t", ["free_t", "free_level", "free_old"],
         strict=strict, tie=["free_old"],
     )
+    masked = flagged.filter("masked").select(
+        *keys,
+        F.col("t").alias("masked_t"),
+        F.col("level").alias("masked_level"),
+        F.col(oldest).alias("masked_old"),
+        F.col("_w1").alias("masked_until"),
+    )
     out = lookup.asof(
-        out,
-        take(flagged.filter("masked"), "masked").join(
-            flagged.filter("masked").select(
-                *keys, F.col("t").alias("masked_t"), F.col("_w1").alias("masked_until")
-            ).distinct(),
-            [*keys, "masked_t"],
-        ),
-        keys, at, "masked_t", ["masked_t", "masked_level", "masked_old", "masked_until"],
+        out, masked, keys, at, "masked_t", ["masked_t", "masked_level", "masked_old", "masked_until"],
         strict=strict, tie=["masked_old"],
     )
     hidden = F.col("masked_until") < F.col(at) if strict else F.col("masked_until") <= F.col(at)
+    # Day points that outlive a later one, and the last of them live at an instant.
+    outliving = ordered.running(
+        masked, keys, ["masked_t"], {"_least": ("min", F.col("masked_until"))}, inclusive=False, reverse=True
+    ).filter(F.col("masked_until") > F.col("_least"))
+    asked = out.filter(hidden).select(*keys, F.col(at).alias("_a0"), F.col(at).alias("_a1")).distinct()
+    met = lookup.overlap_join(
+        asked,
+        ordered.without_chunks(outliving),
+        keys,
+        ("_a0", "_a1"),
+        ("masked_t", "masked_until"),
+        DAY_S,
+        closed=True,
+    ).filter(
+        (F.col("masked_t") < F.col("_a0")) & (F.col("masked_until") >= F.col("_a0"))
+        if strict
+        else F.col("masked_until") > F.col("_a0")
+    )
+    earlier = met.groupBy(*keys, F.col("_a0").alias(at)).agg(
+        F.max(
+            F.struct(
+                F.col("masked_t").alias("t"), F.col("masked_old").alias("o"),
+                F.col("masked_level").alias("l"), F.lit(False).alias("night"),
+            )
+        ).alias("_earlier")
+    )
+    out = out.join(earlier, [*keys, at], "left")
     live = F.when(~hidden, F.struct(
         F.col("masked_t").alias("t"), F.col("masked_old").alias("o"), F.col("masked_level").alias("l"), F.lit(False).alias("night")))
+    live = F.coalesce(live, F.col("_earlier"))
     night = F.when(F.col("night_t").isNotNull(), F.struct(
         F.col("night_t").alias("t"), F.col("night_old").alias("o"), F.col("night_level").alias("l"), F.lit(True).alias("night")))
     day = F.when(F.col("free_t").isNotNull(), F.struct(
