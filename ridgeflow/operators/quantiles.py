@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ridgeflow.operators import ordered
 from ridgeflow.session import cut_lineage
 
+# Bins of one pass of a selection, and values that it may bring to the driver at its end.
+SELECT_BINS = 4096
+SELECT_ROWS = 50_000
 # Bytes of input files from which counted values are written before they are read.
 WRITTEN_BYTES = 16_000_000
 
@@ -84,3 +87,58 @@ def exact_median(
         },
     )
     return out.withColumn(name, (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
+
+
+def select_median(values: DataFrame, value: str, near: float | None = None) -> float:
+    """Exact median of all rows by counting passes: nothing is shuffled but counts of bins.
+
+    A pass counts bins with their smallest and largest value; the bin of the wanted rank is
+    the next range, until it holds few different values. ``near`` places the bins of the
+    first pass between half and three halves of a guess; what lies outside has a bin before and after."""
+    v = F.col(value)
+    known = values.select(value).filter(v.isNotNull())
+    if near:
+        lo, hi, size, held = 0.5 * near, 1.5 * near, None, None
+    else:
+        lo, hi, size = known.agg(F.min(v), F.max(v), F.count(F.lit(1))).first()
+        held = size
+        if not size:
+            raise ValueError("no value to take a median of")
+    before, inside = 0, known
+    while held is None or (held > SELECT_ROWS and lo < hi):
+        width = (hi - lo) / SELECT_BINS
+        place = F.floor((v - lo) / width) if width > 0 else F.when(v > lo, SELECT_BINS).otherwise(0)
+        place = F.when(v < lo, -1).when(v >= hi, SELECT_BINS).otherwise(F.least(place, F.lit(SELECT_BINS)))
+        bins = (
+            inside.groupBy(place.cast("int").alias("_b"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+            .orderBy("_b")
+            .collect()
+        )
+        if size is None:
+            size = sum(b["_n"] for b in bins)
+            if not size:
+                raise ValueError("no value to take a median of")
+        wanted = (size + 1) // 2
+        for b in bins:
+            if before + b["_n"] >= wanted:
+                break
+            before += b["_n"]
+        if held == b["_n"]:  # no bin parts the values: they lie a rounding step apart
+            lo, hi = b["_lo"], b["_hi"]
+            break
+        held, lo, hi = b["_n"], b["_lo"], b["_hi"]
+        inside = known.filter(v.between(lo, hi))
+    first, second = (size + 1) // 2, size // 2 + 1
+    counted = [(lo, held)]
+    if lo < hi:
+        counted = [tuple(r) for r in inside.groupBy(v).agg(F.count(F.lit(1))).orderBy(value).collect()]
+    found = {}
+    for at, n in counted:
+        for rank in (first, second):
+            if before < rank <= before + n:
+                found[rank] = at
+        before += n
+    if second not in found:
+        found[second] = known.filter(v > hi).agg(F.min(v)).first()[0]
+    return (found[first] + found[second]) / 2

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ridgeflow.functions.student import quantile, two_sided_p
 from ridgeflow.operators import ordered, quantiles
+from ridgeflow.session import cut_lineage
 
 
 def moments(
@@ -166,13 +167,15 @@ def huber(
     """Huber regression by reweighted least squares: (fit, scale, iterations).
 
     The scale is the exact median absolute residual over the normal quartile, found
-    again at each step by the distributed rank search."""
+    again at each step by counting passes around the last one. The columns are written
+    once, as every step reads them."""
     quartile = 0.6744897501960817
+    df = cut_lineage(df.select(*dict.fromkeys([*columns, y])))
     fit = ols(df, columns, y)
 
-    def scale_of(current: LinearFit) -> float:
+    def scale_of(current: LinearFit, near: float | None = None) -> float:
         residual = df.select(F.abs(F.col(y) - current.prediction()).alias("_r"))
-        return float(quantiles.exact_median(residual, [], "_r").collect()[0]["median"]) / quartile
+        return float(quantiles.select_median(residual, "_r", near)) / quartile
 
     scale = scale_of(fit)
     for iteration in range(1, max_iter + 1):
@@ -183,7 +186,7 @@ def huber(
         following = ols(df, columns, y, weight)
         step = float(np.max(np.abs(following.coef - fit.coef)))
         fit = following
-        scale = scale_of(fit)
+        scale = scale_of(fit, scale * quartile)
         if step <= tolerance * max(1.0, float(np.max(np.abs(fit.coef)))):
             return fit, scale, iteration
     raise ValueError(f"no convergence in {max_iter} iterations")
