@@ -87,7 +87,7 @@ def calibrate(
     flags = flags.withColumn("_at", F.col("_end").cast("double"))
     flags = ordered.assign_chunks(flags, keys, "_at")
     running = ordered.running(
-        flags, keys, ["_at"], {f"_s_{c}": ("sum", F.col(c)) for c in counted}
+        flags, keys, ["_at"], {f"_s_{c}": ("sum", F.col(c)) for c in counted}, checked=True
     )
     known = lookup.asof(
         performances,

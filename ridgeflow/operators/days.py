@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeflow.operators import islands, lookup, ordered, quantiles
+from ridgeflow.session import cut_lineage
 
 DAY_S = 86_400.0
 
@@ -478,7 +479,8 @@ def sleep_within(
         spans, marked, keys, ("start_s", "end_s"), ("_z0", "_z1"), cell_s, closed=True
     ).filter(finished)
     probe = [*keys, "span_id"]
-    grouped = islands.interval_groups(pairs, probe, "e0", "e1")
+    # Written: both are read several times, and each reading passed over what stands before.
+    grouped = cut_lineage(islands.interval_groups(cut_lineage(pairs), probe, "e0", "e1"))
     groups = grouped.groupBy(*probe, "grp").agg(
         F.count(F.lit(1)).alias("_k"),
         F.sum("sleep_s").alias("_sum"),
@@ -488,8 +490,12 @@ def sleep_within(
         F.min("e0").alias("_g0"),
         F.max("e1").alias("_g1"),
     )
-    inside = grouped.select(*probe, "grp", "episode").join(segments, [*keys, "episode"])
-    known = inside.filter(F.col("s1") > F.col("s0"))
+    # Only groups of several episodes take a union of their segments.
+    several = groups.filter(F.col("_k") > 1).select(*probe, "grp")
+    inside = grouped.select(*probe, "grp", "episode").join(several, [*probe, "grp"], "left_semi")
+    known = cut_lineage(
+        inside.join(segments, [*keys, "episode"]).filter(F.col("s1") > F.col("s0"))
+    )
     asleep = islands.covered_length(
         known.filter("asleep"), [*probe, "grp"], "s0", "s1", "_union"
     )

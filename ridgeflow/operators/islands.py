@@ -16,10 +16,12 @@ def number_runs(
     order: Sequence[str],
     starts: Column,
     name: str = "run",
+    *,
+    checked: bool = False,
 ) -> DataFrame:
     """Numbers rows by run: ``starts`` marks the first row of each (null = not)."""
     flag = F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)
-    return ordered.running(df, keys, order, {name: ("sum", flag)})
+    return ordered.running(df, keys, order, {name: ("sum", flag)}, checked=checked)
 
 
 def runs_of(
@@ -55,11 +57,11 @@ def interval_groups(
     df = ordered.assign_chunks(df, keys, start)
     order = [start, end]
     seen = ordered.running(
-        df, keys, order, {"_reach": ("max", F.col(end))}, inclusive=False
+        df, keys, order, {"_reach": ("max", F.col(end))}, inclusive=False, checked=True
     )
     gap = F.col(start) > F.col("_reach") if touching else F.col(start) >= F.col("_reach")
     new = F.col("_reach").isNull() | gap
-    return number_runs(seen, keys, order, new, name)
+    return number_runs(seen, keys, order, new, name, checked=True)
 
 
 def interval_union(
@@ -80,7 +82,7 @@ def covered_length(
     """Length covered by the union of the intervals of each key."""
     df = ordered.assign_chunks(df, keys, start)
     seen = ordered.running(
-        df, keys, [start, end], {"_reach": ("max", F.col(end))}, inclusive=False
+        df, keys, [start, end], {"_reach": ("max", F.col(end))}, inclusive=False, checked=True
     )
     fresh = F.col(end) - F.greatest(F.col(start), F.coalesce("_reach", start))
     return seen.groupBy(*keys).agg(F.sum(F.greatest(fresh, fresh * 0)).alias(name))

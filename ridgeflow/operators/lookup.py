@@ -50,7 +50,7 @@ def asof(
     stacked = left.unionByName(right, allowMissingColumns=True)
     stacked = ordered.assign_chunks(stacked, keys, "_at", target_rows)
     found = ordered.running(
-        stacked, keys, ["_at", "_side", *ties], {"_hit": ("last", F.col("_point"))}
+        stacked, keys, ["_at", "_side", *ties], {"_hit": ("last", F.col("_point"))}, checked=True
     )
     return found.filter(F.col("_side") == probe_side).filter(
         F.col("_probe").isNotNull()

@@ -140,10 +140,10 @@ def _orders(order: Sequence[str | Column]) -> list[Column]:
 
 
 def _sliced(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], checked: bool = False
 ) -> DataFrame:
     first = order[0]
-    return assign_chunks(df, keys, first) if isinstance(first, str) else df
+    return assign_chunks(df, keys, first) if isinstance(first, str) and not checked else df
 
 
 def scan_window(
@@ -187,12 +187,14 @@ def running(
     *,
     inclusive: bool = True,
     reverse: bool = False,
+    checked: bool = False,
 ) -> DataFrame:
     """Running ``sum``/``count``/``max``/``min``/``last`` (non-null) columns per key.
 
     ``inclusive=False`` stops at the previous row; ``reverse`` scans from the end. An
-    input not yet sliced is checked for keys above the target first."""
-    df = _sliced(df, keys, order)
+    input not yet sliced is checked for keys above the target first, unless the caller
+    has just done so (``checked``)."""
+    df = _sliced(df, keys, order, checked)
     end = 0 if inclusive else -1
     window = scan_window(df, keys, order, reverse)
     frame = window.rowsBetween(Window.unboundedPreceding, end)

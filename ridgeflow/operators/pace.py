@@ -113,7 +113,7 @@ def timeline(
         "interval_s", (F.col("end_m") - F.col("distance_m")) * F.col("pace")
     )
     steps = ordered.assign_chunks(steps, keys, "i")
-    summed = ordered.running(steps, keys, ["i"], {"to_s": ("sum", F.col("interval_s"))})
+    summed = ordered.running(steps, keys, ["i"], {"to_s": ("sum", F.col("interval_s"))}, checked=True)
     return summed.withColumn("from_s", F.col("to_s") - F.col("interval_s"))
 
 

@@ -41,7 +41,7 @@ def rank_values(
     if ordered.input_bytes(df) >= WRITTEN_BYTES:
         counted = cut_lineage(counted)
     counted = ordered.assign_chunks(counted, keys, value, target_rows)
-    climbed = ordered.running(counted, keys, [value], {"_top": ("sum", F.col("_m"))})
+    climbed = ordered.running(counted, keys, [value], {"_top": ("sum", F.col("_m"))}, checked=True)
     sizes = counted.groupBy(*keys).agg(F.sum("_m").alias(count))
     joined = climbed.join(sizes, list(keys)) if keys else climbed.crossJoin(sizes)
     below = F.col("_top") - F.col("_m")
