@@ -2,7 +2,8 @@
 
 The population of a performance is every member finished strictly before its origin.
 Means over it are differences of running sums read as of the origin, and its rank
-quantiles are found digit by digit, so members are never paired with performances."""
+quantiles are read off the sorted members of a small key, or found digit by digit, so members are
+never paired with performances in rows."""
 
 from __future__ import annotations
 
@@ -127,6 +128,8 @@ def calibrated(p: Column, effort: Column | None, factor: Column) -> Column:
 
 
 _RADIX = 16
+#: Points of a key up to which its probes read them as one sorted array.
+SMALL_KEY = 256
 
 
 def prefix_ranks(
@@ -140,14 +143,60 @@ def prefix_ranks(
 ) -> DataFrame:
     """Rank quantiles of the values known strictly before each probe.
 
+    The points of a key of at most ``SMALL_KEY`` are one array sorted by value, and each of its
+    probes keeps what it knows of it. Larger keys are ranked digit by digit
+    (:func:`_digit_ranks`). Exact for any number of points."""
+    keys = list(keys)
+    # Written: sizes, arrays and ranks read the points.
+    known = cut_lineage(
+        points.filter(F.col(value).isNotNull()).select(
+            *keys, F.col(point_at).cast("double").alias("_at"), F.col(value).alias("_v")
+        )
+    )
+    others = [c for c in probes.columns if c not in keys]
+    names = ["n_known", *orders]
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(sizes.filter(F.col("_n") > SMALL_KEY).select(*keys))
+    some = large.limit(1).count() > 0
+    small, asked = known, probes
+    if some:
+        small = known.join(large, keys, "left_anti")
+        asked = probes.join(large, keys, "left_anti")
+    arrays = small.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_v", "_at"))).alias("_points")
+    )
+    seen = asked.join(arrays, keys, "left").withColumn("_id", F.col(probe_at).cast("double"))
+    seen = seen.withColumn("_points", F.filter("_points", lambda p: p["_at"] < F.col("_id")))
+    size = F.nullif(F.size("_points").cast("long"), F.lit(0).cast("long"))
+    seen = seen.withColumn("n_known", F.when(F.col("_points").isNotNull(), size))
+
+    def at(a: int, b: int) -> Column:
+        rank = F.floor((F.col("n_known") * a + b - 1) / b).cast("int")
+        return F.get("_points", rank - 1)["_v"]
+
+    out = seen.select(*keys, *others, "n_known", *(at(a, b).alias(n) for n, (a, b) in orders.items()))
+    if not some:
+        return out
+    rest = _digit_ranks(
+        probes.join(large, keys, "left_semi"), known.join(large, keys, "left_semi"), keys, probe_at, orders
+    )
+    return out.unionByName(rest.select(*keys, *others, *names))
+
+
+def _digit_ranks(
+    probes: DataFrame,
+    known: DataFrame,
+    keys: Sequence[str],
+    probe_at: str,
+    orders: Mapping[str, tuple[int, int]],
+) -> DataFrame:
+    """:func:`prefix_ranks` of keys of any size; ``known``: keys, ``_at``, ``_v``.
+
     Values get their rank inside the key; the wanted rank among the known ones is then
     found one base-16 digit at a time, from running counts per digit read as of the
-    probe. The largest rank gives the number of digits. Exact for any number of points,
-    with no pair of probe and point; a large key is ranked in slices."""
+    probe. The largest rank gives the number of digits. No pair of probe and point is built;
+    a large key is ranked in slices."""
     keys = list(keys)
-    known = points.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(point_at).cast("double").alias("_at"), F.col(value).alias("_v")
-    )
     counted = ordered.running(known, keys, ["_v", "_at"], {"_n": ("count", F.lit(1))})
     ranked = cut_lineage(
         ordered.without_chunks(counted).withColumn("_rank", F.col("_n") - 1).drop("_n")
