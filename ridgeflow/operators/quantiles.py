@@ -64,28 +64,33 @@ def order_rank(q: float) -> Callable[[Column], Column]:
     return lambda n: F.greatest(F.lit(1), F.least(n, F.ceil(n * q - 1e-9)))
 
 
+_MIDDLE: Mapping[str, Callable[[Column], Column]] = {
+    "_low": lambda n: F.floor((n + 1) / 2),
+    "_high": lambda n: F.floor(n / 2) + 1,
+}
+
+
 def rank_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, tuple[int, int]]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    fractions: Mapping[str, tuple[int, int]],
+    *,
+    median: str | None = None,
 ) -> DataFrame:
-    """Lower rank quantiles ``ceil(n a / b)`` by group."""
-    return rank_values(
-        df, keys, value, {name: ratio_rank(a, b) for name, (a, b) in fractions.items()}
-    )
+    """Lower rank quantiles ``ceil(n a / b)`` by group, and the ``median`` of the same count."""
+    ranks = {name: ratio_rank(a, b) for name, (a, b) in fractions.items()}
+    if median is None:
+        return rank_values(df, keys, value, ranks)
+    out = rank_values(df, keys, value, {**ranks, **_MIDDLE})
+    return out.withColumn(median, (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
 
 
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "median"
 ) -> DataFrame:
     """Median with the midpoint of the two central values for an even size."""
-    out = rank_values(
-        df,
-        keys,
-        value,
-        {
-            "_low": lambda n: F.floor((n + 1) / 2),
-            "_high": lambda n: F.floor(n / 2) + 1,
-        },
-    )
+    out = rank_values(df, keys, value, _MIDDLE)
     return out.withColumn(name, (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
 
 
