@@ -433,9 +433,11 @@ def signed_means(rows: DataFrame, x: str, fitted: str, residual: str, row_key: s
 def max_t_band(estimate: DataFrame, draws: DataFrame, level: float) -> DataFrame:
     """Simultaneous band on a grid: ``x``, ``estimate``, ``low``, ``high``.
 
-    ``draws``: ``b``, ``x``, ``value``; grid points without spread keep their estimate."""
+    ``draws``: ``b``, ``x``, ``value``; grid points without spread keep their estimate.
+    The draws and their spreads are written: each reading drew anew."""
+    draws = cut_lineage(draws)
     spread = draws.groupBy("x").agg(F.stddev_samp("value").alias("_s"))
-    base = estimate.join(spread, "x")
+    base = cut_lineage(estimate.join(spread, "x"))
     ratio = F.abs(F.col("value") - F.col("estimate")) / F.col("_s")
     tops = (
         draws.join(base.filter(F.col("_s") > 0), "x")
