@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -174,28 +174,50 @@ def confirm(
     immobile: Column,
     name: str,
 ) -> DataFrame:
-    """Adds ``<name>_start`` and ``<name>_end``: the bounds of the maximal run of
-    immobile intervals each immobile interval belongs to (null elsewhere)."""
-    flagged = steps.withColumn("_still", F.coalesce(immobile, F.lit(False)))
-    back = ordered.shift(flagged, keys, [start], {"_before": F.col("_still")})
-    both = ordered.shift(back, keys, [start], {"_after": F.col("_still")}, forward=True)
-    opens = F.col("_still") & ~F.coalesce("_before", F.lit(False))
-    closes = F.col("_still") & ~F.coalesce("_after", F.lit(False))
+    """:func:`confirm_all` of one condition."""
+    return confirm_all(steps, keys, start, end, {name: immobile})
+
+
+def confirm_all(
+    steps: DataFrame,
+    keys: Sequence[str],
+    start: str,
+    end: str,
+    immobile: Mapping[str, Column],
+) -> DataFrame:
+    """Adds ``<name>_start`` and ``<name>_end`` for every ``immobile`` condition: the bounds of
+    the maximal run of immobile intervals each immobile interval belongs to (null elsewhere).
+
+    All conditions share the scans: neighbours, run starts, and run ends in reverse."""
+    flagged = steps.select(
+        "*", *(F.coalesce(c, F.lit(False)).alias(f"_still_{n}") for n, c in immobile.items())
+    )
+    back = ordered.shift(flagged, keys, [start], {f"_before_{n}": F.col(f"_still_{n}") for n in immobile})
+    both = ordered.shift(
+        back, keys, [start], {f"_after_{n}": F.col(f"_still_{n}") for n in immobile}, forward=True
+    )
+
+    def edge(name: str, side: str, at: str) -> Column:
+        alone = F.col(f"_still_{name}") & ~F.coalesce(F.col(f"_{side}_{name}"), F.lit(False))
+        return F.when(alone, F.col(at))
+
     first = ordered.running(
-        both, keys, [start], {"_open": ("last", F.when(opens, F.col(start)))}
+        both, keys, [start], {f"_open_{n}": ("last", edge(n, "before", start)) for n in immobile}
     )
     last = ordered.running(
         first,
         keys,
         [start],
-        {"_close": ("last", F.when(closes, F.col(end)))},
+        {f"_close_{n}": ("last", edge(n, "after", end)) for n in immobile},
         reverse=True,
     )
-    return (
-        last.withColumn(f"{name}_start", F.when(F.col("_still"), F.col("_open")))
-        .withColumn(f"{name}_end", F.when(F.col("_still"), F.col("_close")))
-        .drop("_still", "_before", "_after", "_open", "_close")
-    )
+    kept = [*steps.columns, *(c for c in ordered.HELPERS if c in last.columns and c not in steps.columns)]
+    bounds = [
+        F.when(F.col(f"_still_{n}"), F.col(f"_{edge_}_{n}")).alias(f"{n}_{side}")
+        for n in immobile
+        for side, edge_ in (("start", "open"), ("end", "close"))
+    ]
+    return last.select(*kept, *bounds)
 
 
 def state_of(judged: Column, run_start: Column, run_end: Column, min_stop: float) -> Column:
@@ -226,9 +248,8 @@ def clock_partition(
         tag = f"q{len(families)}"
         families[speeds] = tag
         steps = steps.withColumn(tag, qualify(*measures, convention))
-        steps = confirm(
-            steps, keys, "time_s", "end_s", F.col(tag) == IMMOBILE, f"{tag}_run"
-        )
+    still = {f"{tag}_run": F.col(tag) == IMMOBILE for tag in families.values()}
+    steps = confirm_all(steps, keys, "time_s", "end_s", still)
     for k, convention in enumerate(conventions):
         tag = families[(convention.horizontal_ms, convention.vertical_ms)]
         state = state_of(

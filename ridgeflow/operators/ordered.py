@@ -255,9 +255,11 @@ def shift(
     outputs: Mapping[str, Column],
     *,
     forward: bool = False,
+    checked: bool = False,
 ) -> DataFrame:
-    """Values of the previous row (``forward``: next row) of the key."""
-    df = _sliced(df, keys, order)
+    """Values of the previous row (``forward``: next row) of the key; ``checked`` as in
+    :func:`running`."""
+    df = _sliced(df, keys, order, checked)
     window = scan_window(df, keys, order)
     move = F.lead if forward else F.lag
     if not is_chunked(df):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeflow.functions import geo
 from ridgeflow.operators import lookup, ordered
+from ridgeflow.session import cut_lineage
 
 # Grid step, smoothing window, place offset and separation, metres.
 GRID_STEP_M = 50.0
@@ -24,19 +25,24 @@ def polyline(points: DataFrame, keys: Sequence[str], order: str = "seq") -> Data
     decides; the first of each run of equal points is kept."""
     points = ordered.assign_chunks(points, keys, order)
     back = ordered.shift(
-        points, keys, [order], {"_plat": F.col("lat"), "_plon": F.col("lon")}
+        points, keys, [order], {"_plat": F.col("lat"), "_plon": F.col("lon")}, checked=True
     )
     step = geo.haversine_m(F.col("_plat"), F.col("_plon"), F.col("lat"), F.col("lon"))
     kept = back.withColumn("step_m", F.coalesce(step, F.lit(0.0))).filter(
         F.col("_plat").isNull() | (F.col("step_m") > 0)
     )
     return ordered.running(
-        kept.drop("_plat", "_plon"), keys, [order], {"distance_m": ("sum", F.col("step_m"))}
+        kept.drop("_plat", "_plon"), keys, [order], {"distance_m": ("sum", F.col("step_m"))}, checked=True
     )
 
 
-def polyline_steps(line: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
-    """Segments of a polyline: bounds, positions, elevations, first/last flags."""
+def polyline_steps(
+    line: DataFrame, keys: Sequence[str], order: str = "seq", *, checked: bool = False
+) -> DataFrame:
+    """Segments of a polyline: bounds, positions, elevations, first/last flags.
+
+    ``checked``: keys above the target have just been looked for."""
+    line = line if checked else ordered.assign_chunks(line, keys, order)
     led = ordered.shift(
         line,
         keys,
@@ -48,6 +54,7 @@ def polyline_steps(line: DataFrame, keys: Sequence[str], order: str = "seq") ->
             "b_ele": F.col("ele"),
         },
         forward=True,
+        checked=True,
     )
     segments = led.filter(F.col("b_m").isNotNull()).select(
         *keys,
@@ -63,7 +70,7 @@ def polyline_steps(line: DataFrame, keys: Sequence[str], order: str = "seq") ->
         "b_ele",
     )
     return ordered.running(
-        segments, keys, ["seq"], {"length_m": ("max", F.col("b_m"))}, reverse=True
+        segments, keys, ["seq"], {"length_m": ("max", F.col("b_m"))}, reverse=True, checked=True
     ).withColumn("is_first", F.col("a_m") == 0).withColumn(
         "is_last", F.col("b_m") == F.col("length_m")
     )
@@ -135,6 +142,7 @@ def with_grade(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
         ["i"],
         {"end_m": F.col("distance_m"), "end_z": F.col("elevation_m")},
         forward=True,
+        checked=True,
     )
     rise = F.col("end_z") - F.col("elevation_m")
     return led.withColumn("grade", rise / (F.col("end_m") - F.col("distance_m")))
@@ -150,8 +158,9 @@ def build_profile(
 ) -> DataFrame:
     """Route points to the smoothed grid with grades (``i``, ``distance_m``, ``raw_m``,
     ``elevation_m``, ``end_m``, ``end_z``, ``grade``). Routes of no length give no row."""
-    segments = polyline_steps(polyline(points, keys, order), keys, order)
-    grid = regular_grid(ordered.without_chunks(segments), keys, step_m)
+    segments = polyline_steps(polyline(points, keys, order), keys, order, checked=True)
+    # Read by each scan that looks for large keys, and twice by the last two: written once.
+    grid = cut_lineage(regular_grid(ordered.without_chunks(segments), keys, step_m))
     return with_grade(smooth_grid(grid, keys, step_m, window_m), keys)
 
 
