@@ -18,6 +18,7 @@ input twice, so it writes it first: a chain of scans stays linear.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,14 @@ def input_bytes(df: DataFrame) -> float:
         return float("inf")
 
 
+def pieces_of(df: DataFrame, piece_bytes: int = 8_000_000) -> int:
+    """Number of partitions for a shuffle of a table: its size in files over that of a piece,
+    the session's number at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(df)
+    return least if size == float("inf") else max(least, ceil(size / piece_bytes))
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint behind a known row count; a plain shuffle join beyond it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -101,8 +101,10 @@ def timeline(
     *,
     effort: Column | float = 1.0,
     extrapolated: Column | None = None,
+    checked: bool = False,
 ) -> DataFrame:
-    """Projected time along a profile, one row per grid interval.
+    """Projected time along a profile, one row per grid interval (``checked``: keys above
+    the target have just been looked for).
 
     Adds ``pace``, ``extrapolated``, ``interval_s`` and the cumulated time at both ends
     (``from_s``, ``to_s``). ``pace`` may use any profile column, so a candidate engine is
@@ -112,7 +114,7 @@ def timeline(
     steps = steps.withColumn("extrapolated", outside).withColumn(
         "interval_s", (F.col("end_m") - F.col("distance_m")) * F.col("pace")
     )
-    steps = ordered.assign_chunks(steps, keys, "i")
+    steps = steps if checked else ordered.assign_chunks(steps, keys, "i")
     summed = ordered.running(steps, keys, ["i"], {"to_s": ("sum", F.col("interval_s"))}, checked=True)
     return summed.withColumn("from_s", F.col("to_s") - F.col("interval_s"))
 
