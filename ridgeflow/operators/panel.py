@@ -247,9 +247,10 @@ def route_links(climbs: DataFrame, keys: Sequence[str], radius_m: float, ratio:
     )
     met = cut_lineage(met.withColumn("_close", close).drop(*cells))
     by_heads = met.filter("_close").select(F.col("a_climb_id").alias("a"), F.col("b_climb_id").alias("b"))
-    # Elsewhere, any pair of the two pieces.
+    # Elsewhere, any pair of the two pieces; climbs of one gain and one place stand for each other.
     open_ = met.filter(~F.col("_close")).select(*keys, "a__piece", "b__piece")
-    detail = open_.join(side(rows, "a"), [*keys, "a__piece"]).join(side(rows, "b"), [*keys, "b__piece"])
+    spots = rows.groupBy(*keys, "_piece", "gain_m", *ends).agg(F.min("climb_id").alias("climb_id"))
+    detail = open_.join(side(spots, "a"), [*keys, "a__piece"]).join(side(spots, "b"), [*keys, "b__piece"])
     by_pairs = detail.filter(close).groupBy("a__piece", "b__piece").agg(
         F.min(F.struct(F.col("a_climb_id").alias("a"), F.col("b_climb_id").alias("b"))).alias("_l")
     )
