@@ -269,7 +269,7 @@ def route_groups(
     """Route group of each day: the component of its largest climb; small components are
     other (null); the rest are numbered by their first day in the sample."""
     keys = list(keys)
-    links = route_links(climbs, keys, radius_m, ratio)
+    links = cut_lineage(route_links(climbs, keys, radius_m, ratio))  # read more than once
     parts = effects.components(links, "a", "b")
     tops = representatives(climbs, keys)
     placed = tops.join(parts, tops["climb_id"] == parts["node"], "left").withColumn(
