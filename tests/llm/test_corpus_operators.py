@@ -17,7 +17,7 @@ import pytest
 from ridgeflow.llm import exact_dedup, jaccard_join, language_id, mixing, packing, suffix_repeats, token_shards, topk, toxicity, url_filter
 from ridgeflow.llm.components import components
 from ridgeflow.llm.feistel import permuted
-from ridgeflow.llm.tokens import public_path, word_tokens
+from ridgeflow.llm.tokens import WordTokens, public_path, word_tokens
 
 BLANKS = re.compile("[\x20\x09-\x0d]")
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -176,6 +176,27 @@ def test_word_tokens_equal_the_tokenizer():
         assert ids[ends[i] : ends[i + 1]].tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_are_tokenised_many_at_a_time():
+    words = WordTokens(public_path(packing.TOKENIZER))
+    whole, texts = words.tokenizer, []
+
+    class Told:
+        def encode_batch_fast(self, given, **kind):
+            texts.extend(given)
+            return whole.encode_batch_fast(given, **kind)
+
+    words.tokenizer = Told()
+    text = sentence(random.Random(8), 3000, "abcdefghijklmnop") + " 4711 (x), caf\u00e9 don't ...!? e\u0301-z"
+    ids, ends = words(pa.array([text, text], pa.string()))
+    want = whole.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and ends.tolist() == [0, len(want), 2 * len(want)]
+    assert len(texts) < len(words.keys) / 50
+    # A tokenizer that does not mark the ends of words gets them one by one.
+    words._clear()
+    words.ending[:] = False
+    assert words(pa.array([text], pa.string()))[0].tolist() == want
+
+
 def test_packing(docs, rows):
     want = Counter((k, n, at, len(i), zlib.crc32(i.tobytes())) for k, n, at, i in pieces(rows, 1, 4096))
     got = packing.pack_documents(docs)
