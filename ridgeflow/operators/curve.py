@@ -225,6 +225,9 @@ def estimate_bins(
     Pooled value: total length over total moving time; median value: median of the
     activity speeds with enough moving time in the bin."""
     m = F.col("moving_s")
+    # Sums and medians read the cells; those of a large input are made once.
+    if rules.value != "pooled" and ordered.input_bytes(cell_table) >= quantiles.WRITTEN_BYTES:
+        cell_table = cut_lineage(cell_table)
     sums = cell_table.groupBy(*curve_keys, "bin").agg(
         F.sum("length_moving_m").alias("length_moving_m"),
         F.sum("moving_s").alias("moving_total_s"),

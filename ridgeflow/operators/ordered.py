@@ -62,6 +62,17 @@ def pieces_of(df: DataFrame, piece_bytes: int = 8_000_000) -> int:
     return least if size == float("inf") else max(least, ceil(size / piece_bytes))
 
 
+def dealt(df: DataFrame, keys: Sequence[str], piece_bytes: int = 8_000_000) -> DataFrame:
+    """Rows dealt by keys over as many partitions as the size of the table asks for, so that a
+    task holds as much of a large table as of a small one; small tables stay as they are.
+
+    For keys of few rows each: what is then grouped by them is summed where it lies, and a
+    table of partial sums as long as the rows is never held. Large keys need partial sums."""
+    if input_bytes(df) < 2 * piece_bytes:
+        return df
+    return df.repartition(pieces_of(df, piece_bytes), *keys)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint behind a known row count; a plain shuffle join beyond it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
