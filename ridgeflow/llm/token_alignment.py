@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ FREQUENT_PAIRS = 100_000
 #: Words that a task remembers, and code points of text that it works on at a time.
 KNOWN_WORDS, SLICE_CHARS = 900_000, 1 << 20
 _LEARN = 5000
+#: Words that go to the tokenizers as one text: a call and a result for each cost more than its ids.
+JOINED_WORDS = 200
+#: Bits of a pair of ids as one number.
+_PAIR_BITS = 40
 #: A blank between two other characters: both tokenizers always cut before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -55,8 +60,8 @@ def token_ends(coarse: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np
 class Aligner:
     """Tokens of both tokenizers over a blank and a text, and the groups that they share.
 
-    Words between single blanks are aligned once and remembered, as neither tokenizer joins
-    over such a blank; where the second one has a piece that does, texts are taken whole."""
+    Words between single blanks are aligned once, many as one text, and remembered, as neither
+    tokenizer joins over such a blank; where the second one has a piece that does, texts are taken whole."""
 
     def __init__(self, byte_path: str, piece_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -92,6 +97,50 @@ class Aligner:
         self.at = np.zeros(0, np.int64)
         self.codes, self.mults = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _spans(self, side: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts by one tokenizer, how many each has, and the character ends of their
+        spans, counted over a blank before each text."""
+        if side == 0:
+            found = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+            ids, spans = [e.ids for e in found], (e.offsets for e in found)
+        else:
+            found = self.b.encode(texts, return_type="offset_mapping", num_threads=1)
+            ids, spans = [e["ids"] for e in found], (e["offsets"] for e in found)
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(many.sum())
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, total)
+        ends = np.fromiter(map(itemgetter(1), chain.from_iterable(spans)), np.int64, total)
+        return flat, many, ends + side
+
+    def _side(self, side: int, words: list[str], spelt: list[bytes], sizes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of words after a blank each, by one tokenizer: ids, character ends over all of them,
+        numbers of the words, and whether it spells each word; others have any tokens."""
+        size, own = ((self.size_a, self.bytes_a), (self.size_b, self.bytes_b))[side]
+
+        def spells(ids: np.ndarray, wanted: list[bytes]) -> bool:
+            return b"".join(map(own.__getitem__, ids.tolist())) == b"".join(wanted)
+
+        good = np.ones(len(words), bool)
+        if self.by_word:  # neither tokenizer joins over the blanks: many words are one text
+            firsts = np.arange(0, len(words), JOINED_WORDS)
+            flat, many, ends = self._spans(side, [" ".join(words[n : n + JOINED_WORDS]) for n in firsts.tolist()])
+            upto = np.cumsum(sizes)
+            decoded = np.cumsum(size[flat])
+            # Where all is spelt, decoded bytes say whose a token is; each word must end with one.
+            if len(flat) and decoded[-1] == upto[-1] and spells(flat, spelt):
+                word = np.searchsorted(upto, decoded)
+                if np.count_nonzero(decoded == upto[word]) == len(words):
+                    return flat, np.repeat(chars[firsts], many) + ends, word, good
+        flat, many, ends = self._spans(side, words)
+        word = np.repeat(np.arange(len(words)), many)
+        # All words at once where all are spelt, else word by word.
+        held = np.bincount(word, weights=size[flat], minlength=len(words)) == sizes
+        if not held.all() or not spells(flat, spelt):
+            at = np.cumsum(many) - many
+            for n in range(len(words)):
+                good[n] = held[n] and spells(flat[at[n] : at[n] + many[n]], [spelt[n]])
+        return flat, chars[word] + ends, word, good
+
     def tokens(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Of words after a blank each: start bytes, whether both tokenizers spell the word, and
         for either side the ids, byte ends and numbers of the words; words that are not spelt
@@ -100,38 +149,21 @@ class Aligner:
         spelt = [w.encode() for w in given]
         sizes = np.fromiter(map(len, spelt), np.int64, len(words))
         start = np.cumsum(sizes) - sizes
-        found_a = self.a.encode_batch(given, add_special_tokens=False)
-        found_b = self.b.encode(words, return_type="offset_mapping", num_threads=1)
         upto = None
         if int(sizes.sum()) != sum(map(len, given)):  # characters of several bytes
             points = np.frombuffer("".join(given).encode("utf-32-le"), np.uint32)
             width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
             upto = np.concatenate([[0], np.cumsum(width)])
-        chars = np.cumsum([0, *map(len, given)])[:-1]
-        whole = b"".join(spelt)
-        sides = []
-        good = np.ones(len(words), bool)
-        for ids, spans, shift, own, size in (
-            ([e.ids for e in found_a], (e.offsets for e in found_a), 0, self.bytes_a, self.size_a),
-            ([e["ids"] for e in found_b], (e["offsets"] for e in found_b), 1, self.bytes_b, self.size_b),
-        ):
-            many = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(many.sum()))
-            both = chain.from_iterable(chain.from_iterable(spans))
-            ends = np.fromiter(both, np.int64, 2 * len(flat))[1::2] + shift
-            word = np.repeat(np.arange(len(words)), many)
-            # All words at once where all are spelt, else word by word.
-            held = np.bincount(word, weights=size[flat], minlength=len(words)) == sizes
-            if not held.all() or b"".join(map(own.__getitem__, flat.tolist())) != whole:
-                joined = (b"".join([own[i] for i in t]) for t in ids)
-                good &= np.fromiter((j == w for j, w in zip(joined, spelt, strict=True)), bool, len(words))
-            sides.append((flat, ends, word, size))
+        chars = np.fromiter(map(len, given), np.int64, len(given))
+        chars = np.cumsum(chars) - chars
+        sides = [self._side(side, words, spelt, sizes, chars) for side in (0, 1)]
+        good = sides[0][3] & sides[1][3]
         out = []
         skipped = np.concatenate([[0], np.cumsum(sizes * ~good)])
-        for flat, ends, word, size in sides:
+        for (flat, ends, word, _), size in zip(sides, (self.size_a, self.size_b), strict=True):
             held = good[word]
             flat, ends, word = flat[held], ends[held], word[held]
-            coarse = start[word] + ends if upto is None else upto[chars[word] + ends]
+            coarse = ends if upto is None else upto[ends]
             # Words that are not spelt have no tokens here: their bytes are skipped.
             first = np.diff(word, prepend=-1) > 0
             gone = skipped[word]
@@ -168,7 +200,7 @@ class Aligner:
             held.append(np.stack([np.full(len(codes), word[g]), codes], axis=1))
             times.append((x[:, None] * y[None, :]).ravel())
         held, times = np.concatenate(held), np.concatenate(times)
-        order = np.lexsort((held[:, 1], held[:, 0]))
+        order = np.argsort(held[:, 0] << _PAIR_BITS | held[:, 1])
         held, times = held[order], times[order]
         new = np.ones(len(held), bool)
         new[1:] = (held[1:] != held[:-1]).any(axis=1)
@@ -176,20 +208,19 @@ class Aligner:
         self.codes = np.concatenate([self.codes, held[at, 1]])
         self.mults = np.concatenate([self.mults, np.add.reduceat(times, at) if len(at) else times])
         # Strings: the ids of a group, first one side, then the other, each with what follows it.
-        last_a = np.concatenate([group_a[1:] != group_a[:-1], [True]])[: len(group_a)]
-        last_b = np.concatenate([group_b[1:] != group_b[:-1], [True]])[: len(group_b)]
-        group, side = np.concatenate([group_a, group_b]), np.concatenate([last_a.astype(int), 2 + last_b.astype(int)])
-        ids, own = np.concatenate([ids_a, ids_b]), np.concatenate([word_a, word_b])
-        order = np.lexsort((side // 2, group))
-        parts = list(map(self.shown.__getitem__, (self.shown_from[side] + ids)[order].tolist()))
-        ends = np.searchsorted(own[order], np.arange(n), side="right").tolist()
+        # Both sides stand in the order of the groups: a token comes after what the other has before it.
+        shown = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        for ids, group, other, side in ((ids_a, group_a, first_b, 0), (ids_b, group_b, first_a + many_a, 2)):
+            last = np.append(group[1:] != group[:-1], True)[: len(group)]
+            shown[np.arange(len(ids)) + other[group]] = self.shown_from[side + last] + ids
+        parts = list(map(self.shown.__getitem__, shown.tolist()))
+        counts = [np.bincount(v, minlength=n) for v in (word_a, word_b, word)]
         begin = 0
-        for w, end in zip(words, ends, strict=True):
+        for w, end in zip(words, np.cumsum(counts[0] + counts[1]).tolist(), strict=True):
             self.known[w] = len(self.strings)
             self.strings.append(b"".join(parts[begin:end])[:-1])
             begin = end
         sums = np.bincount(word, weights=links, minlength=n).astype(np.int64)
-        counts = [np.bincount(v, minlength=n) for v in (word_a, word_b, word)]
         self.counts = np.concatenate([self.counts, np.stack([*counts, sums, np.bincount(held[at, 0], minlength=n)], axis=1)])
         self.bad = np.concatenate([self.bad, ~good])
         self.at = np.cumsum(self.counts[:, 4]) - self.counts[:, 4]
@@ -213,11 +244,13 @@ class Aligner:
         digest = hashlib.sha256(b";".join([self.strings[i] for i in at.tolist()])).hexdigest()
         totals = self.counts[at, :4].sum(axis=0).tolist()
         at, times = np.unique(at, return_counts=True)
-        places = ragged(self.at[at], self.counts[at, 4])
-        codes, where = np.unique(self.codes[places], return_inverse=True)
-        links = np.zeros(len(codes), np.int64)
-        np.add.at(links, where, self.mults[places] * np.repeat(times, self.counts[at, 4]))
-        return totals, digest, codes, links
+        many = self.counts[at, 4]
+        places = ragged(self.at[at], many)
+        codes, links = self.codes[places], self.mults[places] * np.repeat(times, many)
+        order = np.argsort(codes)
+        codes = codes[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+        return totals, digest, codes[first], np.add.reduceat(links[order], first)
 
 
 _NOTHING = (np.ones(1, bool), *[np.zeros(0, np.int64)] * 9)

@@ -112,3 +112,39 @@ def test_groups_keep_spans(spark, rows):
 
 def test_empty_table(spark):
     assert align_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_are_tokenised_many_at_a_time():
+    """One call and one result for each word cost more than its tokens; words that a tokenizer
+    changes are still found one by one."""
+    paths = public_path(BYTE_TOKENIZER), public_path(PIECE_TOKENIZER)
+    joined, single = Aligner(*paths), Aligner(*paths)
+    given = {0: [], 1: []}
+    spans = joined._spans
+    joined._spans = lambda side, texts: given[side].extend(texts) or spans(side, texts)
+    single._side = lambda *args, side=single._side: _one_by_one(single, side, args)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopéñß日本.,'1"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(1500)})
+    odd = [w for t in TEXTS if t for w in joined.words(t)]
+    for own in (words, odd, [*words[:700], "</s>", "a▁b", *words[700:]]):
+        for one, two in zip(joined.groups(own), single.groups(own), strict=True):
+            assert one.tolist() == two.tolist()
+        if own is words:
+            assert max(map(len, given.values())) < len(words) / 50
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(3)]
+    joined.learn([joined.words(t) for t in texts])
+    for t in texts:
+        (_, _, n_groups, _), digest, codes, _ = joined.document(joined.words(t))
+        groups = plain(joined, t)
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for _, _, a, b in groups)
+        assert n_groups == len(groups) and digest == hashlib.sha256(text.encode()).hexdigest()
+        assert sorted(codes.tolist()) == sorted({a * joined.base + b for g in groups for a in g[2] for b in g[3]})
+
+
+def _one_by_one(aligner: Aligner, side, args: tuple):
+    aligner.by_word = False
+    try:
+        return side(*args)
+    finally:
+        aligner.by_word = True
