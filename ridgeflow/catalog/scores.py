@@ -655,21 +655,31 @@ def sensitivity_scores(spark: SparkSession, sf: str) -> DataFrame:
     the parts, clocks shorten the times; counts of values lost, gained and moved."""
     pairs = [(step, tolerance) for step in sensitivity.STEPS_M for tolerance in sensitivity.TOLERANCES_M]
     rules = F.array(*(F.struct(F.lit(a).alias("step_m"), F.lit(b).alias("tolerance_m")) for a, b in pairs))
-    items = table(spark, sf, "lineitem").select("*", F.inline(rules))
-    lost = (F.col("tolerance_m") > 40) & ((F.col("l_partkey") % 10 == 3) | (F.col("l_suppkey") % 23 == 5))
-    clocks = F.transform(F.sequence(F.lit(0), F.lit(sensitivity.CLOCKS - 1)), lambda c: F.col("l_quantity") * (1 - 0.01 * c))
-    forecast = items.filter(~lost).select(
+    items = table(spark, sf, "lineitem").select(
         "l_suppkey",
+        "l_returnflag",
+        "l_extendedprice",
+        "l_quantity",
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+        ((F.col("l_partkey") % 10 == 3) | (F.col("l_suppkey") % 23 == 5)).alias("narrow"),
+    )
+    # Dealt before the pairs are laid out: what moves is a row an item, not one a pair or clock.
+    items, deal = ordered.deal(items, SUPPLIER, "k")
+    paired = items.select("*", F.inline(rules))
+    lost = (F.col("tolerance_m") > 40) & F.col("narrow")
+    clocks = F.array(*(F.col("l_quantity") * (1 - 0.01 * c) for c in range(sensitivity.CLOCKS)))
+    forecast = paired.filter(~lost).select(
+        *deal.by,
         F.lit("m").alias("model"),
         "step_m",
         "tolerance_m",
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+        "k",
         F.col("l_returnflag").alias("klass"),
         (F.col("l_extendedprice") / 1000 * (1 + F.col("step_m") / 1e5)).alias("p"),
         clocks.alias("times"),
     )
-    values = sensitivity.configured_scores(forecast, ["l_suppkey"])
-    _, counts = sensitivity.comparisons(values, ["l_suppkey", "model"])
+    values = sensitivity.configured_scores(forecast, SUPPLIER, deal=deal)
+    _, counts = sensitivity.comparisons(values, [*SUPPLIER, "model"])
     return compact(counts)
 
 

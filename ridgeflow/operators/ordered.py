@@ -18,6 +18,7 @@ input twice, so it writes it first: a chain of scans stays linear.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ridgeflow.session import cut_lineage
 
-CHUNK = "chunk"
+CHUNK, SLOT = "chunk", "slot"
 _LO, _WIDTH, _TOP = "chunk_lo", "chunk_width", "chunk_top"
 HELPERS = (CHUNK, _LO, _WIDTH, _TOP)
 _FINE_BINS = 256
@@ -33,6 +34,8 @@ _FINE_BINS = 256
 _STRAY = 0.0005
 DEFAULT_TARGET_ROWS = 4_000_000
 BROADCAST_ROWS = 100_000
+# Spark states its largest number for rows that do not come from files.
+UNKNOWN_BYTES = 2.0**62
 
 
 def target_rows_of(df: DataFrame) -> int:
@@ -59,7 +62,7 @@ def pieces_of(df: DataFrame, piece_bytes: int = 8_000_000) -> int:
     the session's number at least."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
-    return least if size == float("inf") else max(least, ceil(size / piece_bytes))
+    return least if size >= UNKNOWN_BYTES else max(least, ceil(size / piece_bytes))
 
 
 def dealt(df: DataFrame, keys: Sequence[str], piece_bytes: int = 8_000_000) -> DataFrame:
@@ -73,6 +76,42 @@ def dealt(df: DataFrame, keys: Sequence[str], piece_bytes: int = 8_000_000) -> D
     return df.repartition(pieces_of(df, piece_bytes), *keys)
 
 
+@dataclass(frozen=True)
+class Deal:
+    """How rows lie: over ``pieces`` partitions by ``by``; the keys of ``hot`` over several slots."""
+
+    pieces: int
+    by: tuple[str, ...]
+    hot: DataFrame | None = None
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """A table of few rows a key, dealt like the rows; those of a hot key stand in each of its slots."""
+        if self.hot is not None:
+            slots = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
+            df = df.join(self.hot, list(self.by[:-1]), "left").withColumn(SLOT, F.explode(slots)).drop("_slots")
+        return df.repartition(self.pieces, *self.by)
+
+
+def deal(df: DataFrame, keys: Sequence[str], member: str) -> tuple[DataFrame, Deal]:
+    """Rows dealt by keys over as many partitions as the size of the table asks for, and how.
+
+    A key above the target rows is dealt over slots by a hash of ``member``, so that no task
+    holds all of it: what is summed by key where it lies is then summed again over the slots."""
+    pieces, target = pieces_of(df), target_rows_of(df)
+    hot_count = 0
+    if input_bytes(df) >= target * 16:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target)
+        hot = cut_lineage(sizes.select(*keys, F.ceil(F.col("_n") / F.lit(target)).cast("int").alias("_slots")))
+        hot_count = hot.count()
+    if hot_count == 0:
+        return df.repartition(pieces, *keys), Deal(pieces, tuple(keys))
+    hot = broadcast_if_small(hot, hot_count)
+    slot = F.coalesce(F.pmod(F.xxhash64(member), F.col("_slots")).cast("int"), F.lit(0))
+    rows = df.join(hot, list(keys), "left").withColumn(SLOT, slot).drop("_slots")
+    by = (*keys, SLOT)
+    return rows.repartition(pieces, *by), Deal(pieces, by, hot)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint behind a known row count; a plain shuffle join beyond it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

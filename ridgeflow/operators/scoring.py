@@ -7,6 +7,7 @@ observation first, then model."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeflow.functions.grades import is_invalid_output, is_thin
-from ridgeflow.session import cut_lineage
+from ridgeflow.operators import ordered
+from ridgeflow.session import cut_lineage, joins_in_place
 
 INSUFFICIENT = "insufficient_support"
 ZERO_TIME = "zero_time"
@@ -43,30 +45,42 @@ def support_scores(
     klass: str = "klass",
     *,
     written: bool = False,
+    deal: ordered.Deal | None = None,
+    member: str | None = None,
 ) -> SupportScores:
     """Level L, dispersion A, within W, between B, compensation, and per class E, D.
 
     Totals by class combine on the map side; only they are joined back to the segments,
     whose weighted deviations are then summed again. ``written`` cuts both tables of
-    classes, so that the results, read however often, pass over the segments twice in all."""
+    classes, so that the results, read however often, pass over the segments twice in all.
+    Segments dealt by some of the keys (``deal``) are summed and joined where they lie: only
+    tables of classes move. ``member`` names a segment; both results then have a ``signature``
+    of the key's segments."""
     keys = list(keys)
     bad = is_invalid_output(F.col(p))
+    marks = {} if member is None else dict(zip(("sum", "xor"), _fingerprint(F.xxhash64(member)), strict=True))
     by_class = segments.groupBy(*keys, klass).agg(
         F.count(F.lit(1)).alias("n_c"),
         F.sum(F.when(~bad, F.col(p))).alias("p_c"),
         F.sum(t).alias("t_c"),
         F.max(bad).alias("bad_c"),
         F.max(F.col(t) == 0).alias("zero_c"),
+        *(mark.alias(f"{name}_c") for name, mark in marks.items()),
     )
     if written:
         by_class = cut_lineage(by_class)
+    if deal is not None:
+        by_class = by_class.repartition(deal.pieces, *(k for k in deal.by if k in keys))
     totals = by_class.groupBy(*keys).agg(
         F.sum("n_c").alias("n"),
         F.sum("p_c").alias("p_all"),
         F.sum("t_c").alias("t_all"),
         F.max("bad_c").alias("model_error"),
         F.max("zero_c").alias("has_zero"),
+        *((F.sum if name == "sum" else F.bit_xor)(f"{name}_c").alias(f"{name}_hash") for name in marks),
     )
+    if marks:
+        totals = totals.withColumn("signature", F.concat_ws("-", "n", "sum_hash", "xor_hash")).drop("sum_hash", "xor_hash")
     level_motif = F.when(F.col("t_all") == 0, ZERO_TIME).when(
         F.col("model_error"), MODEL_ERROR
     )
@@ -88,9 +102,14 @@ def support_scores(
     r = F.log(F.col(p) / F.nullif(F.col(t), F.lit(0.0)))
     near, far = F.abs(r - F.col("class_level")), F.abs(r - F.col("log_ratio"))
     lift = F.abs(F.col("class_level") - F.col("log_ratio"))
+    at = [*keys, klass]
+    if deal is not None:
+        at += [k for k in deal.by if k not in keys]
+        # A few rows a key are looked up, the segments are not sorted.
+        usable = (usable if deal.hot is None else deal.spread(usable)).hint("shuffle_hash")
     deviations = (
-        segments.select(*keys, klass, p, t)
-        .join(usable, [*keys, klass])
+        segments.select(*at, p, t)
+        .join(usable, at)
         .groupBy(*keys, klass)
         .agg(
             F.sum(F.col(t) * far).alias("_a"),
@@ -100,9 +119,8 @@ def support_scores(
     )
     full = centers.join(deviations, [*keys, klass], "left")
     if written:
-        full = cut_lineage(full)
-        same = [c for c in totals.columns if c not in keys]
-        totals = full.groupBy(*keys).agg(*(F.first(c).alias(c) for c in same))
+        with nullcontext() if deal is None else joins_in_place(full.sparkSession):
+            full = cut_lineage(full)
     classes = full.select(
         *keys,
         klass,
@@ -112,15 +130,18 @@ def support_scores(
         (F.col("_d") / F.nullif(F.col("t_c"), F.lit(0.0))).alias("class_dispersion"),
         (F.col("class_level") - F.col("log_ratio")).alias("class_offset"),
         F.col("vector_motif").alias("motif"),
+        *(["signature"] if marks else []),
     )
     weight = F.col("t_c") / F.nullif(F.col("t_all"), F.lit(0.0))
+    same = [c for c in totals.columns if c not in keys] if written else []
     sums = full.groupBy(*keys).agg(
+        *(F.first(c).alias(c) for c in same),
         (F.sum("_a") / F.nullif(F.max("t_all"), F.lit(0.0))).alias("dispersion"),
         F.sum(weight * F.col("_d") / F.nullif(F.col("t_c"), F.lit(0.0))).alias("within"),
         F.sum(weight * lift).alias("between"),
         (F.sum("_c") / F.nullif(F.max("t_all"), F.lit(0.0))).alias("compensation"),
     )
-    overall = totals.join(sums, keys).select(
+    overall = (sums if written else totals.join(sums, keys)).select(
         *keys,
         "n",
         "model_error",
@@ -131,6 +152,7 @@ def support_scores(
         "between",
         "compensation",
         "vector_motif",
+        *(["signature"] if marks else []),
     )
     return SupportScores(overall, classes)
 
@@ -469,14 +491,16 @@ def support_signature(segments: DataFrame, keys: Sequence[str], k: str = "k") ->
 
     Order-free: the sum and xor of 64-bit hashes combine on the map side, so no set is
     collected."""
-    h = F.xxhash64(k)
-    low = F.pmod(h, F.lit(2**31 - 1))
+    total, mixed = _fingerprint(F.xxhash64(k))
     return segments.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(low).alias("sum_hash"),
-        F.bit_xor(h).alias("xor_hash"),
+        F.count(F.lit(1)).alias("n"), total.alias("sum_hash"), mixed.alias("xor_hash")
     )
 
 
+def _fingerprint(h: Column) -> tuple[Column, Column]:
+    """Order-free sum and xor of 64-bit hashes."""
+    return F.sum(F.pmod(h, F.lit(2**31 - 1))), F.bit_xor(h)
+
+
 def any_of(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)

@@ -85,32 +85,37 @@ def observe_pairs(
     return tuple(cut_lineage(t) for t in stacked)
 
 
-def configured_scores(forecast: DataFrame, keys: Sequence[str], models: str = "model") -> DataFrame:
-    """Values of every configuration from stacked forecasts, in one pass.
+def configured_scores(
+    forecast: DataFrame, keys: Sequence[str], models: str = "model", deal: ordered.Deal | None = None
+) -> DataFrame:
+    """Values of every configuration from stacked forecasts, read twice where they lie.
 
     ``forecast``: keys, ``model``, ``step_m``, ``tolerance_m``, ``k``, ``klass``, ``p`` and ``times`` (a
     duration per clock). A row is read under the clocks of the configurations of its pair.
+    ``deal``: how the rows lie if they are dealt by keys and ``k``; else they are dealt here.
+    The rows of a configuration are made in the tasks that add them up, so that neither
+    shuffles nor sorts grow with the number of configurations.
     Returns keys, ``model``, ``configuration``, ``metric``, ``value``, ``motif`` and ``signature``, a
     digest of the segments that stand behind a value, whatever their order."""
+    if deal is None:
+        forecast, deal = ordered.deal(forecast, keys, "k")
     keys = [*keys, models]
     table = F.broadcast(configuration_table(forecast.sparkSession))  # nineteen rows
     rows = forecast.join(table, ["step_m", "tolerance_m"]).withColumn("t", F.get("times", "clock"))
     rows = rows.filter(F.col("t").isNotNull()).drop("times")
     own = [*keys, "configuration"]
-    scores = scoring.support_scores(rows, own, written=True)
+    scores = scoring.support_scores(rows, own, written=True, deal=deal, member="k")
     level = scores.overall.select(
-        *own, F.lit("level").alias("metric"), F.col("log_ratio").alias("value"), F.col("level_motif").alias("motif")
+        *own, F.lit("level").alias("metric"), F.col("log_ratio").alias("value"), F.col("level_motif").alias("motif"), "signature"
     )
     by_class = [
         scores.classes.select(
-            *own, F.concat("klass", F.lit(f"_{name}")).alias("metric"), F.col(column).alias("value"), "motif"
+            *own, F.concat("klass", F.lit(f"_{name}")).alias("metric"), F.col(column).alias("value"), "motif", "signature"
         )
         for name, column in (("level", "class_level"), ("dispersion", "class_dispersion"))
     ]
-    signature = scoring.support_signature(rows, own)
-    signature = signature.select(*own, F.concat_ws("-", "n", "sum_hash", "xor_hash").alias("signature"))
     # Written: a comparison reads the values twice.
-    return cut_lineage(reduce(lambda a, b: a.unionByName(b), by_class, level).join(signature, own))
+    return cut_lineage(reduce(lambda a, b: a.unionByName(b), by_class, level))
 
 
 def comparisons(values: DataFrame, keys: Sequence[str], against: int | None = None) -> tuple[DataFrame, DataFrame]:
