@@ -28,6 +28,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("time_s", seconds("ts"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half away from zero on the scaled value, as SQL engines round doubles.
+
+    Spark's own ``round`` reads the shortest decimal text of a double: a half that is one last
+    bit short, such as 2358.1629374999997, goes down there."""
+    scaled = value * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(value)
+
+
 def compact(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Selected columns, doubles rounded and dates as text for the SQL check."""
     types = dict(df.dtypes)
@@ -35,7 +44,7 @@ def compact(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
     def shown_as(column: str) -> Column:
         if types[column] in ("double", "float"):
-            return F.round(F.col(column), digits).alias(column)
+            return rounded(F.col(column), digits).cast(types[column]).alias(column)
         if types[column] == "date":
             return F.col(column).cast("string").alias(column)
         return F.col(column)
